@@ -118,7 +118,8 @@ def next_fit_pack(df: DataFrame, max_seq_length: int = 2048, ids: str = "input_i
     Only the narrow ``(src, segment, row_idx, n)`` table goes through the
     sequential ``applyInPandas`` step (one group = one segment of at most
     ``segment_rows`` rows); the token arrays are joined back by key.
-    Output: ``src, segment, pack_id, input_ids`` (padded to the length).
+    Output: ``src, segment, pack_id, input_ids`` (padded to the length),
+    ``n_tokens`` (before padding) and ``n_docs``.
     """
     L = int(max_seq_length)
     seqs = df.select(F.col(src).alias("src"), F.col(order).alias("row_idx"), F.col(ids).alias("ids"))
@@ -131,8 +132,10 @@ def next_fit_pack(df: DataFrame, max_seq_length: int = 2048, ids: str = "input_i
               .select("src", "segment", "pack_id",
                       F.struct("row_idx", F.slice("ids", 1, F.col("take").cast("int")).alias("piece")).alias("p")))
     packs = (pieces.groupBy("src", "segment", "pack_id")
-             .agg(F.flatten(F.transform(F.array_sort(F.collect_list("p")), lambda x: x["piece"])).alias("ids")))
-    out = packs.select("src", "segment", "pack_id", pad_right("ids", L, pad_id).alias("input_ids"))
+             .agg(F.flatten(F.transform(F.array_sort(F.collect_list("p")), lambda x: x["piece"])).alias("ids"),
+                  F.count(F.lit(1)).alias("n_docs")))
+    out = packs.select("src", "segment", "pack_id", pad_right("ids", L, pad_id).alias("input_ids"),
+                       F.size("ids").cast("bigint").alias("n_tokens"), "n_docs")
     if src != "src":
         out = out.withColumnRenamed("src", src)
     return out

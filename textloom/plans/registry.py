@@ -44,5 +44,5 @@ def duck_byte_ids(x: str, offset: int = 7) -> str:
 
 def load_all() -> dict:
     """Import every module that registers queries, then return the registry."""
-    from . import queries_chat, queries_core, queries_eval, queries_text  # noqa: F401
+    from . import queries_chat, queries_core, queries_eval, queries_text, queries_tokens  # noqa: F401
     return QUERIES

@@ -44,5 +44,6 @@ def duck_byte_ids(x: str, offset: int = 7) -> str:
 
 def load_all() -> dict:
     """Import every module that registers queries, then return the registry."""
-    from . import queries_chat, queries_core, queries_eval, queries_text, queries_tokens  # noqa: F401
+    from . import (queries_bpe, queries_chat, queries_core, queries_eval,  # noqa: F401
+                   queries_io, queries_text, queries_tokens)
     return QUERIES

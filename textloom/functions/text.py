@@ -26,9 +26,16 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+# The same set as characters, derived by rule: every code point Python
+# considers whitespace (``str.strip()`` removes exactly these).
+PY_SPACE_CHARS = "".join(ch for ch in map(chr, range(0x110000)) if ch.isspace())
+
+
 def py_strip(col) -> Column:
-    """Python ``str.strip()`` (Spark ``trim`` only removes spaces)."""
-    return F.regexp_replace(_c(col), PY_STRIP_RE, "")
+    """Python ``str.strip()``.  Plain ``trim`` removes only spaces; with
+    the explicit character set it touches only the two ends of the string
+    (a regex would scan every character)."""
+    return F.trim(_c(col), F.lit(PY_SPACE_CHARS))
 
 
 def safe_str(col) -> Column:

@@ -45,32 +45,32 @@ def token_offsets(lengths: DataFrame, src: str = "src", order: str = "row_idx",
 def concat_and_chunk(df: DataFrame, max_seq_length: int = 2048, ids: str = "input_ids",
                      src: str = "src", order: str = "row_idx", eos_id: int = EOS_ID,
                      segment_rows: int | None = CHUNK_SEGMENT_ROWS,
-                     min_chunk_length: int = MIN_CHUNK_LENGTH,
-                     lengths: DataFrame | None = None) -> DataFrame:
+                     min_chunk_length: int = MIN_CHUNK_LENGTH) -> DataFrame:
     """Drop empty sequences (F05), append EOS where missing (X14),
     concatenate in ``order`` per (src, segment), cut every ``max_seq_length``
     tokens and drop chunks shorter than ``min_chunk_length`` (F04).
 
-    ``lengths`` may supply ``(src, row_idx, n)`` computed without the ids
-    (e.g. from byte counts) so that the offsets never need the arrays.
-
-    Plan: narrow window for offsets -> join back on the unique
-    (src, row_idx) -> explode one piece per chunk a row touches ->
-    group by chunk (groups hold at most ``max_seq_length`` tokens).
+    Plan (one shuffle of the token rows): hash-partition by (src, segment)
+    and sort by row_idx for the running token offset (W01; window buffers
+    spill, and a group never exceeds ``segment_rows`` rows) -> explode one
+    piece per chunk a row touches -> group by (src, segment, chunk_id),
+    which the window's partitioning already satisfies.  Chunk groups hold
+    at most ``max_seq_length`` tokens.
     Output: ``src, segment, chunk_id, input_ids, attention_mask``.
     """
     L = int(max_seq_length)
+    w = (Window.partitionBy(src, "segment").orderBy(order)
+         .rowsBetween(Window.unboundedPreceding, -1))
     seqs = (df.select(src, order, F.col(ids).alias("ids"))
             .filter(F.size("ids") > 0)
-            .withColumn("ids", append_eos_if_missing("ids", eos_id)))
-    if lengths is None:
-        lengths = seqs.select(src, order, F.size("ids").alias("n"))
-    offs = token_offsets(lengths.filter(F.col("n") > 0), src, order, "n", segment_rows)
-    joined = seqs.join(offs, [src, order])
+            .withColumn("ids", append_eos_if_missing("ids", eos_id))
+            .withColumn("segment", _segment(order, segment_rows))
+            .withColumn("n", F.size("ids").cast("bigint"))
+            .withColumn("off", F.coalesce(F.sum("n").over(w), F.lit(0)).cast("bigint")))
     c = F.col("c")
     start = F.greatest(c * L, F.col("off"))
     end = F.least((c + 1) * L, F.col("off") + F.col("n"))
-    pieces = (joined
+    pieces = (seqs
               .withColumn("c", F.explode(F.sequence(F.floor(F.col("off") / L),
                                                      F.floor((F.col("off") + F.col("n") - 1) / L))))
               .select(src, "segment", F.col("c").alias("chunk_id"),

@@ -32,9 +32,7 @@ def byte_chunks(spark: SparkSession, sf_dir: str, max_seq_length: int = 2048) ->
     source and cut into ``max_seq_length`` chunks (short tails dropped)."""
     docs = keep_for_training(corpus(spark, sf_dir))
     toks = docs.select("src", "row_idx", add_specials(byte_ids("text")).alias("input_ids"))
-    # token count without materialising the ids: bytes + <s> + </s>
-    lengths = docs.select("src", "row_idx", (F.octet_length("text") + 2).cast("long").alias("n"))
-    return concat_and_chunk(toks, max_seq_length, lengths=lengths)
+    return concat_and_chunk(toks, max_seq_length)
 
 
 def chunk_summary(chunks: DataFrame) -> DataFrame:

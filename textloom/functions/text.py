@@ -80,6 +80,9 @@ def sp_normalize(col, remove_extra_whitespaces: bool = True, add_dummy_prefix: b
 PRETOKEN_PATTERN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 )
+# ``(?U)``: ``\s`` is Unicode White_Space (NBSP, U+3000, …), as in the
+# Unicode-aware regex engines byte-level tokenizers use.
+PRETOKEN_REGEX = "(?U)" + PRETOKEN_PATTERN
 
 
 def with_prefix_space(col) -> Column:
@@ -92,7 +95,7 @@ def with_prefix_space(col) -> Column:
 def pretokens(col, add_prefix_space: bool = True) -> Column:
     """Split text into pre-tokens (array<string>), in order."""
     c = with_prefix_space(col) if add_prefix_space else _c(col)
-    return F.regexp_extract_all(c, F.lit(PRETOKEN_PATTERN), 0)
+    return F.regexp_extract_all(c, F.lit(PRETOKEN_REGEX), 0)
 
 
 def _byte_alphabet() -> tuple[str, str]:

@@ -102,7 +102,10 @@ def a02(spark, sf):
 # rebuilt from whitespace runs: a run followed by a non-space yields its
 # body minus the last char, and the last char unless it is a plain space
 # (which attaches to the next pre-token); a run at the end is one token.
-_NO_WS = PRETOKEN_PATTERN.replace(r"|\s+(?!\S)|\s+", "").replace("'", "''")
+# Unicode White_Space, spelled out for RE2 (whose \s is ASCII).
+_WS = r"\t\n\x0b\x0c\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_NO_WS = (PRETOKEN_PATTERN.replace(r"|\s+(?!\S)|\s+", "").replace(r"[^\s", "[^" + _WS)
+          .replace("'", "''"))
 _PREFIXED = "CASE WHEN text = '' OR starts_with(text, ' ') THEN text ELSE ' ' || text END"
 A03_SQL = f"""
 WITH t AS (SELECT {_PREFIXED} AS t FROM documents),
@@ -110,12 +113,12 @@ w AS (
   SELECT unnest(regexp_extract_all(t, '{_NO_WS}')) AS word FROM t
   UNION ALL
   SELECT word FROM (
-    SELECT CASE WHEN regexp_matches(run, '\\s$') THEN [run]
+    SELECT CASE WHEN regexp_matches(run, '[{_WS}]$') THEN [run]
                 ELSE list_filter([left(run, length(run) - 2),
                                   CASE WHEN substr(run, length(run) - 1, 1) <> ' '
                                        THEN substr(run, length(run) - 1, 1) END],
                                  lambda x: x IS NOT NULL AND x <> '') END AS toks
-    FROM (SELECT unnest(regexp_extract_all(t, '\\s+(?:\\S|$)')) AS run FROM t)
+    FROM (SELECT unnest(regexp_extract_all(t, '[{_WS}]+(?:[^{_WS}]|$)')) AS run FROM t)
   ), unnest(toks) AS u(word)
 )
 SELECT word, count(*) AS cnt FROM w GROUP BY word

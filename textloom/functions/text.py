@@ -138,3 +138,23 @@ def byte_level_decode(col) -> Column:
 def chars(col) -> Column:
     """Array of the characters (code points, not UTF-16 units) of a string."""
     return F.regexp_extract_all(_c(col), F.lit("(?s)."), 0)
+
+
+SP_SPACE = "▁"  # the visible word-boundary mark of SentencePiece-style models
+
+
+def sp_pretokens(col) -> Column:
+    """SentencePiece-style pieces of normalised text: spaces become the
+    boundary mark (attached to the next piece), digits split singly, letters
+    split where the script changes, other symbols kept in runs."""
+    t = F.translate(_c(col), " ", SP_SPACE)
+    pat = (f"{SP_SPACE}?(?:\\p{{N}}|\\p{{IsHan}}+|\\p{{IsHangul}}+|\\p{{IsHiragana}}+|\\p{{IsKatakana}}+"
+           f"|\\p{{IsLatin}}+|\\p{{IsCyrillic}}+|\\p{{IsGreek}}+|\\p{{IsArabic}}+|\\p{{L}}+"
+           f"|[^\\s\\p{{L}}\\p{{N}}{SP_SPACE}]+|{SP_SPACE})")
+    return F.regexp_extract_all(t, F.lit(pat), 0)
+
+
+def byte_fallback(ch) -> Column:
+    """``<0xNN>`` symbols of the UTF-8 bytes of a character (byte fallback)."""
+    return F.transform(F.split(latin1_bytes(ch), "", -1),
+                       lambda b: F.format_string("<0x%02X>", F.ascii(b)))

@@ -28,8 +28,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import (BYTE_ALPHABET, byte_level, byte_level_decode, chars, nfkc,
-                              pretokens)
+from ..functions.text import (BYTE_ALPHABET, byte_fallback, byte_level, byte_level_decode, chars,
+                              nfkc, pretokens, sp_normalize, sp_pretokens)
 from ..functions.tokens import SPECIAL_TOKENS, UNK_ID, add_specials
 from ..session import cut_lineage
 from .stats import pair_counts
@@ -65,6 +65,29 @@ def words_table(corpus: DataFrame, text: str = "text", normalize: bool = True) -
     return w.withColumn("bl", byte_level("word")).withColumn("symbols", chars(F.col("bl")))
 
 
+def sp_words_table(corpus: DataFrame, text: str = "text", coverage: float = 0.9995,
+                   max_sentence_length: int = 16384) -> tuple[DataFrame, list[str]]:
+    """T05 input: ``nmt_nfkc_cf`` normalisation (X02), SentencePiece-style
+    pieces (X05), character symbols; characters outside the ``coverage``
+    share (A06) fall back to ``<0xNN>`` byte symbols.  Sentences longer than
+    ``max_sentence_length`` characters are skipped.  Returns the word table
+    and the alphabet (kept characters + 256 byte symbols)."""
+    from .stats import character_coverage
+    norm = corpus.select(sp_normalize(F.col(text)).alias("t")).filter(F.length("t") <= max_sentence_length)
+    norm = cut_lineage(norm)
+    cc = character_coverage(norm.select(F.explode(chars("t")).alias("ch")).groupBy("ch")
+                            .agg(F.count(F.lit(1)).alias("cnt")), coverage)
+    kept = sorted(r["ch"] for r in cc.collect())      # bounded by the size of Unicode
+    kept_arr = F.array(*[F.lit(c) for c in kept]) if kept else F.array().cast("array<string>")
+    w = (norm.select(F.explode(sp_pretokens("t")).alias("word"))
+         .groupBy("word").agg(F.count(F.lit(1)).alias("cnt")))
+    syms = F.flatten(F.transform(chars("word"), lambda c: F.when(F.array_contains(kept_arr, c), F.array(c))
+                                 .otherwise(byte_fallback(c))))
+    w = w.withColumn("symbols", syms).withColumn("bl", F.array_join("symbols", ""))
+    alphabet = kept + [f"<0x{b:02X}>" for b in range(256)]
+    return w, alphabet
+
+
 def apply_merges(symbols: Column, merge_map: dict[str, str], text: Column | None = None) -> Column:
     """Apply a batch of pairwise-disjoint merges in one left-to-right fold.
 
@@ -127,20 +150,23 @@ def _choose_batch(cands: list, bounds: dict, max_new: int, min_frequency: int, b
 def train_bpe(corpus: DataFrame, vocab_size: int = 512, min_frequency: int = 2, text: str = "text",
               special_tokens: list[str] = SPECIAL_TOKENS, limit_alphabet: int | None = None,
               normalize: bool = True, batch: bool = True, candidates: int = 1024,
-              checkpoint_every: int = 8, words: DataFrame | None = None, name: str = "bpe") -> BpeModel:
+              checkpoint_every: int = 8, words: DataFrame | None = None, name: str = "bpe",
+              alphabet: list[str] | None = None, preset: str | None = None) -> BpeModel:
     """Train a byte-level BPE vocabulary of at most ``vocab_size`` entries.
 
     ``batch=False`` is the exact one-merge-per-round mode (reference for
     tests); ``batch=True`` gives the same merges in fewer Spark jobs.
     """
     spark = corpus.sparkSession
+    if preset is not None:                         # T06
+        min_frequency = max(min_frequency, PRESETS[preset]["min_frequency"])
+        limit_alphabet = PRESETS[preset]["limit_alphabet"]
     wt = words if words is not None else words_table(corpus, text, normalize)
     parts = max(spark.sparkContext.defaultParallelism, 1)
     wt = cut_lineage(wt.select("word", "cnt", "bl", "symbols").repartition(parts))
-    alphabet = list(BYTE_ALPHABET)
-    if limit_alphabet is not None:
-        # the byte alphabet is always kept; a cap can only drop other characters
-        alphabet = sorted(set(alphabet))
+    # the byte alphabet is complete (256 symbols) and always kept, so an
+    # alphabet cap (limit_alphabet) never removes anything in byte-level mode
+    alphabet = list(alphabet) if alphabet is not None else list(BYTE_ALPHABET)
     n_vocab = len(special_tokens) + len(alphabet)
     merges: list[tuple[str, str, int]] = []
     rounds = 0
@@ -313,8 +339,9 @@ def extend_vocabulary(base: BpeModel, new_corpus: DataFrame, new_vocab_size: int
     min_frequency = max(min_frequency, p["min_frequency"])
     delta = new_vocab_size - cur
     train_size = int(delta * 1.5) + len(SPECIAL_TOKENS)
+    # F07 + U03: base tokens (their byte-level spelling, as stored) are seed text
     seeds = base.vocab.filter(~F.col("token").startswith("<") & (F.length("token") > 1)) \
-        .select(byte_level_decode("token").alias(text))                                   # F07 + U03
+        .select(F.col("token").alias(text))
     corpus = seeds.unionByName(new_corpus.select(text))
     trained = train_bpe(corpus, vocab_size=train_size, min_frequency=min_frequency, text=text, **train_kw)
     base_max = base.vocab.agg(F.max("id")).first()[0]
@@ -336,6 +363,25 @@ def extend_vocabulary(base: BpeModel, new_corpus: DataFrame, new_vocab_size: int
     return BpeModel(cut_lineage(final_vocab), cut_lineage(final_merges), base.name + "_extended")
 
 
+def curriculum(base: BpeModel, corpora: list[DataFrame], sizes: list[int], text: str = "text",
+               **kw) -> list[BpeModel]:
+    """A chain of extensions (e.g. 64K -> 80K -> 96K -> 128K), each
+    extending the previous vocabulary with its own corpus."""
+    out, cur = [], base
+    for corpus, size in zip(corpora, sizes):
+        cur = extend_vocabulary(cur, corpus, size, text=text, **kw)
+        out.append(cur)
+    return out
+
+
+def train_sp_bpe(corpus: DataFrame, vocab_size: int, text: str = "text", coverage: float = 0.9995,
+                 **kw) -> BpeModel:
+    """SentencePiece-style BPE (X02 + X05 + A06 + byte fallback) on the
+    same batched trainer; special ids pad0/bos1/eos2/unk3 come first."""
+    words, alphabet = sp_words_table(corpus, text, coverage)
+    return train_bpe(corpus, vocab_size=vocab_size, words=words, alphabet=alphabet, name="sp_bpe", **kw)
+
+
 def special_token_report(vocab: DataFrame, special_tokens: list[str] = SPECIAL_TOKENS) -> DataFrame:
     """Each special token with its id, or flagged missing."""
     spark = vocab.sparkSession

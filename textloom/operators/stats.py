@@ -109,3 +109,26 @@ def windowed_mean(df: DataFrame, step: str, value: str, k: int) -> DataFrame:
     return (df.groupBy(F.floor((F.col(step) - 1) / k).cast("bigint").alias("window"))
             .agg(F.round(F.avg(value), 6).alias("mean_loss"), F.count(F.lit(1)).alias("n_steps"),
                  F.max(step).cast("bigint").alias("last_step")))
+
+
+def throughput(df: DataFrame, name: str = "throughput") -> DataFrame:
+    """A10: rows processed, elapsed seconds, rows per second for one full
+    run of ``df`` (counted with ``observe`` on the way, no second pass)."""
+    import time
+
+    from pyspark.sql import Observation
+    obs = Observation(name)
+    t = time.time()
+    df.observe(obs, F.count(F.lit(1)).alias("rows")).write.format("noop").mode("overwrite").save()
+    el = max(time.time() - t, 1e-9)
+    rows = obs.get["rows"]
+    return df.sparkSession.createDataFrame([(int(rows), float(el), float(rows / el))],
+                                           "rows long, elapsed_sec double, rows_per_sec double")
+
+
+def profile(df: DataFrame, first_n_columns: int = 5) -> DataFrame:
+    """Column names and types (first ``first_n_columns``), row count."""
+    n = df.count()
+    fields = df.schema.fields[:first_n_columns]
+    return df.sparkSession.createDataFrame([(f.name, f.dataType.simpleString(), n) for f in fields],
+                                           "column string, type string, n_rows long")

@@ -66,7 +66,8 @@ def s02(spark, sf):
     recs = conversation_records(spark, sf)
     arrays = recs.groupBy("shape").agg(F.concat(F.lit("["), F.array_join(F.collect_list("json"), ","),
                                                 F.lit("]")).alias("value"))
-    arrays.select("value").repartition(4).write.text(path)
+    # one array per file: one directory per shape, one task per shape
+    arrays.repartition("shape").write.partitionBy("shape").text(path)
     r = fl.read_json_array(spark, path)
     out = r.select(detect_format("rec").alias("fmt"), convert_to_text("rec").alias("text"))
     return out.groupBy("fmt").agg(F.count(F.lit(1)).alias("n_records"),

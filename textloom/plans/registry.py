@@ -45,5 +45,5 @@ def duck_byte_ids(x: str, offset: int = 7) -> str:
 def load_all() -> dict:
     """Import every module that registers queries, then return the registry."""
     from . import (queries_bpe, queries_chat, queries_core, queries_eval,  # noqa: F401
-                   queries_io, queries_text, queries_tokens)
+                   queries_io, queries_more, queries_text, queries_tokens)
     return QUERIES

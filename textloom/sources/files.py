@@ -32,7 +32,7 @@ def read_lines(spark: SparkSession, paths, strip: bool = True, drop_blank: bool
 def read_json_array(spark: SparkSession, paths) -> DataFrame:
     """Files each holding one JSON array of heterogeneous records ->
     ``(path, pos, rec VARIANT, json)`` (whole-file read, as the format requires)."""
-    raw = spark.read.option("wholetext", True).text(paths if isinstance(paths, list) else [paths])
+    raw = spark.read.text(paths if isinstance(paths, list) else [paths], wholetext=True)
     arr = F.try_variant_get(F.parse_json("value"), "$", "array<variant>")
     return (raw.select(F.col("_metadata.file_path").alias("path"), F.posexplode(arr).alias("pos", "rec"))
             .withColumn("json", F.to_json("rec")))
@@ -50,8 +50,8 @@ def read_jsonl(spark: SparkSession, paths) -> DataFrame:
 
 def read_text_files(spark: SparkSession, root: str, glob: str = "*.txt") -> DataFrame:
     """Every matching file under ``root`` (recursively) is one document."""
-    return (spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-            .option("pathGlobFilter", glob).text(root)
+    return (spark.read.option("recursiveFileLookup", True)
+            .option("pathGlobFilter", glob).text(root, wholetext=True)
             .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
 
 
@@ -59,8 +59,8 @@ def read_text_records(spark: SparkSession, paths) -> DataFrame:
     """JSON Lines whose ``text`` key is mandatory: a malformed line or a
     missing ``text`` fails the job."""
     df = spark.read.schema("text string").option("mode", "FAILFAST").json(paths)
-    return df.select(F.col("text"), F.assert_true(F.col("text").isNotNull(), "record without text").alias("_ok")) \
-        .drop("_ok")
+    # a filter keeps the assertion in the plan (a dropped column would be pruned)
+    return df.where(F.assert_true(F.col("text").isNotNull(), "record without text").isNull())
 
 
 def read_tolerant(spark: SparkSession, paths, schema: str) -> tuple[DataFrame, DataFrame]:
@@ -85,7 +85,7 @@ def read_tokenizer_json(spark: SparkSession, path: str) -> tuple[DataFrame, Data
     """A tokenizer artefact ``{"model": {"type", "vocab": {tok: id},
     "merges": ["a b" | ["a","b"]]}}`` -> (vocab, merges, info) tables.
     Both merge spellings are normalised to ``(l, r)`` (X18)."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.parse_json("value").alias("v"))
+    raw = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"))
     raw.createOrReplaceTempView("_tok_raw")
     vocab = spark.sql("SELECT key AS token, CAST(variant_get(value, '$', 'int') AS INT) AS id "
                       "FROM _tok_raw, LATERAL variant_explode(variant_get(v, '$.model.vocab'))")

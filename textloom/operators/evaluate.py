@@ -29,9 +29,33 @@ def stride_windows(n, max_length: int = 2048, stride: int = 512) -> Column:
     return F.transform(starts, lambda b: F.struct(b.alias("begin"), F.least(b + max_length, nn).alias("end")))
 
 
-def ngram_counts(seqs: DataFrame, ids: str = "input_ids") -> DataFrame:
-    """Bigram counts ``(prev, tok, cnt)``; map-side combine bounds the
-    shuffle by the number of distinct pairs, never by the corpus size."""
+def _count_pairs(ids: str):
+    import numpy as np
+    import pandas as pd
+
+    def run(it):
+        for pdf in it:
+            arrs = [np.asarray(a, dtype=np.int64) for a in pdf[ids] if a is not None and len(a) > 1]
+            if not arrs:
+                continue
+            prev = np.concatenate([a[:-1] for a in arrs])
+            tok = np.concatenate([a[1:] for a in arrs])
+            codes, cnt = np.unique((prev << 32) | tok, return_counts=True)
+            yield pd.DataFrame({"prev": (codes >> 32).astype(np.int32),
+                                "tok": (codes & 0xFFFFFFFF).astype(np.int32), "cnt": cnt.astype(np.int64)})
+    return run
+
+
+def ngram_counts(seqs: DataFrame, ids: str = "input_ids", vectorized: bool = True) -> DataFrame:
+    """Bigram counts ``(prev, tok, cnt)``.
+
+    ``vectorized``: each Arrow batch of sequences is reduced to its distinct
+    pairs with numpy inside the task (no row per token), then Spark sums the
+    partial counts (one shuffle bounded by the number of distinct pairs).
+    Otherwise pairs are exploded and counted with a plain aggregate."""
+    if vectorized:
+        part = seqs.select(ids).mapInPandas(_count_pairs(ids), "prev int, tok int, cnt long")
+        return part.groupBy("prev", "tok").agg(F.sum("cnt").alias("cnt"))
     s = F.col(ids)
     n1 = F.greatest(F.size(s) - 1, F.lit(0))
     pairs = F.arrays_zip(F.slice(s, 1, n1).alias("prev"), F.slice(s, 2, n1).alias("tok"))

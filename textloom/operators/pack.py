@@ -127,7 +127,7 @@ def next_fit_pack(df: DataFrame, max_seq_length: int = 2048, ids: str = "input_i
               .withColumn("segment", _segment("row_idx", segment_rows)))
     plan = narrow.groupBy("src", "segment").applyInPandas(
         _next_fit_assign(L), "src string, segment long, row_idx long, pack_id long, take long")
-    pieces = (seqs.join(plan, ["src", "row_idx"])
+    pieces = (seqs.join(plan.hint("merge"), ["src", "row_idx"])  # both sides grow with the data
               .filter(F.col("take") > 0)
               .select("src", "segment", "pack_id",
                       F.struct("row_idx", F.slice("ids", 1, F.col("take").cast("int")).alias("piece")).alias("p")))
@@ -187,7 +187,7 @@ def balanced_pack(df: DataFrame, max_seq_length: int = 2048, ids: str = "input_i
               .withColumn("segment", _segment("row_idx", segment_rows)))
     plan = narrow.groupBy("src", "segment").applyInPandas(
         _best_fit_assign(L), "src string, segment long, row_idx long, pack_id long, take long")
-    pieces = (seqs.join(plan, ["src", "row_idx"])
+    pieces = (seqs.join(plan.hint("merge"), ["src", "row_idx"])  # both sides grow with the data
               .select("src", "segment", "pack_id",
                       F.struct("row_idx", F.slice("ids", 1, F.col("take").cast("int")).alias("piece")).alias("p")))
     packs = (pieces.groupBy("src", "segment", "pack_id")

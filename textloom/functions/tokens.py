@@ -19,13 +19,17 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
-def byte_ids(col, offset: int = N_SPECIAL) -> Column:
+def byte_ids(col, offset: int = N_SPECIAL, limit: int | None = None) -> Column:
     """Byte vocabulary: one id per UTF-8 byte, ``id = offset + byte``.
 
     JVM-only: the bytes are reinterpreted as Latin-1 characters, split and
-    mapped with ``ascii``; no per-row Python.
+    mapped with ``ascii``; no per-row Python.  ``limit`` keeps only the
+    first bytes, cut before the split (truncation never splits the rest).
     """
-    return F.transform(F.split(latin1_bytes(col), "", -1), lambda ch: F.ascii(ch) + F.lit(offset))
+    b = latin1_bytes(col)
+    if limit is not None:
+        b = F.substring(b, 1, int(limit))
+    return F.transform(F.split(b, "", -1), lambda ch: F.ascii(ch) + F.lit(offset))
 
 
 def byte_id_count(col) -> Column:

@@ -80,7 +80,7 @@ SELECT doc_id, CAST(len(b[1:510]) + 2 AS BIGINT) AS n_tokens, CAST(1 + list_sum(
 def k06(spark, sf):
     """Whole-document tokenisation in truncation mode (max 512 with specials)."""
     d = keep_for_training(corpus(spark, sf))
-    ids = tk.truncate_with_specials(tk.byte_ids("text"), 512)
+    ids = tk.truncate_with_specials(tk.byte_ids("text", limit=510), 512)
     return d.select(F.col("row_idx").alias("doc_id"), F.size(ids).cast("bigint").alias("n_tokens"),
                     _asum(ids).alias("id_sum"))
 

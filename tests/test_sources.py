@@ -95,3 +95,21 @@ def test_dedup_merges_and_union(spark):
     assert sorted(map(tuple, vocab_union(base, add).collect())) == [("x", 0), ("y", 1), ("z", 2)]
     u = concat_sources([base, add])
     assert sorted(r.src_idx for r in u.collect()) == [0, 0, 1, 1]
+
+
+def test_results_sink_and_training_log(spark):
+    from textloom.operators.sample import last_n_per_group
+    from textloom.operators.stats import windowed_mean
+    d = _tmp()
+    res = spark.createDataFrame([("p1", "r1"), ("p2", "r2")], "prompt string, response string")
+    sinks.write_results(res, os.path.join(d, "results"))
+    assert sorted(map(tuple, spark.read.json(os.path.join(d, "results")).select("prompt", "response").collect())) \
+        == [("p1", "r1"), ("p2", "r2")]
+    with open(os.path.join(d, "log.jsonl"), "w") as f:
+        for s in range(1, 26):
+            f.write(json.dumps({"step": s, "loss": 10.0 / s, "learning_rate": 1e-4}) + "\n")
+    log = files.read_training_log(spark, os.path.join(d, "log.jsonl")).withColumn("run", F.lit(0))
+    last = last_n_per_group(log, 10, "run", "step").collect()
+    assert sorted(r.step for r in last) == list(range(16, 26))
+    w = {r.window: r.n_steps for r in windowed_mean(log, "step", "loss", 10).collect()}
+    assert w == {0: 10, 1: 10, 2: 5}

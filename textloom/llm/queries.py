@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import line_dedup, mixing, packing, quality_rules, simhash
+from . import (exact_dedup, hilbert, html_extract, line_dedup, mixing, packing, quality_classifier, quality_rules,
+               simhash, token_counts)
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -121,3 +122,53 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = quality_rules.judge(table(spark, sf_dir, "documents"))
     return j.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                     "n_frequent_words", "base_failed", "kept")
+
+
+# ----------------------------------------------------------------------- 1 sharding
+
+
+@query("op1_hilbert_sharding")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert.shard(table(spark, sf_dir, "documents"), ["source", "lang"], shards=8, law="rows").drop(
+        "cell_0", "cell_1", "cell_2")
+
+
+# -------------------------------------------------------------------- 4 exact dedup
+
+EXACT_SQL = """
+WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                           'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+       doc_id = max(doc_id) OVER w AS kept, text_sha256
+FROM d WINDOW w AS (PARTITION BY text_sha256)"""
+
+
+@query("op4_exact_dedup", EXACT_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    j = exact_dedup.judge(table(spark, sf_dir, "documents"))
+    return j.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+# ------------------------------------------------------------- 7 quality classifier
+
+
+@query("op7_quality_classifier")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+# ---------------------------------------------------------------- 9 HTML extraction
+
+
+@query("op9_html_extraction")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_extract.extract(pages, html_extract.trained()).withColumn("n_chars", F.length("text").cast("long"))
+
+
+# ------------------------------------------------------------------ 10 token counts
+
+
+@query("op10_token_counts")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))

@@ -75,14 +75,15 @@ def ranked(df: DataFrame, group: list[str], order_key: str, ties: list[str],
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
-    """Roots of the components of an undirected graph: ``node``, ``root``.
+    """Roots of the components of an undirected graph: ``node``, ``root`` (its smallest node).
 
     Alternating large-star and small-star steps: each round hangs neighbours
     on the smallest node in sight, so the edges end as one star for each
     component.  The rounds grow as the logarithm of the longest path.  Every
     round is minima by key (combined map-side) and an equi-join whose skewed
     keys adaptive execution splits; a round's edges are checkpointed in the
-    shared folder.  Nodes without an edge to another node are not returned.
+    shared folder.  Nodes without an edge to another node are not returned;
+    a root is its own root.
     """
     e = cut_lineage(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
                     .where("u <> v").distinct())
@@ -100,6 +101,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
                         .where("u <> v").distinct())
         now = e.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))"), F.expr("bit_xor(hash(u, v))")).first()
         if now == state:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
+                e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         state = now
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -8,9 +8,13 @@ corpus holds):
    the longest of their group, which leaves few sizes;
 2. configurations of these sizes (which sizes share a sequence) are optimised
    by column generation over the fractional problem and rounded down;
-3. actual lengths take the places of their group's size;
+3. actual lengths take the places of their group's size, but for the smallest
+   place of a configuration of several;
 4. what is left over and all small lengths go best-fit, longest first, into
-   the tightest sequence that has room.
+   the tightest sequence that has room (rounding left the smallest places
+   roomier than their size, so a longer length often fits).
+
+Of a few numbers of groups the plan with the fewest sequences is taken.
 
 Sequences with the same lengths are planned as one run, so the plan has a few
 thousand rows at any scale.  Pieces then find their places by their rank among
@@ -139,23 +143,24 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
 
 
 def _best_configuration(sizes: np.ndarray, value: np.ndarray, limit: int) -> tuple[float, np.ndarray]:
-    """Unbounded knapsack: the configuration of greatest value within ``limit``."""
-    best, pick = np.zeros(limit + 1), np.full(limit + 1, -1)
-    for c in range(int(sizes.min()), limit + 1):
-        can = sizes <= c
-        v = np.where(can, best[np.where(can, c - sizes, 0)] + value, -1.0)
-        i = int(v.argmax())
-        if v[i] > best[c - 1] + 1e-12:
-            best[c], pick[c] = v[i], i
-        else:
-            best[c] = best[c - 1]
+    """Unbounded knapsack: the configuration of greatest value within ``limit``, by its number of lengths."""
+    room = np.arange(limit + 1)[None, :] - sizes[:, None]
+    fits, room = room >= 0, np.maximum(room, 0)
+    best, picks = np.zeros(limit + 1), []
+    for _ in range(limit // int(sizes.min())):
+        more = np.where(fits, best[room] + value[:, None], -1.0)
+        pick = more.argmax(axis=0)
+        top = more[pick, np.arange(limit + 1)]
+        better = top > best + 1e-12
+        if not better[limit]:
+            break
+        picks.append(np.where(better, pick, -1))
+        best = np.where(better, top, best)
     out, c = np.zeros(len(sizes), int), limit
-    while c > 0:
-        if pick[c] < 0 or best[c] == best[c - 1]:
-            c -= 1
-            continue
-        out[pick[c]] += 1
-        c -= int(sizes[pick[c]])
+    for pick in reversed(picks):
+        if pick[c] >= 0:
+            out[pick[c]] += 1
+            c -= int(sizes[pick[c]])
     return float(best[limit]), out
 
 
@@ -188,16 +193,27 @@ def optimise_configurations(sizes: np.ndarray, demand: np.ndarray, limit: int,
     return out
 
 
-def plan_sequences(counts: dict[int, int], limit: int = 2048, groups: int = 48,
-                   small: int | None = None) -> list[tuple[int, int, int, int, int, int]]:
-    """Places for all pieces, from the histogram of lengths alone.
+Plan = list[tuple[int, int, int, int, int, int]]
+
+
+def sequences_of(plan: Plan) -> int:
+    return max((s + (hi - lo - 1) // each + 1 for _, lo, hi, s, each, _ in plan), default=0)
+
+
+def best_plan(counts: dict[int, int], limit: int = 2048, groups: tuple[int, ...] = (24, 48, 96)) -> Plan:
+    """The plan with the fewest sequences over some numbers of groups."""
+    return min((plan_sequences(counts, limit, g) for g in groups), key=sequences_of)
+
+
+def plan_sequences(counts: dict[int, int], limit: int = 2048, groups: int = 48, small: int | None = None) -> Plan:
+    """Places for all pieces, from the histogram of lengths alone; lengths up to ``small`` are small.
 
     Returns rows (length, rank_from, rank_to, sequence, each, offset): of the
     pieces of that length, rank r with rank_from <= r < rank_to goes to
     sequence ``sequence + (r - rank_from) // each`` at
     ``offset + (r - rank_from) % each * length``.
     """
-    small = small if small is not None else limit // 16
+    small = small if small is not None else limit // 6
     counts = {int(n): int(c) for n, c in counts.items() if c}
     if any(not 0 < n <= limit for n in counts):
         raise ValueError("piece lengths must lie between 1 and the limit")
@@ -241,20 +257,20 @@ def plan_sequences(counts: dict[int, int], limit: int = 2048, groups: int = 48,
         queues = [list(map(list, g[1])) for g in groups_of]
         for conf, n in optimise_configurations(sizes, demand, limit):
             steps = []  # of each place in the configuration: (sequences, length, rank_from)
-            for g in np.flatnonzero(conf):
-                for _ in range(int(conf[g])):
-                    need, place = n, []
-                    while need:
-                        length, c = queues[g][0]
-                        t = min(c, need)
-                        place.append((t, length, used[length]))
-                        used[length] += t
-                        need -= t
-                        if t == c:
-                            queues[g].pop(0)
-                        else:
-                            queues[g][0][1] -= t
-                    steps.append(place)
+            places = [g for g in np.flatnonzero(conf) for _ in range(int(conf[g]))]  # longest first
+            for g in places[:-1] or places:  # the last place is left to the best fit
+                need, place = n, []
+                while need:
+                    length, c = queues[g][0]
+                    t = min(c, need)
+                    place.append((t, length, used[length]))
+                    used[length] += t
+                    need -= t
+                    if t == c:
+                        queues[g].pop(0)
+                    else:
+                        queues[g][0][1] -= t
+                steps.append(place)
             cuts = sorted({0, n, *(int(c) for place in steps for c in np.cumsum([t for t, _, _ in place]))})
             for lo, hi in zip(cuts, cuts[1:]):
                 parts = []
@@ -312,7 +328,7 @@ def plan_sequences(counts: dict[int, int], limit: int = 2048, groups: int = 48,
     return rows
 
 
-def pack(pieces: DataFrame, limit: int = 2048, groups: int = 48, rows_per_bucket: int = 1_000_000) -> DataFrame:
+def pack(pieces: DataFrame, limit: int = 2048, groups: tuple[int, ...] = (24, 48, 96), rows_per_bucket: int = 1_000_000) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to a written table of pieces (column ``length``).
 
     The plan is broadcast: it comes from at most ``limit`` distinct lengths and
@@ -321,7 +337,7 @@ def pack(pieces: DataFrame, limit: int = 2048, groups: int = 48, rows_per_bucket
     """
     spark = pieces.sparkSession
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    rows = plan_sequences(counts, limit, groups)
+    rows = best_plan(counts, limit, groups)
     plan = spark.createDataFrame(rows, "tl_length long, tl_lo long, tl_hi long, tl_seq long, tl_each long, tl_off long")
     keyed = pieces.withColumn("tl_key", F.md5(F.concat_ws(
         ",", F.col("doc_id").cast("string"), F.col("piece").cast("string"), F.col("ids_crc32").cast("string"))))
@@ -335,7 +351,7 @@ def pack(pieces: DataFrame, limit: int = 2048, groups: int = 48, rows_per_bucket
 
 
 def best_fit_pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
-                  limit: int = 2048, end_id: int = 0, groups: int = 48, with_ids: bool = False) -> DataFrame:
+                  limit: int = 2048, end_id: int = 0, groups: tuple[int, ...] = (24, 48, 96), with_ids: bool = False) -> DataFrame:
     """Tokenise and pack whole documents: one row for each piece.
 
     Null and empty texts are one piece of one token; repeated rows are packed

@@ -74,7 +74,7 @@ def replicate(docs: DataFrame, weights: dict[str, float] | None = None, alpha: f
               columns: list[str] | None = None) -> DataFrame:
     """Copies of the documents: the chosen columns and n_copies, copy (from 1), rate, shuffle_key."""
     rates = cut_lineage(source_rates(docs, weights, alpha, epochs, source_col, text_col).select(
-        "tl_source", "rate", poisson_steps(F.col("rate")).alias("steps")))
+        "tl_source", F.col("rate").alias("tl_rate"), poisson_steps(F.col("rate")).alias("tl_steps")))
     if rates.count() <= MAX_BROADCAST_SOURCES:
         rates = F.broadcast(rates)
     name = F.coalesce(F.col(id_col).cast("string"),
@@ -83,8 +83,8 @@ def replicate(docs: DataFrame, weights: dict[str, float] | None = None, alpha: f
     drawn = (docs.withColumn("tl_name", name)
              .join(rates, F.col(source_col).cast("string").eqNullSafe(F.col("tl_source")))
              .withColumn("tl_u", uniform(seed, F.col("tl_name")))
-             .withColumn("tl_n", F.size(F.filter("steps", lambda c: c <= F.col("tl_u")))).where("tl_n > 0"))
-    return drawn.select(*[F.col(c) for c in own], F.col("tl_name"), F.col("rate").alias("tl_rate"), "tl_n",
+             .withColumn("tl_n", F.size(F.filter("tl_steps", lambda c: c <= F.col("tl_u")))).where("tl_n > 0"))
+    return drawn.select(*[F.col(c) for c in own], "tl_name", "tl_rate", "tl_n",
                         F.explode(F.sequence(F.lit(1), F.col("tl_n"))).alias("tl_copy")).withColumn(
         "tl_shuffle", F.md5(F.concat_ws("|", F.lit(f"{seed}+"), "tl_name", F.col("tl_copy").cast("string"))))
 

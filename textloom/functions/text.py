@@ -53,23 +53,32 @@ def md5_prefix(col, k: int = 16) -> Column:
     return F.substring(F.md5(_c(col).cast("string")), 1, k)
 
 
+def _nfkc(v):
+    if not isinstance(v, str) or v.isascii() or unicodedata.is_normalized("NFKC", v):
+        return v
+    return unicodedata.normalize("NFKC", v)
+
+
 @F.pandas_udf(T.StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """Unicode NFKC (Arrow batch UDF; Spark has no builtin)."""
-    return s.map(lambda v: unicodedata.normalize("NFKC", v) if isinstance(v, str) else v)
+    return s.map(_nfkc)
 
 
 @F.pandas_udf(T.StringType())
 def nfkc_casefold(s: pd.Series) -> pd.Series:
     """X02 part 1: NFKC followed by case folding (``nmt_nfkc_cf``)."""
-    return s.map(lambda v: unicodedata.normalize("NFKC", v).casefold() if isinstance(v, str) else v)
+    return s.map(lambda v: _nfkc(v).casefold() if isinstance(v, str) else v)
 
 
 def sp_normalize(col, remove_extra_whitespaces: bool = True, add_dummy_prefix: bool = True) -> Column:
-    """NFKC + casefold, collapse whitespace runs, optional leading space."""
+    """NFKC + casefold; every white space (new lines and tabs too) is a
+    space, runs collapse and the ends are trimmed; optional leading space."""
     c = nfkc_casefold(_c(col))
     if remove_extra_whitespaces:
-        c = F.regexp_replace(F.trim(c), r" +", " ")
+        c = F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
+    else:
+        c = F.regexp_replace(c, r"(?U)\s", " ")
     if add_dummy_prefix:
         c = F.when(c == "", c).otherwise(F.concat(F.lit(" "), c))
     return c
@@ -146,11 +155,12 @@ SP_SPACE = "▁"  # the visible word-boundary mark of SentencePiece-style models
 def sp_pretokens(col) -> Column:
     """SentencePiece-style pieces of normalised text: spaces become the
     boundary mark (attached to the next piece), digits split singly, letters
-    split where the script changes, other symbols kept in runs."""
+    (with their combining marks) split where the script changes, other
+    symbols kept in runs.  Nothing of the text is lost."""
     t = F.translate(_c(col), " ", SP_SPACE)
-    pat = (f"{SP_SPACE}?(?:\\p{{N}}|\\p{{IsHan}}+|\\p{{IsHangul}}+|\\p{{IsHiragana}}+|\\p{{IsKatakana}}+"
-           f"|\\p{{IsLatin}}+|\\p{{IsCyrillic}}+|\\p{{IsGreek}}+|\\p{{IsArabic}}+|\\p{{L}}+"
-           f"|[^\\s\\p{{L}}\\p{{N}}{SP_SPACE}]+|{SP_SPACE})")
+    scripts = "|".join(f"(?:\\p{{Is{s}}}\\p{{M}}*)+" for s in
+                       ("Han", "Hangul", "Hiragana", "Katakana", "Latin", "Cyrillic", "Greek", "Arabic"))
+    pat = f"{SP_SPACE}?(?:\\p{{N}}|{scripts}|(?:\\p{{L}}\\p{{M}}*)+|[^\\p{{L}}\\p{{N}}{SP_SPACE}]+)|{SP_SPACE}"
     return F.regexp_extract_all(t, F.lit(pat), 0)
 
 

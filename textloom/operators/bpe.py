@@ -21,16 +21,18 @@ the driver.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import (BYTE_ALPHABET, byte_fallback, byte_level, byte_level_decode, chars,
+from ..functions.text import (BYTE_ALPHABET, BYTE_DST, byte_fallback, byte_level, byte_level_decode, chars,
                               nfkc, pretokens, sp_normalize, sp_pretokens)
-from ..functions.tokens import SPECIAL_TOKENS, UNK_ID, add_specials
+from ..functions.tokens import BOS_ID, EOS_ID, SPECIAL_TOKENS, UNK_ID
 from ..session import cut_lineage
 from .stats import pair_counts
 
@@ -65,23 +67,46 @@ def words_table(corpus: DataFrame, text: str = "text", normalize: bool = True) -
     return w.withColumn("bl", byte_level("word")).withColumn("symbols", chars(F.col("bl")))
 
 
+def sentences(corpus: DataFrame, text: str = "text", max_sentence_length: int = 16384) -> DataFrame:
+    """T05 input: one row per input line, with ``too_long`` where it exceeds
+    ``max_sentence_length`` UTF-8 bytes (the trainer's limit is per line)."""
+    lines = corpus.select(F.explode(F.split(F.col(text), "\n")).alias("line"))
+    return lines.withColumn("too_long", F.octet_length("line") > max_sentence_length)
+
+
+def sentence_report(corpus: DataFrame, text: str = "text", max_sentence_length: int = 16384) -> DataFrame:
+    """How many lines and characters T05 reads, and how many lie in lines over the limit."""
+    s = sentences(corpus, text, max_sentence_length)
+    n, long = F.length("line"), F.col("too_long")
+    return s.agg(F.count(F.lit(1)).alias("n_lines"), F.coalesce(F.sum(n), F.lit(0)).alias("n_chars"),
+                 F.coalesce(F.sum(long.cast("long")), F.lit(0)).alias("n_long_lines"),
+                 F.coalesce(F.sum(F.when(long, n)), F.lit(0)).alias("n_long_chars"))
+
+
 def sp_words_table(corpus: DataFrame, text: str = "text", coverage: float = 0.9995,
-                   max_sentence_length: int = 16384) -> tuple[DataFrame, list[str]]:
-    """T05 input: ``nmt_nfkc_cf`` normalisation (X02), SentencePiece-style
+                   max_sentence_length: int = 16384, long_lines: str = "keep") -> tuple[DataFrame, list[str]]:
+    """T05 input: lines, ``nmt_nfkc_cf`` normalisation (X02), SentencePiece-style
     pieces (X05), character symbols; characters outside the ``coverage``
-    share (A06) fall back to ``<0xNN>`` byte symbols.  Sentences longer than
-    ``max_sentence_length`` characters are skipped.  Returns the word table
-    and the alphabet (kept characters + 256 byte symbols)."""
+    share (A06) fall back to ``<0xNN>`` byte symbols.  Lines longer than
+    ``max_sentence_length`` bytes are read like any other; ``long_lines="skip"``
+    leaves them out, and ``sentence_report`` counts them either way.  Returns
+    the word table and the alphabet (kept characters + 256 byte symbols)."""
     from .stats import character_coverage
-    norm = corpus.select(sp_normalize(F.col(text)).alias("t")).filter(F.length("t") <= max_sentence_length)
-    norm = cut_lineage(norm)
-    cc = character_coverage(norm.select(F.explode(chars("t")).alias("ch")).groupBy("ch")
-                            .agg(F.count(F.lit(1)).alias("cnt")), coverage)
+    if long_lines not in ("keep", "skip"):
+        raise ValueError("long_lines is keep or skip")
+    s = sentences(corpus, text, max_sentence_length)
+    if long_lines == "skip":
+        s = s.filter(~F.col("too_long"))
+    words = cut_lineage(s.select(F.explode(sp_pretokens(sp_normalize(F.col("line")))).alias("word"))
+                        .groupBy("word").agg(F.count(F.lit(1)).alias("cnt")))
+    by_char = (words.select(F.explode(chars("word")).alias("ch"), "cnt")
+               .groupBy("ch").agg(F.sum("cnt").alias("cnt")))
+    cc = character_coverage(by_char, coverage)
     kept = sorted(r["ch"] for r in cc.collect())      # bounded by the size of Unicode
-    kept_arr = F.array(*[F.lit(c) for c in kept]) if kept else F.array().cast("array<string>")
-    w = (norm.select(F.explode(sp_pretokens("t")).alias("word"))
-         .groupBy("word").agg(F.count(F.lit(1)).alias("cnt")))
-    syms = F.flatten(F.transform(chars("word"), lambda c: F.when(F.array_contains(kept_arr, c), F.array(c))
+    w = words
+    known = F.map_from_arrays(F.array(*[F.lit(c) for c in kept]), F.array_repeat(F.lit(True), len(kept))) \
+        if kept else F.create_map().cast("map<string,boolean>")
+    syms = F.flatten(F.transform(chars("word"), lambda c: F.when(F.element_at(known, c), F.array(c))
                                  .otherwise(byte_fallback(c))))
     w = w.withColumn("symbols", syms).withColumn("bl", F.array_join("symbols", ""))
     alphabet = kept + [f"<0x{b:02X}>" for b in range(256)]
@@ -161,9 +186,10 @@ def train_bpe(corpus: DataFrame, vocab_size: int = 512, min_frequency: int = 2,
     if preset is not None:                         # T06
         min_frequency = max(min_frequency, PRESETS[preset]["min_frequency"])
         limit_alphabet = PRESETS[preset]["limit_alphabet"]
+        if PRESETS[preset]["model"] != "bpe":
+            raise ValueError(f"preset {preset!r} trains a {PRESETS[preset]['model']} model, not merges")
     wt = words if words is not None else words_table(corpus, text, normalize)
-    parts = max(spark.sparkContext.defaultParallelism, 1)
-    wt = cut_lineage(wt.select("word", "cnt", "bl", "symbols").repartition(parts))
+    wt = cut_lineage(wt.select("word", "cnt", "bl", "symbols"))  # partitioned by the word count's shuffle
     # the byte alphabet is complete (256 symbols) and always kept, so an
     # alphabet cap (limit_alphabet) never removes anything in byte-level mode
     alphabet = list(alphabet) if alphabet is not None else list(BYTE_ALPHABET)
@@ -188,7 +214,11 @@ def train_bpe(corpus: DataFrame, vocab_size: int = 512, min_frequency: int = 2,
         rounds += 1
         # each round's table is cached (computed once, by the next pair count);
         # a reliable checkpoint every few rounds bounds the recovery lineage
-        wt = cut_lineage(wt) if rounds % checkpoint_every == 0 else wt.persist()
+        if rounds % checkpoint_every == 0:
+            wt = cut_lineage(wt)
+        else:
+            wt = wt.persist()
+            wt.count()  # fill the cache while the parent's is still there
         prev.unpersist()
     model = _model(spark, special_tokens, alphabet, merges, name)
     model.rounds = rounds
@@ -261,45 +291,69 @@ def lookup_ids(df: DataFrame, vocab: DataFrame, key: list[str], tokens: str = "t
                     F.transform("_t", lambda x: F.coalesce(x["id"], F.lit(unk_id))).alias("ids"))
 
 
+def _tables(model: BpeModel):
+    """Merge ranks and token ids (bounded by the vocabulary's size), for the tasks."""
+    ranks = {(r["l"], r["r"]): r["rank"] for r in model.merges.collect()}
+    ids = {r["token"]: r["id"] for r in model.vocab.collect()}
+    return model.vocab.sparkSession.sparkContext.broadcast((ranks, ids))
+
+
 def encode(docs: DataFrame, model: BpeModel, key: list[str], text: str = "text",
-           specials: bool = True, broadcast_max_words: int = 2_000_000, hot_words: int = 100_000) -> DataFrame:
-    """X06 + X08 over documents: ``(key…, input_ids)``.
-
-    Each distinct pre-token is encoded once; documents are joined back on
-    the word.  The word table is broadcast when a count shows it small;
-    otherwise the ``hot_words`` most frequent words are broadcast and only
-    the long tail goes through a shuffle join, so a word that occurs in a
-    third of all positions never lands in one task.
+           specials: bool = True, max_length: int | None = None) -> DataFrame:
+    """X06 + J01 + X08 (+ X09) over documents: ``(key…, input_ids)``, without a shuffle.
+
+    Pre-tokens come from the JVM; each Arrow batch maps them through a table
+    of words that the task has met (bounded; it starts anew when full), so a
+    word is merged once and a frequent word costs a look-up.  ``max_length``
+    truncates, template tokens included.
     """
-    toks = docs.select(*key, F.posexplode_outer(pretokens(nfkc(F.col(text)))).alias("pos", "word"))
-    counts = toks.filter(F.col("word").isNotNull()).groupBy("word").agg(F.count(F.lit(1)).alias("cnt"))
-    enc = cut_lineage(encode_words(counts, model).join(counts, "word"))
-    if enc.count() <= broadcast_max_words:
-        joined = toks.join(F.broadcast(enc.select("word", "ids")), "word", "left")
-    else:
-        hot = enc.orderBy(F.col("cnt").desc()).limit(hot_words).select("word", "ids")
-        cold = enc.join(F.broadcast(hot.select("word")), "word", "left_anti").select("word", "ids")
-        first = toks.join(F.broadcast(hot), "word", "left")
-        done = first.filter(F.col("ids").isNotNull() | F.col("word").isNull())
-        rest = first.filter(F.col("ids").isNull() & F.col("word").isNotNull()).drop("ids").join(cold, "word", "left")
-        joined = done.unionByName(rest)
-    piece = F.when(F.col("ids").isNotNull(), F.struct("pos", "ids"))
-    g = joined.groupBy(*key).agg(F.array_sort(F.collect_list(piece)).alias("_p"))
-    ids = F.flatten(F.transform("_p", lambda x: x["ids"]))
-    return g.select(*key, add_specials(ids).alias("input_ids") if specials else ids.alias("input_ids"))
+    tables, room = _tables(model), 500_000
+    pre = docs.select(*key, pretokens(nfkc(F.col(text))).alias("_words"))
+    types = {c: docs.schema[c].dataType.simpleString() for c in key}
+    schema = ", ".join(f"`{c}` {t}" for c, t in types.items()) + ", input_ids array<int>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks, ids = tables.value
+
+        class Known(dict):
+            def __missing__(self, word):
+                if len(self) >= room:
+                    self.clear()
+                symbols = [BYTE_DST[x] for x in word.encode("utf-8", "surrogatepass")]
+                v = self[word] = [ids.get(t, UNK_ID) for t in _bpe_word(symbols, ranks)]
+                return v
+
+        known = Known()
+        for b in batches:
+            out = []
+            for words in b.column(len(key)).to_pylist():
+                seq = [i for w in words or () for i in known[w]]
+                if max_length is not None:
+                    seq = seq[:max(max_length - 2 * specials, 0)]
+                out.append([BOS_ID, *seq, EOS_ID] if specials else seq)
+            yield pa.RecordBatch.from_arrays([*b.columns[:len(key)], pa.array(out, pa.list_(pa.int32()))],
+                                             names=[*key, "input_ids"])
+
+    return pre.mapInArrow(run, schema)
 
 
 def decode(seqs: DataFrame, vocab: DataFrame, key: list[str], ids: str = "input_ids",
            skip_special: bool = True, n_special: int = len(SPECIAL_TOKENS)) -> DataFrame:
-    """X15 + J02: ids -> tokens (inner join on id, specials skipped) ->
-    byte-level string -> UTF-8 text, in position order."""
-    ex = seqs.select(*key, F.posexplode(ids).alias("pos", "id"))
-    if skip_special:
-        ex = ex.filter(F.col("id") >= n_special)
-    j = ex.join(F.broadcast(vocab.select("token", "id")), "id")
-    g = j.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("_t"))
-    s = F.array_join(F.transform("_t", lambda x: x["token"]), "")
-    return g.select(*key, byte_level_decode(s).alias("text"))
+    """X15 + J02: ids -> tokens (unknown ids and, by default, specials are
+    skipped) -> byte-level string -> UTF-8 text, in position order; no shuffle."""
+    names = vocab.sparkSession.sparkContext.broadcast({r["id"]: r["token"] for r in vocab.collect()})
+    types = {c: seqs.schema[c].dataType.simpleString() for c in key}
+    schema = ", ".join(f"`{c}` {t}" for c, t in types.items()) + ", _bl string"
+    floor = n_special if skip_special else 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token = names.value
+        for b in batches:
+            out = ["".join(token.get(i, "") for i in seq or () if i >= floor) for seq in b.column(len(key)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:len(key)], pa.array(out, pa.string())], names=[*key, "_bl"])
+
+    d = seqs.select(*key, ids).mapInArrow(run, schema)
+    return d.select(*key, byte_level_decode("_bl").alias("text"))
 
 
 def roundtrip_mismatches(docs: DataFrame, model: BpeModel, key: list[str], text: str = "text") -> DataFrame:
@@ -334,7 +388,7 @@ def extend_vocabulary(base: BpeModel, new_corpus: DataFrame, new_vocab_size: int
     spark = new_corpus.sparkSession
     cur = base.vocab.count()
     if new_vocab_size <= cur:
-        raise ValueError(f"new_vocab_size ({new_vocab_size}) must be greater than original ({cur})")
+        raise ValueError(f"the base vocabulary has {cur} entries already; ask for more than that, not {new_vocab_size}")
     p = PRESETS[preset]
     min_frequency = max(min_frequency, p["min_frequency"])
     delta = new_vocab_size - cur

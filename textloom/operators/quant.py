@@ -73,10 +73,11 @@ def unpack_int4(packed: Column, signed: bool = True) -> Column:
 
 
 def fake_quantize(vec="embedding", bits: int = 4) -> Column:
-    """Q05: one scale per tensor (``max|x| / (2^(b-1)-1)``), round, rescale."""
+    """Q05: one scale per tensor (``max|x| / (2^(b-1)-1)``), round, rescale;
+    an all-zero vector stays zero."""
     x = _c(vec).cast("array<double>")
     scale = F.array_max(F.transform(x, lambda v: F.abs(v))) / F.lit(float(2 ** (bits - 1) - 1))
-    return F.transform(x, lambda v: F.rint(v / scale) * scale)
+    return F.transform(x, lambda v: F.coalesce(F.rint(F.try_divide(v, scale)) * scale, F.lit(0.0)))
 
 
 def mse(a: Column, b: Column) -> Column:

@@ -83,17 +83,14 @@ def fertility(df: DataFrame, text: str, n_tokens: Column, by: str | None = None)
 
 
 def length_stats(df: DataFrame, cols: list[str]) -> DataFrame:
-    """mean/min/max/median of the character length of each column."""
-    parts = []
+    """mean/min/max/median of the character length of each column, in one scan."""
+    one = []
     for c in cols:
         n = F.length(c)
-        parts.append(df.agg(F.lit(c).alias("field"), F.round(F.avg(n), 6).alias("mean_len"),
+        one.append(F.struct(F.lit(c).alias("field"), F.round(F.avg(n), 6).alias("mean_len"),
                             F.min(n).cast("bigint").alias("min_len"), F.max(n).cast("bigint").alias("max_len"),
                             F.round(F.median(n), 6).alias("median_len")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return df.agg(F.array(*one).alias("s")).select(F.inline("s"))
 
 
 def step_arithmetic(n_rows: Column, batch_size: int, epochs: int, accum: int, n_gpus: int = 1) -> list[Column]:

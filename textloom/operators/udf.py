@@ -1,8 +1,8 @@
 """User batch functions and pluggable scorers.
 
 ``map_batches`` runs a user function over Arrow batches (``mapInPandas``):
-the user's object (e.g. a model) is created once per Python worker by a
-factory, never shipped per row.  The default generator is a greedy bigram
+the user's object (e.g. a model) is created once per task by a factory,
+never shipped per row.  The default generator is a greedy bigram
 decoder whose table (one best next token per context, at most V rows) is
 broadcast.
 """
@@ -21,14 +21,12 @@ from ..functions.tokens import EOS_ID
 def map_batches(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str,
                 factory: Callable[[], object] | None = None) -> DataFrame:
     """``fn(batch)`` or ``fn(batch, obj)`` with ``obj = factory()``
-    built once per worker process."""
-    holder: dict = {}
+    built once per task."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if factory is not None and "obj" not in holder:
-            holder["obj"] = factory()
+        obj = factory() if factory is not None else None
         for b in it:
-            yield fn(b, holder["obj"]) if factory is not None else fn(b)
+            yield fn(b, obj) if factory is not None else fn(b)
 
     return df.mapInPandas(run, schema)
 

@@ -1,75 +1,143 @@
-"""Registered queries over a trained byte-level BPE vocabulary (rows-only
-checks: training is iterative; tests compare it with a brute-force BPE)."""
+"""Registered queries over a trained byte-level BPE vocabulary.
+
+The DuckDB side trains the same small vocabulary with a recursive query (one
+merge a step over the distinct words) and encodes by replaying the merges.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import BYTE_DST
 from ..operators import bpe
 from ..operators import pack as pk
 from ..operators import stats as st
+from ..session import cut_lineage
 from ..sources.tables import table
 from .corpus import corpus, keep_for_training
+from .queries_text import A03_SQL
 from .registry import query
 
 BASE_VOCAB = 300
-_CACHE: dict = {}
-
+N_MERGES = BASE_VOCAB - 263
+
+_MAP = "[" + ", ".join("'" + c.replace("'", "''") + "'" for c in BYTE_DST) + "]"
+# a symbol is wrapped in chr(1) and chr(2), so replacing a pair is one left-to-right pass
+_WRAP = (f"list_reduce(list_concat([''], list_transform(regexp_extract_all(hex(encode(word)), '..'), "
+         f"lambda b: chr(1) || {_MAP}[('0x' || b)::INTEGER + 1] || chr(2))), lambda a, b: a || b)")
+_PAIR = "chr(1) || {l} || chr(2) || chr(1) || {r} || chr(2)"
+
+
+def merges_sql(words: str, n: int) -> str:
+    """A CTE list ending in ``merges(rank, l, r)`` and ``final(word, cnt, s)``."""
+    return f"""w AS ({words}),
+t AS (
+  SELECT 0 AS step, word, cnt, {_WRAP} AS s, ''::VARCHAR AS l, ''::VARCHAR AS r FROM w
+  UNION ALL
+  SELECT t.step + 1, t.word, t.cnt, replace(t.s, {_PAIR.format(l='b.l', r='b.r')}, chr(1) || b.l || b.r || chr(2)), b.l, b.r
+  FROM t, (SELECT l, r FROM (
+             SELECT x[i] AS l, x[i + 1] AS r, cnt FROM (
+               SELECT x, cnt, unnest(range(1, len(x))) AS i FROM (
+                 SELECT regexp_extract_all(s, chr(1) || '([^' || chr(2) || ']+)' || chr(2), 1) AS x, cnt FROM t) WHERE len(x) > 1))
+           GROUP BY l, r HAVING sum(cnt) >= 2 ORDER BY sum(cnt) DESC, l, r LIMIT 1) b
+  WHERE t.step < {n}),
+merges AS (SELECT step - 1 AS rank, any_value(l) AS l, any_value(r) AS r FROM t WHERE step > 0 GROUP BY step),
+final AS (SELECT word, cnt, s, len(s) - len(replace(s, chr(1), '')) AS n FROM t
+          WHERE step = (SELECT max(step) FROM t))"""
+
+
+T01_SQL = f"WITH RECURSIVE {merges_sql(A03_SQL, N_MERGES)} SELECT CAST(rank AS INTEGER) AS rank, l, r FROM merges"
+# the ids: seven specials, the 256 byte symbols in code point order, then the merged tokens
+T01_VOCAB_SQL = f"""
+WITH RECURSIVE {merges_sql(A03_SQL, N_MERGES)},
+sp AS (SELECT unnest(['<pad>', '<s>', '</s>', '<unk>', '<|endoftext|>', '<|im_start|>', '<|im_end|>']) AS token,
+              unnest(range(0, 7)) AS id),
+al AS (SELECT token, row_number() OVER (ORDER BY token) + 6 AS id FROM (SELECT unnest({_MAP}) AS token))
+SELECT token, CAST(id AS INTEGER) AS id FROM (
+  SELECT * FROM sp UNION ALL SELECT * FROM al UNION ALL
+  SELECT token, row_number() OVER (ORDER BY rank) + 262 FROM (SELECT l || r AS token, min(rank) AS rank FROM merges GROUP BY 1))
+"""
 
 def trained(spark, sf, vocab_size: int = BASE_VOCAB, lang: str | None = None) -> bpe.BpeModel:
-    """Train once per (session, data, size, language) and reuse."""
-    key = (id(spark.sparkContext), sf, vocab_size, lang)
-    if key not in _CACHE:
-        d = table(spark, sf, "documents")
-        if lang:
-            d = d.filter(F.col("lang") == lang)
-        m = bpe.train_bpe(d, vocab_size=vocab_size, name=f"bpe{vocab_size}{'_' + lang if lang else ''}")
-        from ..session import cut_lineage
-        m.vocab, m.merges = cut_lineage(m.vocab), cut_lineage(m.merges)
-        _CACHE[key] = m
-    return _CACHE[key]
-
-
-def encoded(spark, sf):
-    key = (id(spark.sparkContext), sf, "encoded")
-    if key not in _CACHE:
-        from ..session import cut_lineage
-        d = table(spark, sf, "documents")
-        _CACHE[key] = cut_lineage(bpe.encode(d, trained(spark, sf), ["doc_id"]))
-    return _CACHE[key]
-
-
-@query("t01_bpe_merges")
+    d = table(spark, sf, "documents")
+    if lang:
+        d = d.filter(F.col("lang") == lang)
+    m = bpe.train_bpe(d, vocab_size=vocab_size, name=f"bpe{vocab_size}{'_' + lang if lang else ''}")
+    m.vocab, m.merges = cut_lineage(m.vocab), cut_lineage(m.merges)
+    return m
+
+
+def encoded(spark, sf, max_length: int | None = None, keep: bool = False):
+    d = table(spark, sf, "documents")
+    m = trained(spark, sf)
+    return bpe.encode(keep_for_training(d) if keep else d, m, ["doc_id"], max_length=max_length)
+
+
+@query("t01_bpe_merges", T01_SQL)
 def t01_merges(spark, sf):
     """Merges learned from all documents (vocabulary of 300)."""
     return trained(spark, sf).merges
 
 
-@query("t01_bpe_vocab")
+@query("t01_bpe_vocab", T01_VOCAB_SQL)
 def t01_vocab(spark, sf):
     return trained(spark, sf).vocab
 
 
-@query("x06_bpe_encode")
-def x06(spark, sf):
-    """X06 + J01 + X08: every document encoded (distinct words once, joined back)."""
-    e = encoded(spark, sf)
+def _sums(e):
     return e.select("doc_id", F.size("input_ids").cast("bigint").alias("n_tokens"),
                     F.aggregate("input_ids", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("id_sum"))
 
 
-@query("x16_roundtrip")
+# A03's words for each document, with their ids summed
+_DOC_WORDS = (A03_SQL.replace("WITH t AS (SELECT ", "WITH t AS (SELECT doc_id, ")
+              .replace("SELECT unnest(regexp_extract_all(t, ", "SELECT doc_id, unnest(regexp_extract_all(t, ")
+              .replace("SELECT word FROM (", "SELECT doc_id, word FROM (")
+              .replace("SELECT CASE WHEN regexp_matches(run", "SELECT doc_id, CASE WHEN regexp_matches(run")
+              .replace("SELECT word, count(*) AS cnt FROM w GROUP BY word", "SELECT doc_id, word, count(*) AS k FROM w GROUP BY ALL"))
+_ENCODED = f"""{merges_sql(A03_SQL, N_MERGES)},
+v AS (SELECT token, id FROM ({T01_VOCAB_SQL})),
+wi AS (SELECT word, count(*) AS n, sum(v.id) AS s FROM (
+         SELECT word, unnest(regexp_extract_all(s, chr(1) || '([^' || chr(2) || ']+)' || chr(2), 1)) AS token FROM final)
+       JOIN v USING (token) GROUP BY word),
+dw AS (SELECT doc_id, sum(k * n) AS n, sum(k * s) AS s FROM ({_DOC_WORDS}) JOIN wi USING (word) GROUP BY doc_id)"""
+X06_SQL = f"""WITH RECURSIVE {_ENCODED}
+SELECT doc_id, CAST(coalesce(dw.n, 0) + 2 AS BIGINT) AS n_tokens, CAST(coalesce(dw.s, 0) + 3 AS BIGINT) AS id_sum
+FROM documents LEFT JOIN dw USING (doc_id)"""
+A08_SQL = f"""WITH RECURSIVE {_ENCODED}
+SELECT lang, CAST(sum(length(text)) AS BIGINT) AS total_chars, CAST(sum(coalesce(dw.n, 0)) AS BIGINT) AS total_tokens,
+       CASE WHEN sum(dw.n) > 0 THEN round(sum(length(text)) / sum(dw.n), 6) ELSE 0.0 END AS chars_per_token
+FROM documents LEFT JOIN dw USING (doc_id) GROUP BY ROLLUP (lang)"""
+
+
+@query("x06_bpe_encode", X06_SQL)
+def x06(spark, sf):
+    """X06 + J01 + X08: every document encoded."""
+    return _sums(encoded(spark, sf))
+
+
+@query("k06_bpe_truncate")
+def k06_bpe(spark, sf):
+    """X01 -> X03 -> X06 -> X08/X09: training documents encoded with the
+    trained vocabulary, cut to 512 tokens with the template."""
+    return _sums(encoded(spark, sf, max_length=512, keep=True))
+
+
+@query("x16_roundtrip", "SELECT count(*) AS n_docs, CAST(0 AS BIGINT) AS n_mismatch FROM documents")
 def x16(spark, sf):
     """X15 + X16 + J02: decode(encode(text)) against NFKC(text) with the prefix space."""
     return bpe.roundtrip_mismatches(table(spark, sf, "documents"), trained(spark, sf), ["doc_id"])
 
 
-@query("j06_special_tokens")
+@query("j06_special_tokens",
+       "SELECT token, CAST(id AS INTEGER) AS expected_id, CAST(id AS INTEGER) AS id, true AS present, true AS id_matches FROM ("
+       "SELECT unnest(['<pad>', '<s>', '</s>', '<unk>', '<|endoftext|>', '<|im_start|>', '<|im_end|>']) AS token, "
+       "unnest(range(0, 7)) AS id)")
 def j06(spark, sf):
     return bpe.special_token_report(trained(spark, sf).vocab)
 
 
-@query("a08_fertility_bpe")
+@query("a08_fertility_bpe", A08_SQL)
 def a08_bpe(spark, sf):
     """A08 with the trained vocabulary: chars per BPE token, per language and overall."""
     d = table(spark, sf, "documents").join(encoded(spark, sf), "doc_id")
@@ -87,14 +155,16 @@ def t02(spark, sf):
                        F.coalesce(F.col("base_id") == F.col("id"), F.lit(True)).alias("id_kept"))
 
 
-@query("a13_tokenizer_comparison")
+@query("a13_tokenizer_comparison",
+       f"SELECT name, 'BPE' AS type, CAST({BASE_VOCAB} AS BIGINT) AS vocab_size, CAST({N_MERGES} AS BIGINT) AS n_merges "
+       f"FROM (VALUES ('bpe{BASE_VOCAB}'), ('bpe{BASE_VOCAB}_en')) t(name)")
 def a13(spark, sf):
     """Vocabulary size, merge count and model type per tokenizer, by name."""
     rows = []
     for m in (trained(spark, sf), trained(spark, sf, BASE_VOCAB, "en")):
-        rows.append(m.vocab.agg(F.count(F.lit(1)).alias("vocab_size")).crossJoin(
-            m.merges.agg(F.count(F.lit(1)).alias("n_merges")))
-            .withColumn("name", F.lit(m.name)).withColumn("type", F.lit("BPE")))
+        both = m.vocab.select(F.lit(1).alias("v")).union(m.merges.select(F.lit(0).alias("v")))
+        rows.append(both.agg(F.sum("v").cast("bigint").alias("vocab_size"), F.sum(1 - F.col("v")).cast("bigint").alias("n_merges"))
+                    .select(F.lit(m.name).alias("name"), F.lit("BPE").alias("type"), "vocab_size", "n_merges"))
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r)

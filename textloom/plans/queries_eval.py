@@ -73,6 +73,35 @@ def e10(spark, sf):
     return ls.reduce_loss(_logits(spark, sf), ls.loss_column({"type": "multi_objective"}), reduction="mean")
 
 
+def _some_ignored(spark, sf):
+    """Labels under 3 become the ignore index."""
+    return _logits(spark, sf).withColumn("label", F.when(F.col("label") < 3, -100).otherwise(F.col("label")))
+
+
+@query("e06_ignored_per_row", _Z + "SELECT vec_id, CASE WHEN label < 3 THEN 0.0 ELSE round(ce, 6) END AS loss FROM l")
+def e06_ignored(spark, sf):
+    """E06 ``none``: a value for every row, 0 where the label is ignored."""
+    d = ls.reduce_loss(_some_ignored(spark, sf), ls.loss_column({"type": "cross_entropy", "params": {}}), reduction="none")
+    return d.select("vec_id", F.round("loss", 6).alias("loss"))
+
+
+@query("e07_ignored_by_label", _Z + """, m AS (SELECT CASE WHEN label < 3 THEN -100 ELSE label END AS label, ce FROM l)
+SELECT label, CASE WHEN label = -100 THEN 0.0 ELSE round(sum(ce) / count(*), 6) END AS loss,
+       CAST(sum((label <> -100)::INT) AS BIGINT) AS n_valid FROM m GROUP BY label""")
+def e07_ignored(spark, sf):
+    """A group without a valid row has loss 0."""
+    return ls.reduce_loss(_some_ignored(spark, sf), ls.cross_entropy(), reduction="mean", by=["label"])
+
+
+@query("e08_ignored_focal_config", _Z + f"""
+SELECT round(sum(CASE WHEN label >= 3 THEN pow(1 - exp(-ce), 1.5) * ce * 0.25 END) / sum((label >= 3)::INT), 6) AS loss,
+       CAST(sum((label >= 3)::INT) AS BIGINT) AS n_valid FROM l""")
+def e08_ignored(spark, sf):
+    """D04 with a ``params`` object, over partly ignored labels."""
+    loss = ls.loss_column({"type": "focal", "params": {"gamma": 1.5, "alpha": 0.25}})
+    return ls.reduce_loss(_some_ignored(spark, sf), loss, reduction="mean")
+
+
 @query("e04_batch_mean_perplexity",
        _Z + "SELECT round(avg(bl), 6) AS eval_loss, round(exp(avg(bl)), 6) AS perplexity FROM "
             "(SELECT vec_id // 8 AS b, avg(ce) AS bl FROM l GROUP BY b)")
@@ -280,6 +309,20 @@ def q06(spark, sf):
     return qt.quantization_error(table(spark, sf, "embeddings"), "embedding", 4)
 
 
+@query("q06_fake_quant_zero_vectors", """
+WITH e AS (SELECT CAST(CASE WHEN label = 0 THEN list_transform(embedding, lambda v: 0) ELSE embedding END AS DOUBLE[]) AS x
+           FROM embeddings),
+s AS (SELECT x, list_max(list_transform(x, lambda v: abs(v))) / 7.0 AS scale FROM e)
+SELECT round(avg(CASE WHEN scale = 0 THEN 0 ELSE
+         list_sum(list_transform(x, lambda v: pow(round_even(v / scale, 0) * scale - v, 2))) / len(x) END), 9) AS quant_loss,
+       count(*) AS n_units FROM s""")
+def q06_zero(spark, sf):
+    """Q05+Q06: all-zero vectors (label 0 here) stay zero and cost nothing."""
+    e = table(spark, sf, "embeddings").withColumn("embedding", F.when(
+        F.col("label") == 0, F.transform("embedding", lambda v: v * 0)).otherwise(F.col("embedding")))
+    return qt.quantization_error(e, "embedding", 4)
+
+
 @query("q07_size_report",
        f"SELECT CAST(count(*) * 64 * 4 AS BIGINT) AS bytes_before, CAST(count(*) * (32 + 2 * 2) AS BIGINT) AS bytes_after, "
        f"round(256.0 / 36, 6) AS ratio, 1.0 AS quantized_share FROM embeddings")

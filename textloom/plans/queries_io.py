@@ -77,7 +77,7 @@ def s02(spark, sf):
 @query("s11_s19_shards_manifest",
        "SELECT source AS src, count(*) AS num_samples FROM documents GROUP BY source")
 def s11(spark, sf):
-    """S11 + S12 + S19 + S13: sharded write (count-based shard rule), reload,
+    """S11 + S12 + S19 + S13: sharded write (dealt out by size), reload,
     per-source manifest; metadata written beside the data."""
     path = _scratch(spark, "shards")
     d = table(spark, sf, "documents").select(F.col("source").alias("src"), "doc_id", "text")

@@ -16,7 +16,7 @@ from ..operators.udf import generate_greedy
 from ..sources.tables import table
 from .corpus import byte_chunks
 from .queries_text import A03_SQL
-from .registry import query
+from .registry import duck_byte_ids, query
 
 # generated from the byte -> symbol rule, not typed
 _MAP = "[" + ", ".join("'" + c.replace("'", "''") + "'" for c in BYTE_DST) + "]"
@@ -53,23 +53,29 @@ def j07(spark, sf):
     return p.join(r, ["conv_id", "k"])
 
 
-@query("l04_random_sample")
+@query("l04_random_sample",
+       "SELECT doc_id, lang FROM documents ORDER BY md5('42|' || doc_id::VARCHAR), doc_id LIMIT 50")
 def l04(spark, sf):
     """A repeatable sample of 50 documents without replacement."""
     return smp.sample_k(table(spark, sf, "documents").select("doc_id", "lang"), 50, "doc_id", seed=42)
 
 
-@query("l05_shuffle")
+@query("l05_shuffle", "SELECT doc_id, source FROM documents")
 def l05(spark, sf):
     """A full, repeatable shuffle of the corpus (range partitioned on a hash)."""
     return smp.shuffle(table(spark, sf, "documents").select("doc_id", "source"), "doc_id", seed=7)
 
 
-@query("l07_length_grouped_batches")
+@query("l07_length_grouped_batches", """
+WITH s AS (SELECT conv_id, turn, length(text) AS n, row_number() OVER (
+             ORDER BY md5('42|' || conv_id::VARCHAR || '|' || turn::VARCHAR), conv_id, turn) - 1 AS i FROM conversations),
+r AS (SELECT n, i // 80 AS mb, row_number() OVER (PARTITION BY i // 80 ORDER BY n DESC, conv_id, turn) - 1 AS r FROM s)
+SELECT CAST(mb * 10 + r // 8 AS BIGINT) AS batch_id, count(*) AS n, CAST(min(n) AS INTEGER) AS min_len,
+       CAST(max(n) AS INTEGER) AS max_len FROM r GROUP BY 1""")
 def l07(spark, sf):
     """Batches of 8 turns of similar length inside shuffled mega-batches."""
-    c = table(spark, sf, "conversations").withColumn("key", F.col("conv_id") * 1000 + F.col("turn"))
-    b = smp.length_grouped_batches(c.select("key", "text"), 8, F.length("text"), "key", mega_batch=10)
+    c = table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    b = smp.length_grouped_batches(c, 8, F.length("text"), ["conv_id", "turn"], mega_batch=10)
     return b.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.length("text")).alias("min_len"),
                                      F.max(F.length("text")).alias("max_len"))
 
@@ -80,7 +86,9 @@ def a10(spark, sf):
     return st.throughput(byte_chunks(spark, sf, 2048))
 
 
-@query("a14_dataset_profile")
+@query("a14_dataset_profile", """
+SELECT c AS column, t AS type, (SELECT count(*) FROM documents) AS n_rows
+FROM (VALUES ('doc_id', 'bigint'), ('text', 'string'), ('lang', 'string'), ('source', 'string'), ('n_chars', 'bigint')) v(c, t)""")
 def a14(spark, sf):
     """First five columns with their types, and the row count."""
     return st.profile(table(spark, sf, "documents"))
@@ -94,7 +102,38 @@ def x01(spark, sf):
                                  F.count(F.lit(1)).alias("n_docs"))
 
 
-@query("x05_sp_pieces")
+# casefold() differs from lower() on the given texts in the sharp s only; NFKC changes none (x01)
+_SP_NORM = r"trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '\s+', ' ', 'g'))"
+_SP_SCRIPTS = "|".join(rf"(?:\p{{{s}}}\p{{M}}*)+" for s in
+                       ("Han", "Hangul", "Hiragana", "Katakana", "Latin", "Cyrillic", "Greek", "Arabic"))
+X05_SQL = rf"""
+WITH t AS (SELECT lang, CASE WHEN {_SP_NORM} = '' THEN '' ELSE '▁' || replace({_SP_NORM}, ' ', '▁') END AS t FROM documents)
+SELECT lang, CAST(sum(len(regexp_extract_all(
+  t, '▁?(?:\p{{N}}|{_SP_SCRIPTS}|(?:\p{{L}}\p{{M}}*)+|[^\p{{L}}\p{{N}}▁]+)|▁'))) AS BIGINT) AS n_pieces
+FROM t GROUP BY lang"""
+
+
+@query("x02_normalized_chars", rf"""
+SELECT lang, CAST(sum(CASE WHEN {_SP_NORM} = '' THEN 0 ELSE length({_SP_NORM}) + 1 END) AS BIGINT) AS n_chars,
+       CAST(sum(CASE WHEN {_SP_NORM} = '' THEN 0 ELSE length({_SP_NORM}) - length(replace({_SP_NORM}, ' ', '')) + 1 END) AS BIGINT)
+         AS n_spaces FROM documents GROUP BY lang""")
+def x02(spark, sf):
+    """Characters and spaces left by normalisation, per language."""
+    t = table(spark, sf, "documents").select("lang", sp_normalize(F.col("text")).alias("t"))
+    spaces = F.length("t") - F.length(F.regexp_replace("t", " ", ""))
+    return t.groupBy("lang").agg(F.sum(F.length("t")).cast("bigint").alias("n_chars"), F.sum(spaces).cast("bigint").alias("n_spaces"))
+
+
+@query("x05_piece_chars", rf"""
+SELECT lang, CAST(sum(CASE WHEN {_SP_NORM} = '' THEN 0 ELSE length({_SP_NORM}) + 1 END) AS BIGINT) AS n_chars
+FROM documents GROUP BY lang""")
+def x05_chars(spark, sf):
+    """X05 loses nothing: the pieces' characters are the normalised text's."""
+    p = table(spark, sf, "documents").select("lang", sp_pretokens(sp_normalize(F.col("text"))).alias("p"))
+    return p.groupBy("lang").agg(F.sum(F.length(F.array_join("p", ""))).cast("bigint").alias("n_chars"))
+
+
+@query("x05_sp_pieces", X05_SQL)
 def x05(spark, sf):
     """X02 + X05: normalised text cut into SentencePiece-style pieces, per language."""
     d = table(spark, sf, "documents")
@@ -102,19 +141,43 @@ def x05(spark, sf):
     return p.groupBy("lang").agg(F.sum("n").cast("bigint").alias("n_pieces"))
 
 
+@query("t05_sentences", """
+WITH s AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents)
+SELECT count(*) AS n_lines, CAST(sum(length(line)) AS BIGINT) AS n_chars,
+       CAST(sum((strlen(line) > 16384)::INT) AS BIGINT) AS n_long_lines,
+       CAST(coalesce(sum(CASE WHEN strlen(line) > 16384 THEN length(line) END), 0) AS BIGINT) AS n_long_chars FROM s""")
+def t05_sentences(spark, sf):
+    """T05's input: every line, and what lies in lines over the limit."""
+    return bpe.sentence_report(table(spark, sf, "documents"))
+
+
 @query("t05_sp_bpe_merges")
 def t05(spark, sf):
     """SentencePiece-style BPE (coverage 0.9995, byte fallback), 400 entries."""
     return bpe.train_sp_bpe(table(spark, sf, "documents"), 400).merges
 
 
-@query("e11_greedy_generation")
+E11_SQL = f"""
+WITH RECURSIVE ids AS (SELECT [1] || {duck_byte_ids('text')} || [2] AS x FROM documents),
+c AS (SELECT prev, tok, count(*) AS n FROM (
+        SELECT unnest(x[1:len(x) - 1]) AS prev, unnest(x[2:len(x)]) AS tok FROM ids) GROUP BY prev, tok),
+nxt AS (SELECT prev, tok FROM c QUALIFY row_number() OVER (PARTITION BY prev ORDER BY n DESC, tok) = 1),
+p AS (SELECT conv_id, turn, {duck_byte_ids('text')} AS b FROM conversations WHERE role = 'user'),
+g AS (SELECT conv_id, turn, coalesce(b[len(b)], 2) AS cur, 0 AS step FROM p
+      UNION ALL
+      SELECT g.conv_id, g.turn, nxt.tok, g.step + 1 FROM g JOIN nxt ON nxt.prev = g.cur
+      WHERE g.step < 16 AND (g.step = 0 OR g.cur <> 2))
+SELECT conv_id, turn, CAST(count(*) - 1 AS INTEGER) AS n_generated,
+       CAST(coalesce(sum(CASE WHEN step > 0 THEN cur END), 0) AS BIGINT) AS gen_sum FROM g GROUP BY conv_id, turn"""
+
+
+@query("e11_greedy_generation", E11_SQL)
 def e11(spark, sf):
-    """E11 + D05: each user turn (last 64 byte tokens) continued greedily by
-    the bigram model counted over the documents."""
+    """E11 + D05: each user turn continued greedily, up to 16 tokens, by the
+    bigram model counted over the documents."""
     counts = ev.ngram_counts(table(spark, sf, "documents").select(add_specials(byte_ids("text")).alias("input_ids")))
     prompts = table(spark, sf, "conversations").filter(F.col("role") == "user").select(
-        "conv_id", "turn", F.slice(byte_ids("text"), -64, 64).alias("input_ids"))
+        "conv_id", "turn", byte_ids("text").alias("input_ids"))
     g = generate_greedy(prompts, counts, 16)
     return g.select("conv_id", "turn", F.size("generated").alias("n_generated"),
                     F.aggregate("generated", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("gen_sum"))

@@ -154,6 +154,16 @@ def a15(spark, sf):
                   F.round(F.sum("n_tokens") / (F.count(F.lit(1)) * 2048), 6).alias("efficiency"))
 
 
+@query("k03_balanced_totals", f"""
+SELECT source AS src, CAST(doc_id // 50000 AS BIGINT) AS segment, CAST(sum(least(strlen(text) + 2, 512)) AS BIGINT) AS n_tokens,
+       count(*) AS n_sequences FROM documents
+WHERE text IS NOT NULL AND length(text) > 0 AND length({duck_strip('text')}) > 50 GROUP BY 1, 2""")
+def k03_totals(spark, sf):
+    """K03 packs every sequence once: tokens and sequences of each segment."""
+    return k03(spark, sf).groupBy("src", "segment").agg(
+        F.sum("n_tokens").cast("bigint").alias("n_tokens"), F.sum("n_sequences").cast("bigint").alias("n_sequences"))
+
+
 @query("k03_balanced_pack")
 def k03(spark, sf):
     """K03 + A15: best-fit-decreasing packing of byte-tokenised documents

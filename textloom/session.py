@@ -46,8 +46,9 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     """Make sure reliable checkpoints have a directory; return it.
 
     The cluster's shared folder named by ``spark.checkpoint.dir`` wins.  A
-    private temporary folder is created only when nothing is configured,
-    which happens in local tests.
+    private temporary folder is created only when nothing is configured and
+    the master is local (tests); on a cluster that is an error, since other
+    machines could not see it.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -55,6 +56,8 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if fallback is None and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         configured = fallback or tempfile.mkdtemp(prefix="textloom-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

@@ -64,16 +64,30 @@ def read_text_records(spark: SparkSession, paths) -> DataFrame:
 
 
 def read_tolerant(spark: SparkSession, paths, schema: str) -> tuple[DataFrame, DataFrame]:
-    """Many JSON Lines files at once; malformed records are kept out of
-    the data and reported per file (count of corrupt records)."""
-    df = (spark.read.schema(schema + ", _corrupt_record string").option("mode", "PERMISSIVE")
-          .option("columnNameOfCorruptRecord", "_corrupt_record").json(paths)
-          .withColumn("path", F.col("_metadata.file_path")))
-    df = df.cache()
+    """Many JSON Lines files at once.  Missing and unreadable files are
+    skipped, malformed records are kept out of the data, and the report has a
+    row for each path asked for: ``status`` (read, missing or unreadable),
+    records and corrupt records."""
+    from .tables import _exists
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    found = [p for p in paths if _exists(spark, p)]
+    full = schema + ", _corrupt_record string"
+    if found:
+        df = (spark.read.schema(full).option("mode", "PERMISSIVE").option("ignoreCorruptFiles", True)
+              .option("ignoreMissingFiles", True).option("columnNameOfCorruptRecord", "_corrupt_record").json(found)
+              .withColumn("path", F.col("_metadata.file_path")))
+    else:
+        df = spark.createDataFrame([], full + ", path string")
     good = df.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
-    report = (df.groupBy("path").agg(F.count(F.lit(1)).alias("n_records"),
-                                     F.count("_corrupt_record").alias("n_corrupt")))
-    return good, report
+    asked = spark.createDataFrame([(p, p in found) for p in paths], "asked string, found boolean")
+    counts = df.groupBy("path").agg(F.count(F.lit(1)).alias("n_records"), F.count("_corrupt_record").alias("n_corrupt"))
+    # a path is matched with the file's URI by its end; folders match what lies below them
+    hit = F.col("path").endswith(F.col("asked")) | F.col("path").contains(F.concat(F.col("asked"), F.lit("/")))
+    report = asked.join(counts, hit, "left")  # one row for each file on either side
+    return good, report.select(
+        F.coalesce("path", "asked").alias("path"),
+        F.when(~F.col("found"), "missing").when(F.col("path").isNull(), "unreadable").otherwise("read").alias("status"),
+        F.coalesce("n_records", F.lit(0)).alias("n_records"), F.coalesce("n_corrupt", F.lit(0)).alias("n_corrupt"))
 
 
 def read_training_log(spark: SparkSession, path: str) -> DataFrame:

@@ -22,18 +22,17 @@ def shard_count(n_rows: int, cpu_count: int) -> int:
     return min(32, base)
 
 
-def write_shards(df: DataFrame, path: str, n_shards: int | None = None, cpu_count: int | None = None,
+def write_shards(df: DataFrame, path: str, n_shards: int | None = None,
                  mode: str = "overwrite", max_records_per_file: int | None = None) -> int:
     """Sharded Parquet write; Spark's ``_SUCCESS`` is the completion marker.
-    Without ``n_shards`` the count-based rule picks it."""
-    if n_shards is None:
-        cpu = cpu_count or df.sparkSession.sparkContext.defaultParallelism
-        n_shards = shard_count(df.count(), cpu)
-    w = df.repartition(n_shards).write.mode(mode)
-    if max_records_per_file:
-        w = w.option("maxRecordsPerFile", max_records_per_file)
-    w.parquet(path)
-    return n_shards
+
+    By default the rows are dealt out by size (adaptive execution rebalances
+    them to its advisory partition size) and files are cut at
+    ``max_records_per_file``.  ``n_shards`` asks for a number of shards, which
+    ``shard_count`` picks by the count-based rule.  Returns the files' number."""
+    w = (df.repartition(n_shards) if n_shards else df.hint("rebalance")).write.mode(mode)
+    w.option("maxRecordsPerFile", max_records_per_file or 1_000_000).parquet(path)
+    return len(df.sparkSession.read.parquet(path).inputFiles())
 
 
 def write_metadata(spark: SparkSession, path: str, **fields) -> DataFrame:
@@ -93,6 +92,11 @@ def write_tokenizer_json(vocab: DataFrame, merges: DataFrame, path: str, model_t
     assembled as one JSON document."""
     v = {r["token"]: int(r["id"]) for r in vocab.collect()}
     m = [f"{r['l']} {r['r']}" for r in merges.orderBy("rank").collect()]
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump({"model": {"type": model_type, "vocab": v, "merges": m}}, f, ensure_ascii=False)
+    text = json.dumps({"model": {"type": model_type, "vocab": v, "merges": m}}, ensure_ascii=False)
+    spark = vocab.sparkSession
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()

@@ -48,7 +48,17 @@ def test_losses_match_numpy(spark):
 def test_all_ignored_gives_zero_rows(spark):
     df = spark.createDataFrame([([1.0, 2.0], -100)], "logits array<double>, label int")
     r = ls.reduce_loss(df, ls.cross_entropy(), reduction="mean").collect()
-    assert r == [] or r[0].n_valid == 0
+    assert [(x.loss, x.n_valid) for x in r] == [(0.0, 0)]
+    rows = df.select(ls.cross_entropy().alias("a"), ls.focal().alias("b"), ls.label_smoothing().alias("c")).first()
+    assert tuple(rows) == (0.0, 0.0, 0.0)
+    assert [x.loss for x in ls.reduce_loss(df, ls.cross_entropy(), reduction="none").collect()] == [0.0]
+    assert ls.reduce_loss(df, ls.cross_entropy(), reduction="sum").first().loss == 0.0
+
+
+def test_zero_vectors_stay_zero(spark):
+    df = spark.createDataFrame([([0.0] * 4,), ([0.0, 7.0, -3.4, 1.0],)], "embedding array<double>")
+    assert [list(r[0]) for r in df.select(qt.fake_quantize()).collect()] == [[0.0] * 4, [0.0, 7.0, -3.0, 1.0]]
+    assert qt.quantization_error(df.limit(1)).first().quant_loss == 0.0
 
 
 def _np_quant(x, gs, sym):

@@ -50,9 +50,15 @@ def test_mandatory_text_and_tolerant_reads(spark):
     broken = os.path.join(d, "broken.json")
     with open(broken, "w") as f:
         f.write('{"text": "ok"}\n{not json\n')
-    data, report = files.read_tolerant(spark, [good, broken], "text string")
-    rep = {os.path.basename(r.path): (r.n_records, r.n_corrupt) for r in report.collect()}
-    assert rep == {"good.json": (2, 0), "broken.json": (2, 1)} and data.count() == 3
+    missing, garbled = os.path.join(d, "missing.json"), os.path.join(d, "garbled.json.gz")
+    with open(garbled, "wb") as f:
+        f.write(b"this is no gzip file")
+    data, report = files.read_tolerant(spark, [good, broken, missing, garbled], "text string")
+    rep = {os.path.basename(r.path): (r.status, r.n_records, r.n_corrupt) for r in report.collect()}
+    assert rep == {"good.json": ("read", 2, 0), "broken.json": ("read", 2, 1), "missing.json": ("missing", 0, 0),
+                   "garbled.json.gz": ("unreadable", 0, 0)} and data.count() == 3
+    data, report = files.read_tolerant(spark, missing, "text string")
+    assert data.count() == 0 and [r.status for r in report.collect()] == ["missing"]
 
 
 def test_shards_metadata_cache_manifest(spark):
@@ -60,8 +66,9 @@ def test_shards_metadata_cache_manifest(spark):
     assert sinks.shard_count(6_000_000, 64) == 64 and sinks.shard_count(10, 2) == 8
     d = _tmp()
     df = spark.range(1000).select(F.col("id").alias("row_idx"), (F.col("id") % 3).cast("string").alias("src"))
-    n = sinks.write_shards(df, os.path.join(d, "data"))
-    assert n == 8 and spark.read.parquet(os.path.join(d, "data")).count() == 1000
+    n = sinks.write_shards(df, os.path.join(d, "data"), n_shards=sinks.shard_count(1000, 8))
+    assert n == 8 and sinks.write_shards(df, os.path.join(d, "by-size"), max_records_per_file=100) >= 10
+    assert spark.read.parquet(os.path.join(d, "by-size")).count() == 1000 and spark.read.parquet(os.path.join(d, "data")).count() == 1000
     assert sinks.is_complete(spark, os.path.join(d, "data"))
     calls = []
     path = sinks.cache_path(d, "src", sinks.cache_version_key(300, "BPE", 7, "packing_2048"))

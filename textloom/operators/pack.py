@@ -1,11 +1,13 @@
 """Packing and batching.
 
-All packers keep the reference's per-segment semantics: rows are cut into
-segments of consecutive ``row_idx`` (500,000 for concat-and-chunk, 50,000
-for next-fit) and every segment is packed independently.  That bound is
-also what keeps every window partition small, whatever the skew of a
-source.  Token arrays are never exploded to one row per token; documents
-are only split into pieces where they cross a chunk boundary.
+All packers keep the reference's per-segment semantics: the rows that reach
+the packer are cut, source by source, into segments of consecutive positions
+(500,000 for concat-and-chunk, 50,000 for next-fit) and every segment is
+packed independently.  Positions and running token offsets come from prefix
+sums over the narrow ``(src, row_idx, n)`` rows; only then do texts or token
+arrays join, and they are shuffled by row and by chunk, never by source or
+segment, so a source with a third of the rows is spread like any other.
+Token arrays are never exploded to one row per token.
 """
 
 from __future__ import annotations
@@ -17,63 +19,77 @@ from pyspark.sql import functions as F
 
 from ..functions.tokens import (EOS_ID, MIN_CHUNK_LENGTH, PAD_ID, append_eos_if_missing,
                                 attention_mask, labels_from_ids, pad_right)
+from ..session import cut_lineage
 
 CHUNK_SEGMENT_ROWS = 500_000
 NEXTFIT_SEGMENT_ROWS = 50_000
+ROWS_PER_RANGE = 100_000
 
 
-def _segment(order_col: str, segment_rows: int | None) -> Column:
+def token_offsets(lengths: DataFrame, segment_rows: int | None = CHUNK_SEGMENT_ROWS,
+                  rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """W01 + W02: ``(src, row_idx, n)`` -> ``segment`` (position in the source
+    div ``segment_rows``) and ``off`` (tokens before the row in its segment).
+
+    Two levels of prefix sums: inside ranges of ``rows_per_range`` ids of a
+    source, and over the ranges (a row each).  No window holds a whole source.
+    ``lengths`` is read more than once and should be a cut (checkpointed) table.
+    """
+    before = Window.partitionBy("src", "_range").orderBy("row_idx").rowsBetween(Window.unboundedPreceding, -1)
+    d = lengths.select("src", "row_idx", "n", F.floor(F.col("row_idx") / rows_per_range).alias("_range"))
+    ranges = d.groupBy("src", "_range").agg(F.count(F.lit(1)).alias("_rows"), F.sum("n").alias("_sum"))
+    over = Window.partitionBy("src").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranges.select(F.col("src").alias("_s"), F.col("_range").alias("_r"),
+                           F.coalesce(F.sum("_rows").over(over), F.lit(0)).alias("_pos0"),
+                           F.coalesce(F.sum("_sum").over(over), F.lit(0)).alias("_run0"))
+    d = (d.withColumn("_pos", F.count(F.lit(1)).over(before))
+         .withColumn("_run", F.coalesce(F.sum("n").over(before), F.lit(0)))
+         .join(starts, F.col("src").eqNullSafe(F.col("_s")) & (F.col("_range") == F.col("_r"))))
+    seg = F.floor((F.col("_pos0") + F.col("_pos")) / segment_rows) if segment_rows else F.lit(0)
+    d = d.select("src", "row_idx", "n", seg.cast("bigint").alias("segment"),
+                 (F.col("_run0") + F.col("_run")).alias("_run"))
     if not segment_rows:
-        return F.lit(0).cast("bigint")
-    return F.floor(F.col(order_col) / F.lit(segment_rows)).cast("bigint")
+        return d.withColumnRenamed("_run", "off")
+    first = d.groupBy(F.col("src").alias("_s"), F.col("segment").alias("_g")).agg(F.min("_run").alias("_first"))
+    return (d.join(first, F.col("src").eqNullSafe(F.col("_s")) & (F.col("segment") == F.col("_g")))
+            .select("src", "row_idx", "n", "segment", (F.col("_run") - F.col("_first")).cast("bigint").alias("off")))
 
 
-def token_offsets(lengths: DataFrame, src: str = "src", order: str = "row_idx",
-                  n: str = "n", segment_rows: int | None = CHUNK_SEGMENT_ROWS) -> DataFrame:
-    """Running token offset of each row within its (src, segment).
+def _lengths(df: DataFrame, src: str, order: str, n: Column) -> DataFrame:
+    return cut_lineage(df.select(F.col(src).alias("src"), F.col(order).alias("row_idx"), n.cast("bigint").alias("n"))
+                       .filter(F.col("n") > 0))
 
-    Works on the narrow ``(src, row_idx, n)`` projection only, so a window
-    partition holds at most ``segment_rows`` small rows.
-    """
-    w = (Window.partitionBy(src, "segment").orderBy(order)
-         .rowsBetween(Window.unboundedPreceding, -1))
-    return (lengths.select(src, order, n)
-            .withColumn("segment", _segment(order, segment_rows))
-            .withColumn("off", F.coalesce(F.sum(n).over(w), F.lit(0)).cast("bigint")))
 
+def _joined(df: DataFrame, plan: DataFrame, src: str, order: str) -> DataFrame:
+    """The rows with their plan; both sides grow with the data, so they meet by row."""
+    p = plan.withColumnRenamed("src", "_src").withColumnRenamed("row_idx", "_row")
+    return df.join(p, F.col(src).eqNullSafe(F.col("_src")) & (F.col(order) == F.col("_row"))).drop("_src", "_row")
 
-def concat_and_chunk(df: DataFrame, max_seq_length: int = 2048, ids: str = "input_ids",
+
+def concat_and_chunk(df: DataFrame, max_seq_length: int = 2048, ids: str | Column = "input_ids",
                      src: str = "src", order: str = "row_idx", eos_id: int = EOS_ID,
                      segment_rows: int | None = CHUNK_SEGMENT_ROWS,
-                     min_chunk_length: int = MIN_CHUNK_LENGTH) -> DataFrame:
+                     min_chunk_length: int = MIN_CHUNK_LENGTH, n: Column | None = None) -> DataFrame:
     """Drop empty sequences (F05), append EOS where missing (X14),
     concatenate in ``order`` per (src, segment), cut every ``max_seq_length``
     tokens and drop chunks shorter than ``min_chunk_length`` (F04).
 
-    Plan (one shuffle of the token rows): hash-partition by (src, segment)
-    and sort by row_idx for the running token offset (W01; window buffers
-    spill, and a group never exceeds ``segment_rows`` rows) -> explode one
-    piece per chunk a row touches -> group by (src, segment, chunk_id),
-    which the window's partitioning already satisfies.  Chunk groups hold
-    at most ``max_seq_length`` tokens.
-    Output: ``src, segment, chunk_id, input_ids, attention_mask``.
+    ``ids`` may be an expression over the rows of ``df``; with ``n``, its length
+    after X14, offsets need no tokens, and rows travel as what they are (texts,
+    say) until they are cut.  Chunk groups hold at most ``max_seq_length``
+    tokens.  Output: ``src, segment, chunk_id, input_ids, attention_mask``.
     """
     L = int(max_seq_length)
-    w = (Window.partitionBy(src, "segment").orderBy(order)
-         .rowsBetween(Window.unboundedPreceding, -1))
-    seqs = (df.select(src, order, F.col(ids).alias("ids"))
-            .filter(F.size("ids") > 0)
-            .withColumn("ids", append_eos_if_missing("ids", eos_id))
-            .withColumn("segment", _segment(order, segment_rows))
-            .withColumn("n", F.size("ids").cast("bigint"))
-            .withColumn("off", F.coalesce(F.sum("n").over(w), F.lit(0)).cast("bigint")))
+    seq = append_eos_if_missing(F.col(ids) if isinstance(ids, str) else ids, eos_id)
+    plan = token_offsets(_lengths(df, src, order, F.size(seq) if n is None else n), segment_rows)
     c = F.col("c")
     start = F.greatest(c * L, F.col("off"))
     end = F.least((c + 1) * L, F.col("off") + F.col("n"))
-    pieces = (seqs
+    rows = _joined(df.drop(*({"n", "off", "segment"} & set(df.columns))), plan, src, order)
+    pieces = (rows.select(F.col(src).alias("src"), "segment", "off", "n", seq.alias("ids"))
               .withColumn("c", F.explode(F.sequence(F.floor(F.col("off") / L),
                                                      F.floor((F.col("off") + F.col("n") - 1) / L))))
-              .select(src, "segment", F.col("c").alias("chunk_id"),
+              .select(F.col("src").alias(src), "segment", F.col("c").alias("chunk_id"),
                       F.struct(start.alias("pos"),
                                F.slice("ids", (start - F.col("off") + 1).cast("int"),
                                        (end - start).cast("int")).alias("piece")).alias("p")))
@@ -109,28 +125,33 @@ def _next_fit_assign(L: int):
     return assign
 
 
-def next_fit_pack(df: DataFrame, max_seq_length: int = 2048, ids: str = "input_ids",
+def _packed_rows(df: DataFrame, assign, src: str, order: str, ids: str | Column, n: Column | None,
+                 segment_rows: int | None) -> DataFrame:
+    """Rows with ``segment``, ``pack_id`` and their kept tokens, by a sequential
+    rule over the narrow rows of each segment (at most ``segment_rows``)."""
+    seq = F.col(ids) if isinstance(ids, str) else ids
+    narrow = token_offsets(_lengths(df, src, order, F.size(seq) if n is None else n), segment_rows)
+    plan = narrow.select("src", "segment", "row_idx", "n").groupBy("src", "segment").applyInPandas(
+        assign, "src string, segment long, row_idx long, pack_id long, take long")
+    rows = _joined(df.drop(*({"segment", "pack_id", "take"} & set(df.columns))), plan, src, order)
+    return rows.filter(F.col("take") > 0).select(
+        F.col(src).alias("src"), "segment", "pack_id",
+        F.struct(F.col(order).alias("row_idx"), F.slice(seq, 1, F.col("take").cast("int")).alias("piece")).alias("p"))
+
+
+def next_fit_pack(df: DataFrame, max_seq_length: int = 2048, ids: str | Column = "input_ids",
                   src: str = "src", order: str = "row_idx",
-                  segment_rows: int | None = NEXTFIT_SEGMENT_ROWS, pad_id: int = PAD_ID) -> DataFrame:
+                  segment_rows: int | None = NEXTFIT_SEGMENT_ROWS, pad_id: int = PAD_ID,
+                  n: Column | None = None) -> DataFrame:
     """Append whole sequences while they fit, else pad and start a new
     pack; over-long sequences are truncated to ``max_seq_length``.
 
-    Only the narrow ``(src, segment, row_idx, n)`` table goes through the
-    sequential ``applyInPandas`` step (one group = one segment of at most
-    ``segment_rows`` rows); the token arrays are joined back by key.
-    Output: ``src, segment, pack_id, input_ids`` (padded to the length),
-    ``n_tokens`` (before padding) and ``n_docs``.
+    ``ids`` and ``n`` as in ``concat_and_chunk``.  Output: ``src, segment,
+    pack_id, input_ids`` (padded to the length), ``n_tokens`` (before padding)
+    and ``n_docs``.
     """
     L = int(max_seq_length)
-    seqs = df.select(F.col(src).alias("src"), F.col(order).alias("row_idx"), F.col(ids).alias("ids"))
-    narrow = (seqs.select("src", "row_idx", F.size("ids").cast("long").alias("n"))
-              .withColumn("segment", _segment("row_idx", segment_rows)))
-    plan = narrow.groupBy("src", "segment").applyInPandas(
-        _next_fit_assign(L), "src string, segment long, row_idx long, pack_id long, take long")
-    pieces = (seqs.join(plan.hint("merge"), ["src", "row_idx"])  # both sides grow with the data
-              .filter(F.col("take") > 0)
-              .select("src", "segment", "pack_id",
-                      F.struct("row_idx", F.slice("ids", 1, F.col("take").cast("int")).alias("piece")).alias("p")))
+    pieces = _packed_rows(df, _next_fit_assign(L), src, order, ids, n, segment_rows)
     packs = (pieces.groupBy("src", "segment", "pack_id")
              .agg(F.flatten(F.transform(F.array_sort(F.collect_list("p")), lambda x: x["piece"])).alias("ids"),
                   F.count(F.lit(1)).alias("n_docs")))
@@ -170,9 +191,10 @@ def _best_fit_assign(L: int):
     return assign
 
 
-def balanced_pack(df: DataFrame, max_seq_length: int = 2048, ids: str = "input_ids",
+def balanced_pack(df: DataFrame, max_seq_length: int = 2048, ids: str | Column = "input_ids",
                   src: str = "src", order: str = "row_idx",
-                  segment_rows: int | None = NEXTFIT_SEGMENT_ROWS, pad_id: int = PAD_ID) -> DataFrame:
+                  segment_rows: int | None = NEXTFIT_SEGMENT_ROWS, pad_id: int = PAD_ID,
+                  n: Column | None = None) -> DataFrame:
     """K03 (our definition of the documented balanced packer): whole
     sequences, longest first, each into the fullest pack that still has
     room (best-fit decreasing); over-long sequences are truncated.
@@ -181,15 +203,7 @@ def balanced_pack(df: DataFrame, max_seq_length: int = 2048, ids: str = "input_i
     padding`` with ``input_ids`` padded to ``max_seq_length``.
     """
     L = int(max_seq_length)
-    seqs = df.select(F.col(src).alias("src"), F.col(order).alias("row_idx"), F.col(ids).alias("ids"))
-    narrow = (seqs.select("src", "row_idx", F.size("ids").cast("long").alias("n"))
-              .filter(F.col("n") > 0)
-              .withColumn("segment", _segment("row_idx", segment_rows)))
-    plan = narrow.groupBy("src", "segment").applyInPandas(
-        _best_fit_assign(L), "src string, segment long, row_idx long, pack_id long, take long")
-    pieces = (seqs.join(plan.hint("merge"), ["src", "row_idx"])  # both sides grow with the data
-              .select("src", "segment", "pack_id",
-                      F.struct("row_idx", F.slice("ids", 1, F.col("take").cast("int")).alias("piece")).alias("p")))
+    pieces = _packed_rows(df, _best_fit_assign(L), src, order, ids, n, segment_rows)
     packs = (pieces.groupBy("src", "segment", "pack_id")
              .agg(F.array_sort(F.collect_list("p")).alias("ps")))
     flat = F.flatten(F.transform("ps", lambda x: x["piece"]))

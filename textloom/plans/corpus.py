@@ -27,12 +27,15 @@ def keep_for_training(df: DataFrame, text: str = "text", min_chars: int = 50) ->
     return df.filter(t.isNotNull() & (F.length(t) > 0) & (F.length(py_strip(t)) > min_chars))
 
 
-def byte_chunks(spark: SparkSession, sf_dir: str, max_seq_length: int = 2048) -> DataFrame:
+def byte_chunks(spark: SparkSession, sf_dir: str, max_seq_length: int = 2048, segment_rows: int | None = None) -> DataFrame:
     """Flagship: byte-vocabulary tokens with ``<s> … </s>``, concatenated per
-    source and cut into ``max_seq_length`` chunks (short tails dropped)."""
+    source and cut into ``max_seq_length`` chunks (short tails dropped).
+
+    A byte is a token, so offsets come from byte lengths; texts travel as
+    texts and become ids where they are cut."""
     docs = keep_for_training(corpus(spark, sf_dir))
-    toks = docs.select("src", "row_idx", add_specials(byte_ids("text")).alias("input_ids"))
-    return concat_and_chunk(toks, max_seq_length)
+    return concat_and_chunk(docs, max_seq_length, ids=add_specials(byte_ids("text")), n=F.octet_length("text") + 2,
+                            **({"segment_rows": segment_rows} if segment_rows else {}))
 
 
 def chunk_summary(chunks: DataFrame) -> DataFrame:

@@ -11,15 +11,16 @@ from .registry import duck_byte_ids, duck_strip, query
 # flagship
 # ---------------------------------------------------------------------------
 
-K01_SQL = f"""
+def k01_sql(segment_rows: int) -> str:
+    return f"""
 WITH d AS (
-  SELECT source AS src, doc_id AS row_idx,
+  SELECT source AS src, doc_id AS row_idx, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // {segment_rows} AS segment,
          [1] || {duck_byte_ids('text')} || [2] AS ids
   FROM documents
   WHERE text IS NOT NULL AND length(text) > 0 AND length({duck_strip('text')}) > 50
 ), o AS (
-  SELECT src, row_idx, ids, len(ids) AS n, row_idx // 500000 AS segment,
-         CAST(coalesce(sum(len(ids)) OVER (PARTITION BY src, row_idx // 500000 ORDER BY row_idx
+  SELECT src, row_idx, ids, len(ids) AS n, segment,
+         CAST(coalesce(sum(len(ids)) OVER (PARTITION BY src, segment ORDER BY row_idx
                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS off
   FROM d
 ), p AS (
@@ -39,6 +40,15 @@ HAVING sum(len(piece)) >= 128
 """
 
 
+K01_SQL = k01_sql(500_000)
+
+
+@query("k01_byte_chunks_segments", k01_sql(20))
+def k01_segments(spark, sf_dir):
+    """W02 + K01: segments by position in the filtered source, here of 20 rows."""
+    return chunk_summary(byte_chunks(spark, sf_dir, 2048, segment_rows=20))
+
+
 @query("k01_byte_chunks", K01_SQL)
 def k01_byte_chunks(spark, sf_dir):
     return chunk_summary(byte_chunks(spark, sf_dir, 2048))

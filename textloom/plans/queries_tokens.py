@@ -85,12 +85,13 @@ def k06(spark, sf):
                     _asum(ids).alias("id_sum"))
 
 
-K02_SQL = f"""
-WITH RECURSIVE d AS (
-  SELECT source AS src, doc_id AS row_idx, doc_id // 50000 AS segment, strlen(text) + 2 AS n,
-         [1] || {duck_byte_ids('text')} || [2] AS ids,
-         row_number() OVER (PARTITION BY source, doc_id // 50000 ORDER BY doc_id) AS rn
+def k02_sql(segment_rows: int) -> str:
+    return f"""
+WITH RECURSIVE e AS (
+  SELECT source AS src, doc_id AS row_idx, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // {segment_rows} AS segment,
+         strlen(text) + 2 AS n, [1] || {duck_byte_ids('text')} || [2] AS ids
   FROM documents
+), d AS (SELECT *, row_number() OVER (PARTITION BY src, segment ORDER BY row_idx) AS rn FROM e
 ), r AS (
   SELECT src, segment, rn, row_idx, CAST(0 AS BIGINT) AS pack_id, least(n, 2048) AS cur, least(n, 2048) AS take
   FROM d WHERE rn = 1
@@ -109,13 +110,23 @@ GROUP BY r.src, r.segment, r.pack_id
 """
 
 
-@query("k02_next_fit_pack", K02_SQL)
+def _next_fit(spark, sf, segment_rows: int):
+    p = pk.next_fit_pack(corpus(spark, sf), 2048, ids=tk.add_specials(tk.byte_ids("text")),
+                         n=F.octet_length("text") + 2, segment_rows=segment_rows)
+    return p.select("src", "segment", "pack_id", "n_tokens", _asum("input_ids").alias("id_sum"), "n_docs")
+
+
+@query("k02_next_fit_pack", k02_sql(50_000))
 def k02(spark, sf):
     """Greedy next-fit packing of byte-tokenised documents into 2048
     tokens per 50,000-row segment, padded with 0."""
-    d = corpus(spark, sf).select("src", "row_idx", tk.add_specials(tk.byte_ids("text")).alias("input_ids"))
-    p = pk.next_fit_pack(d, 2048)
-    return p.select("src", "segment", "pack_id", "n_tokens", _asum("input_ids").alias("id_sum"), "n_docs")
+    return _next_fit(spark, sf, 50_000)
+
+
+@query("k02_next_fit_segments", k02_sql(20))
+def k02_segments(spark, sf):
+    """K02 in segments of 20 positions of a source."""
+    return _next_fit(spark, sf, 20)
 
 
 K05_SQL = f"""
@@ -149,15 +160,23 @@ def a15(spark, sf):
     """A15 over the flagship's chunks: tokens, packs, capacity, efficiency."""
     from .corpus import byte_chunks
     ch = byte_chunks(spark, sf, 2048).withColumn("n_tokens", F.size("input_ids"))
-    return ch.agg(F.sum("n_tokens").cast("bigint").alias("n_tokens"), F.count(F.lit(1)).alias("n_packs"),
-                  (F.count(F.lit(1)) * 2048).cast("bigint").alias("capacity"),
-                  F.round(F.sum("n_tokens") / (F.count(F.lit(1)) * 2048), 6).alias("efficiency"))
+    return pk.packing_metrics(ch, 2048, n_sequences=F.lit(0)).drop("n_sequences")
+
+
+@query("a15_balanced_metrics", f"""
+SELECT count(*) AS n_sequences, CAST(sum(least(strlen(text) + 2, 512)) AS BIGINT) AS n_tokens FROM documents
+WHERE text IS NOT NULL AND length(text) > 0 AND length({duck_strip('text')}) > 50""")
+def a15_balanced(spark, sf):
+    """A15's sequence and token counts over the balanced packs."""
+    p = pk.balanced_pack(keep_for_training(corpus(spark, sf)), 512, ids=tk.add_specials(tk.byte_ids("text")),
+                         n=F.octet_length("text") + 2)
+    return pk.packing_metrics(p, 512).select("n_sequences", "n_tokens")
 
 
 @query("k03_balanced_totals", f"""
-SELECT source AS src, CAST(doc_id // 50000 AS BIGINT) AS segment, CAST(sum(least(strlen(text) + 2, 512)) AS BIGINT) AS n_tokens,
+SELECT source AS src, CAST(0 AS BIGINT) AS segment, CAST(sum(least(strlen(text) + 2, 512)) AS BIGINT) AS n_tokens,
        count(*) AS n_sequences FROM documents
-WHERE text IS NOT NULL AND length(text) > 0 AND length({duck_strip('text')}) > 50 GROUP BY 1, 2""")
+WHERE text IS NOT NULL AND length(text) > 0 AND length({duck_strip('text')}) > 50 GROUP BY source""")
 def k03_totals(spark, sf):
     """K03 packs every sequence once: tokens and sequences of each segment."""
     return k03(spark, sf).groupBy("src", "segment").agg(
@@ -168,7 +187,6 @@ def k03_totals(spark, sf):
 def k03(spark, sf):
     """K03 + A15: best-fit-decreasing packing of byte-tokenised documents
     (512 tokens per pack), with per-pack lengths and padding."""
-    d = keep_for_training(corpus(spark, sf)).select(
-        "src", "row_idx", tk.add_specials(tk.byte_ids("text")).alias("input_ids"))
-    p = pk.balanced_pack(d, 512)
+    p = pk.balanced_pack(keep_for_training(corpus(spark, sf)), 512, ids=tk.add_specials(tk.byte_ids("text")),
+                         n=F.octet_length("text") + 2)
     return p.select("src", "segment", "pack_id", "n_tokens", "padding", F.size("sequence_lengths").alias("n_sequences"))

@@ -73,9 +73,10 @@ def read_tolerant(spark: SparkSession, paths, schema: str) -> tuple[DataFrame, D
     found = [p for p in paths if _exists(spark, p)]
     full = schema + ", _corrupt_record string"
     if found:
-        df = (spark.read.schema(full).option("mode", "PERMISSIVE").option("ignoreCorruptFiles", True)
-              .option("ignoreMissingFiles", True).option("columnNameOfCorruptRecord", "_corrupt_record").json(found)
-              .withColumn("path", F.col("_metadata.file_path")))
+        raw = (spark.read.option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).text(found)
+               .filter(F.trim("value") != ""))
+        how = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+        df = raw.select(F.from_json("value", full, how).alias("r"), F.col("_metadata.file_path").alias("path")).select("r.*", "path")
     else:
         df = spark.createDataFrame([], full + ", path string")
     good = df.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")

@@ -59,13 +59,23 @@ def test_perplexity_modes_match_python(spark):
 
     tr = spark.createDataFrame([(s,) for s in train], "input_ids array<int>")
     ev_df = spark.createDataFrame([(i, s) for i, s in enumerate(evals)], "doc_id int, input_ids array<int>")
-    model = ev.bigram_logprob(ev.ngram_counts(tr), V, k)
-    tok = ev.token_nll(ev_df, model, V, k, key=["doc_id"])
-    for mode in ("reference", "standard"):
-        w = ev.window_losses(tok, ["doc_id"], 8, 3, mode)
-        got = ev.perplexity(w, ["doc_id"], mode).first().perplexity
-        assert abs(got - _py_ppl(evals, nll, 8, 3, mode)) < 1e-5, mode
-    per = {r.doc_id: r.perplexity for r in ev.per_text_perplexity(tok, ["doc_id"]).collect()}
+    scorer = ev.bigram_scorer(ev.ngram_counts(tr), V, k)
+    for mx, stride in ((8, 3), (5, 1), (100, 50)):
+        for mode in ("reference", "standard"):
+            w = ev.score_windows(ev_df, scorer, ["doc_id"], mx, stride, mode)
+            got = ev.perplexity(w, ["doc_id"], mode).first().perplexity
+            assert abs(got - _py_ppl(evals, nll, mx, stride, mode)) < 1e-5, (mode, mx, stride)
+    per = {r.doc_id: r.perplexity for r in ev.per_text_perplexity(ev_df, scorer, ["doc_id"]).collect()}
     for i, s in enumerate(evals):
         want = math.exp(sum(nll(a, b) for a, b in zip(s, s[1:])) / (len(s) - 1))
         assert abs(per[i] - want) < 1e-5
+
+
+def test_a_users_scorer_and_short_sequences(spark):
+    import numpy as np
+
+    seqs = spark.createDataFrame([(0, []), (1, [3]), (2, [3, 4, 5]), (3, None)], "doc_id int, input_ids array<int>")
+    rows = ev.score_windows(seqs, lambda ids: np.asarray(ids[1:], float), ["doc_id"], 2, 1).collect()
+    assert [(r.doc_id, r.begin, r.end, r.loss, r.trg_len) for r in rows] == [(2, 0, 2, 4.0, 2), (2, 1, 3, 5.0, 2)]
+    empty = ev.bigram_scorer(ev.ngram_counts(seqs.limit(0)), 50)
+    assert abs(ev.per_text_perplexity(seqs, empty, ["doc_id"]).first().perplexity - 50) < 1e-6

@@ -2,14 +2,16 @@
 
 The reference scores windows with a neural model; here the per-token
 negative log-likelihood comes from an add-k bigram model counted in Spark
-(or any table of per-token nll a user supplies).  Because a token's
-windows follow from arithmetic on its position, windows are enumerated
-per token (at most ``max_length / stride`` each) instead of range-joining
-tokens to windows.
+(or any scorer a user supplies).  Sequences are scored inside Arrow batches
+and a window's sum is a difference of running sums.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,83 +66,115 @@ def ngram_counts(seqs: DataFrame, ids: str = "input_ids", vectorized: bool = Tru
             .agg(F.count(F.lit(1)).alias("cnt")))
 
 
-def bigram_logprob(counts: DataFrame, vocab_size: int, k: float = 1.0) -> DataFrame:
-    """Add-k bigram model: ``-log((c(prev,tok)+k) / (c(prev)+k·V))`` for seen
-    pairs, plus the unseen-pair value per context in ``nll_unseen``."""
-    ctx = counts.groupBy("prev").agg(F.sum("cnt").alias("ctx_cnt"))
-    return (counts.join(ctx, "prev")
-            .select("prev", "tok",
-                    (-F.log((F.col("cnt") + k) / (F.col("ctx_cnt") + k * vocab_size))).alias("nll"),
-                    (-F.log(F.lit(k) / (F.col("ctx_cnt") + k * vocab_size))).alias("nll_unseen")))
+class BigramScorer:
+    """Add-k bigram model as arrays, ``-log((c(prev,tok)+k) / (c(prev)+k·V))``.
 
+    Its size is bounded by the vocabulary (at most V² pairs) whatever the
+    corpus, so it is collected once and broadcast to the tasks that score.
+    Calling it with a sequence gives the nll of positions 1..n-1.
+    """
 
-def token_nll(seqs: DataFrame, model: DataFrame, vocab_size: int, k: float = 1.0,
-              key: list[str] | None = None, ids: str = "input_ids",
-              broadcast_max_rows: int = 2_000_000) -> DataFrame:
-    """Per-token nll ``(key…, pos, n, nll)`` for positions 1..n-1.
-
-    The model table has at most V² rows; it is broadcast when a count shows
-    it under ``broadcast_max_rows``, else joined by shuffle (AQE splits
-    skewed pairs)."""
-    key = key or ["doc_id"]
-    s = F.col(ids)
-    toks = (seqs.select(*key, F.size(s).alias("n"),
-                        F.posexplode(F.arrays_zip(F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0))).alias("prev"),
-                                                  F.slice(s, 2, F.greatest(F.size(s) - 1, F.lit(0))).alias("tok")))
-                        .alias("p0", "pt"))
-            .select(*key, "n", (F.col("p0") + 1).alias("pos"), "pt.prev", "pt.tok"))
-    pairs = model.select("prev", "tok", "nll")
-    ctx = model.select("prev", "nll_unseen").dropDuplicates(["prev"])
-    if model.count() <= broadcast_max_rows:
-        pairs, ctx = F.broadcast(pairs), F.broadcast(ctx)
-    unseen_all = F.log(F.lit(float(vocab_size)))  # context never seen: k / (k·V)
-    return (toks.join(pairs, ["prev", "tok"], "left").join(ctx, "prev", "left")
-            .select(*key, "n", "pos",
-                    F.coalesce(F.col("nll"), F.col("nll_unseen"), unseen_all).alias("nll")))
-
-
-def window_losses(nll: DataFrame, key: list[str], max_length: int = 2048, stride: int = 512,
-                  mode: str = "reference") -> DataFrame:
-    """Per-window ``(key…, begin, trg_len, loss)``.
+    def __init__(self, pairs: np.ndarray, counts: np.ndarray, vocab_size: int, k: float = 1.0):
+        order = np.argsort(pairs, kind="stable")
+        self.pairs, counts = pairs[order], counts[order].astype(np.float64)
+        self.contexts, first = np.unique(self.pairs >> 32, return_index=True)
+        total = np.add.reduceat(counts, first) if len(counts) else np.zeros(0)
+        self.unseen = -np.log(k / (total + k * vocab_size))
+        self.nll = -np.log((counts + k) / (np.repeat(total, np.diff(np.append(first, len(counts)))) + k * vocab_size))
+        self.no_context = float(np.log(vocab_size))
+
+    def __call__(self, ids: np.ndarray) -> np.ndarray:
+        prev, tok = ids[:-1].astype(np.int64), ids[1:].astype(np.int64)
+        out = np.full(len(prev), self.no_context)
+        if not len(self.pairs) or not len(prev):
+            return out
+        c = np.minimum(np.searchsorted(self.contexts, prev), len(self.contexts) - 1)
+        known = self.contexts[c] == prev
+        out[known] = self.unseen[c[known]]
+        code = (prev << 32) | tok
+        i = np.minimum(np.searchsorted(self.pairs, code), len(self.pairs) - 1)
+        seen = self.pairs[i] == code
+        out[seen] = self.nll[i[seen]]
+        return out
+
+
+def bigram_scorer(counts: DataFrame, vocab_size: int, k: float = 1.0) -> BigramScorer:
+    rows = counts.select("prev", "tok", "cnt").toPandas()
+    code = (rows["prev"].to_numpy(np.int64) << 32) | rows["tok"].to_numpy(np.int64)
+    return BigramScorer(code, rows["cnt"].to_numpy(), vocab_size, k)
+
+
+def _windows(nll: np.ndarray, n: int, max_length: int, stride: int, mode: str) -> list[tuple[int, int, float, int]]:
+    """``(begin, end, sum of nll, scored tokens)`` of each window of one sequence.
 
     reference: windows of E01; a token j is scored in every window with
-    begin < j < end (overlaps counted again), ``trg_len = end - begin``.
-    standard: window i covers targets [i, min(i+s, n)); every token is
-    scored once; ``trg_len = end - i``.
+    begin < j < end (overlaps counted again).
+    standard: window i covers targets [i, min(i+s, n)); every token once.
+    """
+    run = np.concatenate([[0.0], np.cumsum(nll)])  # run[j] = nll of positions 1..j
+    out, begin = [], 0
+    while len(nll):
+        if mode == "reference":
+            end = min(begin + max_length, n)
+            first, last = begin + 1, end - 1
+        else:
+            end = min(begin + stride, n)
+            first, last = max(begin, 1), end - 1
+        if last >= first:
+            out.append((begin, end, float(run[last] - run[first - 1]), last - first + 1))
+        begin += stride
+        if end >= n if mode == "reference" else begin >= n:
+            break
+    return out
+
+
+def score_windows(seqs: DataFrame, scorer, key: list[str], max_length: int = 2048, stride: int = 512,
+                  mode: str = "reference", ids: str = "input_ids") -> DataFrame:
+    """E01 + E03 in one pass: ``(key…, n, begin, end, loss, trg_len)``, a row a window.
+
+    ``scorer(ids)`` gives the nll of positions 1..n-1 of a sequence (a bigram
+    model, or any user's model); window sums come from a running sum inside
+    the Arrow batch, so there are no token rows and no shuffle.
     """
-    j, n = F.col("pos"), F.col("n")
-    if mode == "reference":
-        last_q = F.greatest(F.ceil((n - max_length) / stride), F.lit(0))
-        lo = F.greatest(F.floor((j - max_length) / stride) + 1, F.lit(0))
-        hi = F.least(F.floor((j - 1) / stride), last_q)
-        w = (nll.withColumn("q", F.explode(F.sequence(lo.cast("bigint"), hi.cast("bigint"))))
-             .withColumn("begin", F.col("q") * stride)
-             .withColumn("end", F.least(F.col("begin") + max_length, n)))
-    elif mode == "standard":
-        w = (nll.withColumn("begin", F.floor(j / stride).cast("bigint") * stride)
-             .withColumn("end", F.least(F.col("begin") + stride, n)))
-    else:
-        raise ValueError(f"unknown mode {mode!r}")
-    return (w.groupBy(*key, "begin", "end", "n")
-            .agg(F.avg("nll").alias("loss"))
-            .withColumn("trg_len", F.col("end") - F.col("begin")))
+    if mode not in ("reference", "standard"):
+        raise ValueError(f"mode is reference or standard, not {mode!r}")
+    shared = seqs.sparkSession.sparkContext.broadcast(scorer)
+    types = {c: seqs.schema[c].dataType.simpleString() for c in key}
+    extra = [("n", pa.int64()), ("begin", pa.int64()), ("end", pa.int64()), ("loss", pa.float64()), ("trg_len", pa.int64())]
+    schema = ", ".join(f"`{c}` {t}" for c, t in types.items()) + ", n long, begin long, end long, loss double, trg_len long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = shared.value
+        for b in batches:
+            rows, cols = [], [[] for _ in extra]
+            for r, seq in enumerate(b.column(len(key)).to_pylist()):
+                n = len(seq or ())
+                if n < 2:
+                    continue
+                for begin, end, total, count in _windows(score(np.asarray(seq)), n, max_length, stride, mode):
+                    rows.append(r)
+                    for c, v in zip(cols, (n, begin, end, total / count, end - begin)):
+                        c.append(v)
+            keys = [c.take(pa.array(rows, pa.int64())) for c in b.columns[:len(key)]]
+            yield pa.RecordBatch.from_arrays(keys + [pa.array(c, t) for c, (_, t) in zip(cols, extra)],
+                                             names=[*key, *[x for x, _ in extra]])
+
+    return seqs.select(*key, ids).mapInArrow(run, schema)
 
 
 def perplexity(windows: DataFrame, key: list[str], mode: str = "reference") -> DataFrame:
     """``exp(Σ loss·trg_len / Σ trg_len)`` (reference) or
     ``exp(Σ loss·trg_len / Σ n)`` with n summed once per sequence (standard)."""
     nll = F.sum(F.col("loss") * F.col("trg_len"))
-    if mode == "reference":
-        return windows.agg(F.round(safe_exp(nll / F.sum("trg_len")), 6).alias("perplexity"),
-                           F.count(F.lit(1)).alias("n_windows"))
-    per_seq = windows.groupBy(*key, "n").agg(nll.alias("nll"), F.count(F.lit(1)).alias("nw"))
-    return per_seq.agg(F.round(safe_exp(F.sum("nll") / F.sum("n")), 6).alias("perplexity"),
-                       F.sum("nw").alias("n_windows"))
+    first = F.col("begin") < 2  # a sequence's first window begins at 0, or at 1 for a stride of 1
+    total = F.sum("trg_len") if mode == "reference" else F.sum(F.when(first, F.col("n")))
+    return windows.agg(F.round(safe_exp(nll / total), 6).alias("perplexity"), F.count(F.lit(1)).alias("n_windows"))
 
 
-def per_text_perplexity(nll: DataFrame, key: list[str]) -> DataFrame:
-    """``exp(mean nll)`` of each text."""
-    return nll.groupBy(*key).agg(F.round(safe_exp(F.avg("nll")), 6).alias("perplexity"))
+def per_text_perplexity(seqs: DataFrame, scorer, key: list[str], ids: str = "input_ids") -> DataFrame:
+    """``exp(mean nll)`` of each text: one window as long as the text."""
+    w = score_windows(seqs, scorer, key, 1 << 62, 1 << 62, "reference", ids)
+    return w.select(*key, F.round(safe_exp("loss"), 6).alias("perplexity"))
 
 
 def batch_mean_perplexity(per_row_loss: DataFrame, batch: str = "batch_id", loss: str = "loss") -> DataFrame:

@@ -156,9 +156,9 @@ tn AS (SELECT t.conv_id, t.turn, t.n, t.pos,
 """
 
 
-def _nll(spark, sf):
-    model = ev.bigram_logprob(ev.ngram_counts(_doc_ids(spark, sf)), BYTE_VOCAB, 1.0)
-    return ev.token_nll(_turn_ids(spark, sf), model, BYTE_VOCAB, 1.0, key=["conv_id", "turn"])
+def _windows(spark, sf, mode):
+    scorer = ev.bigram_scorer(ev.ngram_counts(_doc_ids(spark, sf)), BYTE_VOCAB, 1.0)
+    return ev.score_windows(_turn_ids(spark, sf), scorer, ["conv_id", "turn"], MAXLEN, STRIDE, mode)
 
 
 E02R_SQL = _TOKEN_NLL + f""",
@@ -176,8 +176,7 @@ SELECT round(exp(sum(loss * trg_len) / sum(trg_len)), 6) AS perplexity, count(*)
 def e02r(spark, sf):
     """E01+E03+E02: bigram model from documents scores conversation turns in
     windows of 256 with stride 64, overlaps counted again (reference mode)."""
-    win = ev.window_losses(_nll(spark, sf), ["conv_id", "turn"], MAXLEN, STRIDE, "reference")
-    return ev.perplexity(win, ["conv_id", "turn"], "reference")
+    return ev.perplexity(_windows(spark, sf, "reference"), ["conv_id", "turn"], "reference")
 
 
 E02S_SQL = _TOKEN_NLL + f""",
@@ -192,14 +191,14 @@ SELECT round(exp(sum(nll) / sum(n)), 6) AS perplexity, CAST(sum(nw) AS BIGINT) A
 @query("e02_perplexity_standard", E02S_SQL)
 def e02s(spark, sf):
     """E02 standard mode: each token scored once; divide by the token count."""
-    win = ev.window_losses(_nll(spark, sf), ["conv_id", "turn"], MAXLEN, STRIDE, "standard")
-    return ev.perplexity(win, ["conv_id", "turn"], "standard")
+    return ev.perplexity(_windows(spark, sf, "standard"), ["conv_id", "turn"], "standard")
 
 
 @query("e05_per_text_perplexity",
        _TOKEN_NLL + "SELECT conv_id, turn, round(exp(avg(nll)), 6) AS perplexity FROM tn GROUP BY conv_id, turn")
 def e05(spark, sf):
-    return ev.per_text_perplexity(_nll(spark, sf), ["conv_id", "turn"])
+    scorer = ev.bigram_scorer(ev.ngram_counts(_doc_ids(spark, sf)), BYTE_VOCAB, 1.0)
+    return ev.per_text_perplexity(_turn_ids(spark, sf), scorer, ["conv_id", "turn"])
 
 
 E01_SQL = f"""

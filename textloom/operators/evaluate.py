@@ -70,7 +70,8 @@ class BigramScorer:
     """Add-k bigram model as arrays, ``-log((c(prev,tok)+k) / (c(prev)+k·V))``.
 
     Its size is bounded by the vocabulary (at most V² pairs) whatever the
-    corpus, so it is collected once and broadcast to the tasks that score.
+    corpus, so it is collected once and ships with the function that scores
+    (Spark broadcasts functions of more than a megabyte).
     Calling it with a sequence gives the nll of positions 1..n-1.
     """
 
@@ -138,20 +139,18 @@ def score_windows(seqs: DataFrame, scorer, key: list[str], max_length: int = 204
     """
     if mode not in ("reference", "standard"):
         raise ValueError(f"mode is reference or standard, not {mode!r}")
-    shared = seqs.sparkSession.sparkContext.broadcast(scorer)
     types = {c: seqs.schema[c].dataType.simpleString() for c in key}
     extra = [("n", pa.int64()), ("begin", pa.int64()), ("end", pa.int64()), ("loss", pa.float64()), ("trg_len", pa.int64())]
     schema = ", ".join(f"`{c}` {t}" for c, t in types.items()) + ", n long, begin long, end long, loss double, trg_len long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = shared.value
         for b in batches:
             rows, cols = [], [[] for _ in extra]
             for r, seq in enumerate(b.column(len(key)).to_pylist()):
                 n = len(seq or ())
                 if n < 2:
                     continue
-                for begin, end, total, count in _windows(score(np.asarray(seq)), n, max_length, stride, mode):
+                for begin, end, total, count in _windows(scorer(np.asarray(seq)), n, max_length, stride, mode):
                     rows.append(r)
                     for c, v in zip(cols, (n, begin, end, total / count, end - begin)):
                         c.append(v)

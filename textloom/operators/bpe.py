@@ -1,26 +1,19 @@
 """Byte-level BPE as Spark jobs.
 
 Training works on the distinct-word table ``(word, cnt, symbols)`` built by
-one corpus shuffle (A03).  Each round counts adjacent pairs (A04) and
-accepts a *batch* of merges that is provably what one-merge-at-a-time BPE
-would pick next:
-
-* candidates are taken in (count desc, left, right) order;
-* a candidate is accepted only if its symbols (and the merged strings)
-  are disjoint from those already accepted this round, and its count is
-  strictly larger than any count a pair created by an accepted merge
-  could reach (bounded by the largest pair count touching the merged
-  pair's left symbol from the left or its right symbol from the right);
-* the batch stops at the first candidate failing either test.
-
-Disjoint merges commute, so a batch is applied in one left-to-right fold.
-The word table is cut from its lineage with reliable checkpoints.
-Only the accepted merge list (bounded by the vocabulary size) is held on
-the driver.
+one corpus shuffle (A03).  A round is one job: Arrow batches apply the newest
+merges and count adjacent pairs (A04), and for the pairs likely to lead also
+the symbols before and after them.  From those counts the driver settles as
+many merges as one-merge-at-a-time BPE (count desc, left, right) would provably
+pick next (``_choose_batch``).  The driver holds merges, the leading pairs and
+their surroundings, all bounded by the vocabulary, never words.  Words are cut
+from their lineage with reliable checkpoints.
 """
 
 from __future__ import annotations
 
+import heapq
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,9 +27,6 @@ from ..functions.text import (BYTE_ALPHABET, BYTE_DST, byte_fallback, byte_level
                               nfkc, pretokens, sp_normalize, sp_pretokens)
 from ..functions.tokens import BOS_ID, EOS_ID, SPECIAL_TOKENS, UNK_ID
 from ..session import cut_lineage
-from .stats import pair_counts
-
-SEP = "\u0000"  # never a byte-level symbol (byte 0 maps to U+0100)
 
 # Speed presets (min_frequency floor, alphabet limit, model).
 PRESETS = {
@@ -113,74 +103,143 @@ def sp_words_table(corpus: DataFrame, text: str = "text", coverage: float = 0.99
     return w, alphabet
 
 
-def apply_merges(symbols: Column, merge_map: dict[str, str], text: Column | None = None) -> Column:
-    """Apply a batch of pairwise-disjoint merges in one left-to-right fold.
-
-    With ``text`` (the word's byte-level string) the interpreted fold runs
-    only on words containing one of the merged strings (a codegen'd
-    substring test); the others keep their symbols unchanged."""
-    if not merge_map:
-        return symbols
-    keys = list(merge_map)
-    m = F.map_from_arrays(F.array(*[F.lit(k) for k in keys]), F.array(*[F.lit(merge_map[k]) for k in keys]))
-    empty = F.array().cast("array<string>")
-
-    def step(acc, x):
-        last = F.element_at(acc, -1)
-        hit = F.element_at(m, F.concat(last, F.lit(SEP), x))
-        merged = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(hit))
-        return F.when((F.size(acc) > 0) & hit.isNotNull(), merged).otherwise(F.concat(acc, F.array(x)))
-
-    folded = F.aggregate(symbols, empty, step)
-    if text is None:
-        return folded
-    hit = None
-    for t in set(merge_map.values()):
-        c = text.contains(t)
-        hit = c if hit is None else hit | c
-    return F.when(hit, folded).otherwise(symbols)
-
-
-def _bounds_from_top(top: list) -> dict:
-    """Largest count of a pair ending in / starting with each symbol.
-
-    ``top`` holds the N largest pairs, so for a symbol that occurs in it the
-    first occurrence is the true maximum; any other symbol's pairs are all
-    outside the list and bounded by the N-th count (``default``)."""
-    b: dict = {}
-    for c in top:
-        b.setdefault(("R", c["r"]), c["cnt"])
-        b.setdefault(("L", c["l"]), c["cnt"])
-    b["default"] = top[-1]["cnt"]
-    return b
-
-
-def _choose_batch(cands: list, bounds: dict, max_new: int, min_frequency: int, batch: bool) -> list:
-    chosen, used, bound = [], set(), -1
-    dflt = bounds.get("default", 0)
-    for c in cands:
-        if len(chosen) >= max_new or c["cnt"] < min_frequency:
+# ---------------------------------------------------------------------------
+# One training round: a single pass over the words, then a choice on the driver
+# ---------------------------------------------------------------------------
+
+PAIR, LEFT, RIGHT = 0, 1, 2
+WORDS_PER_TASK = 10_000
+
+
+def _count_round(words: DataFrame, merges: list, watched: list) -> DataFrame:
+    """``(kind, l, r, x, cnt)`` after applying ``merges`` to the words.
+
+    PAIR rows count adjacent pairs; for each ``watched`` pair, LEFT and RIGHT
+    rows count the symbols before and after it.  Tasks sum their own words
+    first, so the shuffle carries sums.
+    """
+    ranks, watch = {m: i for i, m in enumerate(merges)}, frozenset(watched)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict = defaultdict(int)
+        plain: dict = defaultdict(int)
+
+        def rows():
+            sums.update({(PAIR, l, r, ""): c for (l, r), c in plain.items()})
+            keys = list(sums)
+            cols = [pa.array([k[0] for k in keys], pa.int32()), *(pa.array([k[i] for k in keys], pa.string()) for i in (1, 2, 3)),
+                    pa.array(list(sums.values()), pa.int64())]
+            sums.clear()
+            plain.clear()
+            return pa.RecordBatch.from_arrays(cols, names=["kind", "l", "r", "x", "cnt"])
+
+        for b in batches:
+            for sym, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                pairs = list(zip(sym, sym[1:]))
+                if ranks and not ranks.keys().isdisjoint(pairs):
+                    sym = _bpe_word(sym, ranks)
+                    pairs = list(zip(sym, sym[1:]))
+                for pair in pairs:
+                    plain[pair] += c
+                if not watch.isdisjoint(pairs):
+                    for i, pair in enumerate(pairs):
+                        if pair in watch:
+                            if i:
+                                sums[(LEFT, *pair, sym[i - 1])] += c
+                            if i + 2 < len(sym):
+                                sums[(RIGHT, *pair, sym[i + 2])] += c
+            if len(sums) + len(plain) > 1_000_000:
+                yield rows()
+        if sums or plain:
+            yield rows()
+
+    return (words.select("symbols", "cnt").mapInArrow(run, "kind int, l string, r string, x string, cnt long")
+            .groupBy("kind", "l", "r", "x").agg(F.sum("cnt").alias("cnt")))
+
+
+def _choose_batch(top: list, around: dict, known_from: int, tokens: set, max_new: int, full: bool) -> tuple[list, dict]:
+    """The next merges of one-at-a-time BPE that this round's counts settle.
+
+    ``top`` holds ``((l, r), count)`` in order (count desc, l, r); ``around`` the
+    counts before and after each watched pair, complete from ``known_from`` up.
+    Walking down, a pair is taken while its count is exact and above all that
+    merges taken before it may have made:
+
+    * a merge (a, b) changes only pairs (x, a) and (b, y): by its counts at x
+      and y, exactly if it is itself unchanged so far, else by an unknown part;
+    * the pairs it makes have its counts at x and y at most.
+
+    Returns the merges and, for the pairs that may lead next, bounds of their counts.
+    """
+    chosen: list = []
+    by_a: dict = {}   # accepted merges by their left and their right symbol
+    by_b: dict = {}
+    block = 0         # the largest count that an undecided pair may have
+    bounds: dict = {}
+    floor = top[-1][1] if full else 0
+    waiting = [(-c, p, True) for p, c in top]
+    heapq.heapify(waiting)
+    checked: set = set()
+    while waiting and len(chosen) < max_new:
+        c, (l, r), exact = heapq.heappop(waiting)
+        c = -c
+        pair = (l, r)
+        if pair not in checked:
+            checked.add(pair)
+            hits = [(m, LEFT, l) for m in by_a.get(r, ())] + [(m, RIGHT, r) for m in by_b.get(l, ())]
+            if hits:
+                (m, side, x) = hits[0]
+                ctx = around.get(m[0])
+                sure = len(hits) == 1 and m[1] and ctx is not None and l != r
+                lost = ctx[side].get(x) if sure else None
+                left = c - lost if lost is not None else c
+                bounds[pair] = left
+                if lost is not None and left:
+                    heapq.heappush(waiting, (-left, pair, True))
+                elif lost is None:
+                    block = max(block, c)
+                continue
+        elif pair in bounds:  # touched: exact then; anything accepted since may have touched it again
+            hits = len(by_a.get(r, ())) + len(by_b.get(l, ()))
+            if hits > 1:
+                block = max(block, c)
+                continue
+        if chosen and (c <= block or c <= floor or c < known_from):
+            bounds[pair] = c
             break
-        l, r = c["l"], c["r"]
+        bounds.pop(pair, None)
         t = l + r
-        if chosen:
-            if not batch or {l, r, t} & used or c["cnt"] <= bound:
-                break
-        chosen.append((l, r, int(c["cnt"])))
-        used |= {l, r, t}
-        bound = max(bound, bounds.get(("R", l), dflt), bounds.get(("L", r), dflt))
-    return chosen
+        merge = (pair, pair not in checked or not (by_a.get(r) or by_b.get(l)))
+        chosen.append((l, r, int(c)))
+        by_a.setdefault(l, []).append(merge)
+        by_b.setdefault(r, []).append(merge)
+        ctx = around.get(pair)
+        made = max([0, *ctx[LEFT].values(), *ctx[RIGHT].values()]) if ctx is not None else c
+        block = max(block, min(made, c))
+        if ctx is not None:
+            for x, n in ctx[LEFT].items():
+                bounds[(x, t)] = n
+            for y, n in ctx[RIGHT].items():
+                bounds[(t, y)] = n
+        if l == r or t in tokens:
+            break
+        tokens.add(t)
+    taken = {(l, r) for l, r, _ in chosen}
+    for p, c in top:
+        if p not in taken:
+            bounds.setdefault(p, c)
+    return chosen, bounds
 
 
 def train_bpe(corpus: DataFrame, vocab_size: int = 512, min_frequency: int = 2, text: str = "text",
               special_tokens: list[str] = SPECIAL_TOKENS, limit_alphabet: int | None = None,
-              normalize: bool = True, batch: bool = True, candidates: int = 1024,
+              normalize: bool = True, batch: bool = True, candidates: int = 2048, watch: int = 256,
               checkpoint_every: int = 8, words: DataFrame | None = None, name: str = "bpe",
               alphabet: list[str] | None = None, preset: str | None = None) -> BpeModel:
     """Train a byte-level BPE vocabulary of at most ``vocab_size`` entries.
 
-    ``batch=False`` is the exact one-merge-per-round mode (reference for
-    tests); ``batch=True`` gives the same merges in fewer Spark jobs.
+    A round is one pass over the distinct words.  ``batch=False`` takes one merge a round (the
+    reference for tests); ``batch=True`` gives the same merges in fewer rounds.
     """
     spark = corpus.sparkSession
     if preset is not None:                         # T06
@@ -189,42 +248,66 @@ def train_bpe(corpus: DataFrame, vocab_size: int = 512, min_frequency: int = 2,
         if PRESETS[preset]["model"] != "bpe":
             raise ValueError(f"preset {preset!r} trains a {PRESETS[preset]['model']} model, not merges")
     wt = words if words is not None else words_table(corpus, text, normalize)
-    wt = cut_lineage(wt.select("word", "cnt", "bl", "symbols"))  # partitioned by the word count's shuffle
+    wt = dealt_out(wt.select("word", "cnt", "bl", "symbols"))
     # the byte alphabet is complete (256 symbols) and always kept, so an
     # alphabet cap (limit_alphabet) never removes anything in byte-level mode
     alphabet = list(alphabet) if alphabet is not None else list(BYTE_ALPHABET)
     n_vocab = len(special_tokens) + len(alphabet)
     merges: list[tuple[str, str, int]] = []
-    rounds = 0
+    fresh: list[tuple[str, str]] = []  # merges that the checkpointed words don't have yet
+    watched: list[tuple[str, str]] = []
+    tokens = set(special_tokens) | set(alphabet)
+    known_from = rounds = 0
     while n_vocab < vocab_size:
-        pairs = pair_counts(wt)
-        top = (pairs.filter(F.col("cnt") >= min_frequency)
-               .orderBy(F.col("cnt").desc(), "l", "r").limit(candidates if batch else 1).collect())
+        sums = _count_round(wt, fresh, watched).persist()
+        top = [((r["l"], r["r"]), r["cnt"]) for r in
+               sums.filter((F.col("kind") == PAIR) & (F.col("cnt") >= min_frequency))
+               .orderBy(F.col("cnt").desc(), "l", "r").limit(candidates if batch else 1).collect()]
+        around: dict = {p: ({}, {}, {}) for p in watched}
+        if watched:
+            for r in sums.filter((F.col("kind") != PAIR) & (F.col("cnt") >= known_from)).collect():
+                around[(r["l"], r["r"])][r["kind"]][r["x"]] = r["cnt"]
+        sums.unpersist()
         if not top:
             break
-        bounds = _bounds_from_top(top) if batch else {}
-        chosen = _choose_batch(top, bounds, vocab_size - n_vocab, min_frequency, batch)
-        if not chosen:
-            break
+        chosen, bounds = _choose_batch(top, around, known_from, tokens, (vocab_size - n_vocab) if batch else 1,
+                                       len(top) >= candidates)
         merges.extend(chosen)
+        fresh.extend((l, r) for l, r, _ in chosen)
         n_vocab += len(chosen)
-        mm = {l + SEP + r: l + r for l, r, _ in chosen}
-        prev = wt
-        wt = wt.withColumn("symbols", apply_merges(F.col("symbols"), mm, F.col("bl")))
         rounds += 1
-        # each round's table is cached (computed once, by the next pair count);
-        # a reliable checkpoint every few rounds bounds the recovery lineage
+        if batch:
+            lead = sorted(bounds.items(), key=lambda x: (-x[1], x[0]))[:watch]
+            watched = [p for p, c in lead if c > 0 and p[0] != p[1]]
+            known_from = max(1, min((c for _, c in lead if c > 0), default=1))
         if rounds % checkpoint_every == 0:
-            wt = cut_lineage(wt)
-        else:
-            wt = wt.persist()
-            wt.count()  # fill the cache while the parent's is still there
-        prev.unpersist()
+            wt, fresh = cut_lineage(_merged(wt, fresh)), []
     model = _model(spark, special_tokens, alphabet, merges, name)
     model.rounds = rounds
     return model
 
 
+def dealt_out(words: DataFrame) -> DataFrame:
+    """The words in a checkpoint, in partitions by their number: training rounds
+    revisit them, and the shuffle that counted them may have left a few large ones."""
+    w = cut_lineage(words)
+    parts = w.count() // WORDS_PER_TASK + 1
+    return cut_lineage(w.repartition(parts)) if parts > w.rdd.getNumPartitions() else w
+
+
+def _merged(words: DataFrame, merges: list) -> DataFrame:
+    """The words with ``merges`` applied, in their order."""
+    ranks = {m: i for i, m in enumerate(merges)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sym = [_bpe_word(s, ranks) for s in b.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(sym, pa.list_(pa.string()))], names=b.schema.names)
+
+    return words.select("word", "cnt", "bl", "symbols").mapInArrow(
+        run, "word string, cnt long, bl string, symbols array<string>")
+
+
 def _model(spark: SparkSession, special_tokens, alphabet, merges, name) -> BpeModel:
     tokens = list(special_tokens) + list(alphabet)
     seen = set(tokens)

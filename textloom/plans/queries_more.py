@@ -12,6 +12,7 @@ from ..operators import bpe
 from ..operators import evaluate as ev
 from ..operators import sample as smp
 from ..operators import stats as st
+from ..operators import unigram as ug
 from ..operators.udf import generate_greedy
 from ..sources.tables import table
 from .corpus import byte_chunks
@@ -141,6 +142,28 @@ def x05(spark, sf):
     return p.groupBy("lang").agg(F.sum("n").cast("bigint").alias("n_pieces"))
 
 
+@query("t04_unigram_vocab")
+def t04(spark, sf):
+    """T04 + T06: a unigram vocabulary of 600 trained on all documents (preset ultrafast)."""
+    return ug.train_unigram(table(spark, sf, "documents"), 600, preset="ultrafast").vocab
+
+
+@query("x07_unigram_roundtrip", rf"""
+SELECT lang, count(*) AS n_docs, CAST(sum(CASE WHEN {_SP_NORM} = '' THEN 0 ELSE length({_SP_NORM}) + 1 END) AS BIGINT) AS n_chars,
+       CAST(0 AS BIGINT) AS n_unknown FROM documents GROUP BY lang""")
+def x07(spark, sf):
+    """Documents encoded by best paths; the pieces hold every character of the normalised text."""
+    d = table(spark, sf, "documents")
+    e = ug.encode(d.select("doc_id", "lang", "text"), ug.train_unigram(d, 600), ["doc_id", "lang"])
+    # a character outside the alphabet is its byte symbols: the first byte of each counts it
+    first = F.transform("pieces", lambda p: F.when(p.rlike("^<0x[0-9A-F]{2}>$"), (~p.rlike("^<0x[89AB]")).cast("int"))
+                        .otherwise(F.length(p)))
+    return e.groupBy("lang").agg(
+        F.count(F.lit(1)).alias("n_docs"),
+        F.sum(F.aggregate(first, F.lit(0).cast("bigint"), lambda a, x: a + x)).cast("bigint").alias("n_chars"),
+        F.sum(F.size(F.filter("input_ids", lambda i: i == 3))).cast("bigint").alias("n_unknown"))
+
+
 @query("t05_sentences", """
 WITH s AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents)
 SELECT count(*) AS n_lines, CAST(sum(length(line)) AS BIGINT) AS n_chars,

@@ -22,6 +22,7 @@ no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +32,12 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 BUCKETS = 1024
-STYLE = 8
+STYLE = 10
 FEATURES = BUCKETS + STYLE
 
 
 def features(text: str | None) -> np.ndarray:
-    """Whole text to numbers: log-scaled, length-normalised trigram counts and style measures."""
+    """Whole text to numbers: square-rooted, length-normalised trigram counts and style measures."""
     raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
     out = np.zeros(FEATURES, np.float32)
     n = len(raw)
@@ -56,8 +57,10 @@ def features(text: str | None) -> np.ndarray:
     letters = by[65:91].sum() + by[97:123].sum() + by[128:].sum()
     spaces = by[32] + by[9:14].sum()
     symbols = sum(int(by[ord(c)]) for c in "#*$%&|<>!")
+    words = text.split()
+    again = sum(map(eq, words, words[1:])) / max(len(words) - 1, 1)
     out[BUCKETS:] = (np.log1p(n) / 10, by[65:91].sum() / max(letters, 1), by[48:58].sum() / n * 5, symbols / n * 5,
-                     spaces / n * 5, by[10] / n * 20, (by[44] + by[46]) / n * 20, letters / n)
+                     spaces / n * 5, by[10] / n * 20, (by[44] + by[46]) / n * 20, letters / n, again * 5, len(set(words)) / max(len(words), 1))
     return out
 
 

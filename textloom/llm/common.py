@@ -53,14 +53,14 @@ def ranked(df: DataFrame, group: list[str], order_key: str, ties: list[str],
     should be a written table.
     """
     prefix = F.conv(F.substring(order_key, 1, 4), 16, 10).cast("long")
-    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("tl_n"))
-    ways = sizes.select(*[F.col(g).alias(f"tl_g_{g}") for g in group],
-                        F.least(F.lit(65536), F.ceil(F.col("tl_n") / rows_per_bucket)).cast("long").alias("tl_ways"))
     on = [F.col(g).eqNullSafe(F.col(f"tl_g_{g}")) for g in group]
     if group:
+        ways = df.groupBy(*group).agg(F.count(F.lit(1)).alias("tl_n")).select(
+            *[F.col(g).alias(f"tl_g_{g}") for g in group],
+            F.least(F.lit(65536), F.ceil(F.col("tl_n") / rows_per_bucket)).cast("long").alias("tl_ways"))
         b = df.join(F.broadcast(ways), on).drop(*[f"tl_g_{g}" for g in group])
     else:
-        b = df.crossJoin(F.broadcast(ways))  # one row
+        b = df.withColumn("tl_ways", F.lit(min(65536, -(-df.count() // rows_per_bucket))).cast("long"))
     b = b.withColumn("tl_bucket", F.floor(prefix * F.col("tl_ways") / 65536).cast("int")).drop("tl_ways")
     first = (b.groupBy(*group, "tl_bucket").agg(F.count(F.lit(1)).alias("tl_n"))
              .withColumn("tl_first", F.sum("tl_n").over(

@@ -43,11 +43,11 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", suppo
     rows = digests(docs, id_col, text_col)
     best = F.max(F.struct("doc_id", "uid"))
     candidates = heavy_digests(rows, support)
-    total = rows.agg(F.count(F.lit(1)).alias("tl_all"))
+    least = rows.count() * support
     heavy = cut_lineage(
         rows.join(F.broadcast(candidates), F.col("digest") == F.col("tl_digest"), "left_semi")
         .groupBy(F.col("digest").alias("tl_digest")).agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
-        .crossJoin(F.broadcast(total)).where(F.col("group_size") >= F.col("tl_all") * support).drop("tl_all"))
+        .where(F.col("group_size") >= least))
     known = rows.join(F.broadcast(heavy), F.col("digest") == F.col("tl_digest")).drop("tl_digest")
     w = Window.partitionBy("digest")
     rest = (rows.join(F.broadcast(heavy.select("tl_digest")), F.col("digest") == F.col("tl_digest"), "left_anti")

@@ -42,10 +42,10 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, alpha
         table = F.create_map(*[F.lit(x) for k, w in weights.items() for x in (k, float(w))])
         by = by.withColumn("w", F.coalesce(F.try_element_at(table, F.coalesce("tl_source", F.lit(""))), F.lit(0.0)))
     by = cut_lineage(by)
-    total = by.agg(F.sum("size").alias("all_size"), F.sum("w").alias("all_w"))
-    return by.crossJoin(F.broadcast(total)).select(  # one row
-        "tl_source", "size", (F.col("w") / F.col("all_w")).alias("weight"),
-        (F.col("w") / F.col("all_w") * F.col("all_size") * float(epochs) / F.col("size")).alias("rate"))
+    total = by.agg(F.sum("size").cast("double").alias("size"), F.sum("w").alias("w")).first()
+    share = F.col("w") / F.lit(total["w"] or 1.0)
+    return by.select("tl_source", "size", share.alias("weight"),
+                     (share * F.lit((total["size"] or 0.0) * epochs) / F.col("size")).alias("rate"))
 
 
 def poisson_steps(rate: Column) -> Column:

@@ -107,3 +107,76 @@ def test_tokenizer_json_roundtrip(spark, model):
     assert sorted(map(tuple, v.collect())) == sorted(map(tuple, model.vocab.collect()))
     assert sorted(map(tuple, m.collect())) == sorted(map(tuple, model.merges.collect()))
     assert info.first().type == "BPE"
+
+
+def test_tokenizer_object(spark, model):
+    path = os.path.join(tempfile.mkdtemp(), "t", "tok.json")
+    bpe.Tokenizer(model).save(path)
+    t = bpe.Tokenizer.load(spark, path)
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate([*TEXTS, "", None])], "k int, text string")
+    got = {r.k: r.input_ids for r in t.encode(docs, ["k"]).collect()}
+    assert got == {r.k: r.input_ids for r in bpe.encode(docs, model, ["k"]).collect()}
+    assert got[len(TEXTS)] == got[len(TEXTS) + 1] == [1, 2]
+    back = {r.k: r.text for r in t.decode(t.encode(docs, ["k"]), ["k"]).collect()}
+    assert back[0] == " " + TEXTS[0] and back[len(TEXTS)] == ""
+    short = {r.k: r.input_ids for r in t.encode(docs, ["k"], max_length=5).collect()}
+    assert all(short[k] == (v if len(v) <= 5 else [1, *v[1:4], 2]) for k, v in got.items())
+
+
+def test_batch_rule_equals_one_at_a_time():
+    import random
+
+    def counts(words):
+        c = collections.Counter()
+        for s, n in words:
+            for p in zip(s, s[1:]):
+                c[p] += n
+        return c
+
+    for seed in range(250):
+        rng = random.Random(seed)
+        letters = "abcdefgh"[:rng.randint(2, 8)]
+        words = [([rng.choice(letters) for _ in range(rng.randint(1, 9))], rng.choice([1, 1, 2, 5, rng.randint(1, 50)]))
+                 for _ in range(rng.randint(1, 60))]
+        n, size, watch = rng.randint(1, 40), rng.choice([3, 10, 2048]), rng.choice([1, 4, 256])
+        want, got, tokens, watched, known = _brute_force(words, n), [], set(letters), [], 0
+        while len(got) < n:
+            top = sorted(((p, c) for p, c in counts(words).items() if c >= 2), key=lambda x: (-x[1], x[0]))[:size]
+            if not top:
+                break
+            around = {p: ({}, collections.Counter(), collections.Counter()) for p in watched}
+            for s, c in words:
+                for i, p in enumerate(zip(s, s[1:])):
+                    if p in around:
+                        if i:
+                            around[p][1][s[i - 1]] += c
+                        if i + 2 < len(s):
+                            around[p][2][s[i + 2]] += c
+            around = {p: ({}, *({x: c for x, c in side.items() if c >= known} for side in a[1:])) for p, a in around.items()}
+            chosen, bounds = bpe._choose_batch(top, around, known, tokens, n - len(got), len(top) >= size)
+            got += [(l, r) for l, r, _ in chosen]
+            words = [(bpe._bpe_word(s, {(l, r): i for i, (l, r, _) in enumerate(chosen)}), c) for s, c in words]
+            lead = sorted(bounds.items(), key=lambda x: (-x[1], x[0]))[:watch]
+            watched = [p for p, c in lead if c > 0 and p[0] != p[1]]
+            known = max(1, min((c for _, c in lead if c > 0), default=1))
+        assert got == want, seed
+
+
+def test_curriculum_keeps_every_stage(spark, model):
+    more = spark.createDataFrame([(t.upper() + " extra words here",) for t in TEXTS] * 4, "text string")
+    a, b = bpe.curriculum(model, [more, more], [520, 760])
+    v0, v1, v2 = ({r.token: r.id for r in m.vocab.collect()} for m in (model, a, b))
+    assert len(v0) < len(v1) <= 520 and len(v1) < len(v2) <= 760
+    assert all(v1[t] == i for t, i in v0.items()) and all(v2[t] == i for t, i in v1.items())
+
+
+def test_presets_and_long_lines(spark):
+    with pytest.raises(ValueError):
+        bpe.train_bpe(_corpus(spark), vocab_size=300, preset="ultrafast")
+    long = "word " * 5000
+    d = spark.createDataFrame([(TEXTS[0] + "\n" + long + "\n\tx",)], "text string")
+    r = bpe.sentence_report(d).first()
+    assert (r.n_lines, r.n_chars, r.n_long_lines, r.n_long_chars) == (3, len(TEXTS[0]) + len(long) + 2, 1, len(long))
+    kept = {x.word: x.cnt for x in bpe.sp_words_table(d)[0].collect()}
+    assert kept["▁word"] == 5000 and kept["▁x"] == 1
+    assert "▁word" not in {x.word for x in bpe.sp_words_table(d, long_lines="skip")[0].collect()}

@@ -12,6 +12,8 @@ from tools.oracle_check import digest
 
 QUERIES = E.queries()
 SQL = E.oracle_sql()
+# results that hold a clock, or the order in which a stream found its files
+TIMED = {"a10_throughput", "r04_stream_pack", "p11_unknown_shape_report"}
 
 
 @pytest.fixture(scope="module")
@@ -24,7 +26,7 @@ def duck():
 
 def test_entry_smoke(spark):
     df = E.entry(spark)
-    assert df.count() >= 0 and df.columns == ["src", "segment", "chunk_id", "n_tokens", "id_sum", "first_id", "last_id"]
+    assert df.count() > 100 and df.columns == ["src", "segment", "chunk_id", "n_tokens", "id_sum", "first_id", "last_id"]
 
 
 def test_every_query_has_a_callable_and_sql_keys_match():
@@ -37,7 +39,11 @@ def test_query(spark, duck, name):
     sdf = QUERIES[name](spark, SF001)
     rows = [tuple(r) for r in sdf.collect()]
     if name not in SQL:
-        assert sdf.columns and len(rows) >= 0
+        # what SQL can't say is compared with brute force in the operator's own test; here: rows, twice the same
+        assert rows and all(len(r) == len(sdf.columns) for r in rows)
+        if name not in TIMED and not name.startswith(("op", "pipeline")):
+            again = [tuple(r) for r in QUERIES[name](spark, SF001).collect()]
+            assert digest(sdf.columns, rows)[0] == digest(sdf.columns, again)[0]
         return
     res = duck.execute(SQL[name])
     dcols = [d[0] for d in res.description]

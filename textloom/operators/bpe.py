@@ -48,6 +48,32 @@ class BpeModel:
         return self.vocab.count()
 
 
+@dataclass
+class Tokenizer:
+    """A loaded artefact (S16) with encode and decode bound to it."""
+
+    model: BpeModel
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "Tokenizer":
+        from ..sources.files import read_tokenizer_json
+        vocab, merges, info = read_tokenizer_json(spark, path)
+        kind = info.first()["type"]
+        if kind != "BPE":
+            raise ValueError(f"{path} holds a {kind} model, not BPE")
+        return cls(BpeModel(cut_lineage(vocab), cut_lineage(merges), path))
+
+    def save(self, path: str) -> None:
+        from ..sources.sinks import write_tokenizer_json
+        write_tokenizer_json(self.model.vocab, self.model.merges, path)
+
+    def encode(self, docs: DataFrame, key: list[str], text: str = "text", **kw) -> DataFrame:
+        return encode(docs, self.model, key, text, **kw)
+
+    def decode(self, seqs: DataFrame, key: list[str], ids: str = "input_ids", **kw) -> DataFrame:
+        return decode(seqs, self.model.vocab, key, ids, **kw)
+
+
 def words_table(corpus: DataFrame, text: str = "text", normalize: bool = True) -> DataFrame:
     """NFKC -> pre-tokens -> distinct words with counts, byte-level string
     ``bl`` and its symbols (initially one per byte)."""

@@ -107,6 +107,22 @@ def r05(spark, sf):
     return spark.table(name)
 
 
+@query("r02_stream_sources", f"""
+SELECT lang AS src, count(*) AS n_rows, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM documents
+WHERE length({duck_strip('text')}) > 50 GROUP BY lang""")
+def r02(spark, sf):
+    """R02 + U02: a source folder for each language, all read as one stream and written as one table."""
+    root, d = _scratch(spark, "r02-src"), table(spark, sf, "documents")
+    d.withColumn("folder", F.col("lang")).write.partitionBy("folder").parquet(root)
+    schema = d.schema.simpleString()[7:-1].replace(":", " ")
+    names = [r["lang"] for r in d.select("lang").distinct().orderBy("lang").collect()]  # the languages' fixed table
+    s = ig.stream_sources(spark, {n: f"{root}/folder={n}" for n in names}, schema)
+    sink = _scratch(spark, "r02-out")
+    ig.run_available(s, sink, _scratch(spark, "ckpt-r02"))
+    return spark.read.parquet(sink).groupBy("src").agg(F.count(F.lit(1)).alias("n_rows"),
+                                                       F.sum(F.length("text")).cast("bigint").alias("n_chars"))
+
+
 R03_SQL = f"""
 SELECT lang, CAST(least(count(*), 100) AS BIGINT) AS n_kept FROM documents
 WHERE length({duck_strip('text')}) > 50 GROUP BY lang

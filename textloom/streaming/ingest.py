@@ -21,7 +21,7 @@ from ..operators.filters import min_stripped_length
 
 def stream_records(spark: SparkSession, path: str, schema: str, fmt: str = "parquet",
                    max_files_per_trigger: int = 1, min_chars: int | None = 50, text: str = "text") -> DataFrame:
-    """A streaming scan with back-pressure (files per trigger) and
+    """A streaming scan with back-pressure (files per trigger) and
     the length filter (F03) applied before anything else."""
     s = (spark.readStream.format(fmt).schema(schema)
          .option("maxFilesPerTrigger", max_files_per_trigger).load(path))
@@ -30,6 +30,16 @@ def stream_records(spark: SparkSession, path: str, schema: str, fmt: str = "parq
     return s
 
 
+def stream_sources(spark: SparkSession, sources: dict[str, str], schema: str, fmt: str = "parquet",
+                   max_files_per_trigger: int = 1, min_chars: int | None = 50, text: str = "text") -> DataFrame:
+    """Several sources in one stream, each record with its source's name in ``src``."""
+    out = None
+    for name, path in sources.items():
+        s = stream_records(spark, path, schema, fmt, max_files_per_trigger, min_chars, text).withColumn("src", F.lit(name))
+        out = s if out is None else out.unionByName(s)
+    return out
+
+
 def run_available(df: DataFrame, sink: str, checkpoint: str, mode: str = "append", fmt: str = "parquet",
                   foreach_batch: Callable | None = None, query_name: str | None = None) -> None:
     """Run a streaming query over everything currently available, then stop."""

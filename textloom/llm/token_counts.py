@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -45,15 +45,18 @@ def piece_scores(model_path: str) -> tuple[dict[str, float], float]:
 
 
 class PrefixTrie:
-    """Trie of pre-tokens with forward scores; ``count`` gives a pre-token's tokens.
-
-    A node is [children, score, tokens, ends]: ``ends`` lists the pieces that
-    are being matched when the node is reached, as (nodes above, state in the
-    piece trie), so a node looks at matching pieces only.  ``room`` bounds the
-    nodes; a full trie starts anew.
+    """Forward scores along the trie of distinct pre-tokens; ``counts`` keeps tokens at their ends.
+
+    New pre-tokens are inserted in sorted order, which visits their trie depth
+    first: the branch down to the current node is all that has to be held, and a
+    node's score is worked out once for all pre-tokens below it, however many
+    there are.  A node is (score, tokens, open): ``open`` are the pieces being
+    matched when it is reached, as (score and tokens at the piece's start,
+    place in the piece trie).  ``room`` bounds the stored counts; a full table
+    starts anew.  ``nodes`` counts the nodes worked out.
     """
 
-    def __init__(self, scores: dict[str, float], byte: float, room: int = 400_000):
+    def __init__(self, scores: dict[str, float], byte: float, room: int = 1_000_000):
         self.byte, self.room = byte, room
         self.pieces: dict = {}
         for piece, s in scores.items():
@@ -61,51 +64,61 @@ class PrefixTrie:
             for ch in piece:
                 at = at.setdefault(ch, {})
             at[""] = s  # no character is empty, so this key marks an end
-        self.clear()
-
-    def clear(self) -> None:
-        self.root: list = [{}, 0.0, 0, []]
-        self.nodes = 0
         self.counts: dict[str, int] = {}
+        self.nodes = 0
 
-    def _grow(self, node: list, ch: str) -> list:
-        """The node below ``node``: its open matches go on, new ones start at ``node``."""
-        best, tokens = -math.inf, 0
-        ends = []
-        for score, count, state in (*node[3], (node[1], node[2], self.pieces)):
-            state = state.get(ch)
-            if state is None:
-                continue
-            ends.append((score, count, state))
-            s = state.get("")
-            if s is not None and (score + s > best or score + s == best and count + 1 < tokens):
-                best, tokens = score + s, count + 1
-        if ch not in self.pieces or "" not in self.pieces[ch]:  # not a piece by itself: bytes
+    def _below(self, node: tuple, ch: str) -> tuple:
+        """The node under ``node``: its open pieces go on, new ones start at ``node``."""
+        best, tokens, open_ = -math.inf, 0, []
+        score, count, state = node[0], node[1], self.pieces.get(ch)
+        whole = state is not None and "" in state
+        if state is not None:
+            open_.append((score, count, state))
+            if whole:
+                best, tokens = score + state[""], count + 1
+        if not whole:  # not a piece by itself: bytes
             n = len(ch.encode("utf-8", "surrogatepass"))
-            s = node[1] + n * self.byte
-            if s > best or s == best and node[2] + n < tokens:
-                best, tokens = s, node[2] + n
-        below = node[0][ch] = [{}, best, tokens, ends]
-        self.nodes += 1
-        return below
-
-    def count(self, pre: str) -> int:
-        n = self.counts.get(pre)
-        if n is None:
-            if self.nodes > self.room:
-                self.clear()
-            node = self.root
-            keep = len(pre) <= 256  # longer ones share little; they are walked without being stored
-            if keep:
-                for ch in pre:
-                    node = node[0].get(ch) or self._grow(node, ch)
-                n = self.counts[pre] = node[2]
-            else:
-                for ch in pre:
-                    node = self._grow([{}, *node[1:]], ch)
-                self.nodes -= len(pre)
-                n = node[2]
-        return n
+            best, tokens = score + n * self.byte, count + n
+        for score, count, state in node[2]:
+            state = state.get(ch)
+            if state is not None:
+                open_.append((score, count, state))
+                s = state.get("")
+                if s is not None:
+                    s += score
+                    if s > best or s == best and count + 1 < tokens:
+                        best, tokens = s, count + 1
+        return best, tokens, open_
+
+    def insert(self, pre_tokens: Iterable[str]) -> None:
+        """Work out and store the counts of all pre-tokens that have none."""
+        counts, below = self.counts, self._below
+        branch: list[tuple] = [(0.0, 0, [])]  # node of each prefix of the last pre-token
+        last = ""
+        for word in sorted(w for w in pre_tokens if w not in counts):
+            shared = 0
+            for x, y in zip(last, word):
+                if x != y:
+                    break
+                shared += 1
+            del branch[shared + 1:]
+            node = branch[-1]
+            for ch in word[shared:]:
+                node = below(node, ch)
+                branch.append(node)
+            self.nodes += len(word) - shared
+            counts[word] = node[1]
+            last = word
+
+    def totals(self, documents: list[list[str]]) -> list[int]:
+        """Tokens of each document's pre-tokens."""
+        new = {w for pres in documents for w in pres if w not in self.counts}
+        if len(self.counts) + len(new) > self.room:
+            self.counts.clear()
+            new = {w for pres in documents for w in pres}
+        self.insert(new)
+        get = self.counts.__getitem__
+        return [sum(map(get, pres)) for pres in documents]
 
 
 PRE_TOKENS = re.compile(f"{MARK}+[^{MARK}]*").findall
@@ -134,10 +147,22 @@ def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
         trie = _worker(model_path)
         for b in batches:
             pres, tokens = [], []
+            part: list[list[str]] = []
+            held = 0
+
+            def flush():
+                nonlocal held
+                pres.extend(map(len, part))
+                tokens.extend(trie.totals(part))
+                part.clear()
+                held = 0
+
             for text in b.column(1).to_pylist():
-                p = pre_tokens(text)
-                pres.append(len(p))
-                tokens.append(sum(map(trie.count, p)))
+                part.append(pre_tokens(text))
+                held += len(part[-1])
+                if held >= 200_000:
+                    flush()
+            flush()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pres, pa.int64()), pa.array(tokens, pa.int64())],
                                              names=["doc_id", "n_pre_tokens", "n_tokens"])
 

@@ -7,7 +7,6 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..functions.text import py_strip
 from ..functions.tokens import add_specials, byte_ids
 from ..operators.convert import convert_to_text, detect_format
 from ..operators.pack import concat_and_chunk

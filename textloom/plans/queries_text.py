@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import PRETOKEN_PATTERN, chars, md5_prefix, py_strip
+from ..functions.text import PRETOKEN_PATTERN, md5_prefix, py_strip
 from ..operators import filters as flt
 from ..operators import sample as smp
 from ..operators import stats as st

@@ -43,6 +43,23 @@ def test_parse_repairs_and_decodes():
         H.parse(bad)
 
 
+@pytest.mark.parametrize("attr", ['class="overflow-hidden"', 'class="hidden-xs"', 'aria-hidden="false"', 'href="/hidden-gems"',
+                                  "data-hidden", "title='hidden'", 'hidden="until-found"', "class=hidden", 'alt="a hidden b"',
+                                  'title="display:none"', 'style="display:none; display:block"', 'style="/*display:none*/"'])
+def test_the_word_hidden_in_a_value_hides_nothing(model, attr):
+    p = "<p>First paragraph of the story, long enough to matter to a reader of it.</p><p>One <a {}>middle</a> word.</p>"
+    want = "First paragraph of the story, long enough to matter to a reader of it.\n\nOne middle word."
+    assert model.extract([f"<article {attr}>{p.format('')}</article>", f"<article>{p.format(attr)}</article>"]) == [want] * 2
+
+
+@pytest.mark.parametrize("attr", ["hidden", "HIDDEN", 'hidden=""', "hidden=hidden", 'class="a" hidden id=b', 'aria-hidden="true"',
+                                  "aria-hidden=true", 'style="color:red; Display : none"', "style=display:none",
+                                  'style="display:none!important;display:block"'])
+def test_hidden_elements_are_not_seen(attr):
+    page = f"<p>a</p><div {attr}>gone<p>gone too</p></div><p>b <span {attr}>gone</span> c</p>"
+    assert [t for _, t in H.parse(page)[1]] == ["a", "b c"]
+
+
 def test_held_out_designs(model):
     pages = H.training_pages(200, seed=77)
     got = [Counter(t.split("\n\n")) if t else Counter() for t in model.extract([p for p, _ in pages])]

@@ -48,7 +48,10 @@ TOKEN = re.compile(
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attr>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
     re.S | re.I)
 NAMES = re.compile(r"""\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?until)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+MAY_HIDE = re.compile("hidden|style", re.I)
+ATTRIBUTE = re.compile(r"""([^\s/>="'][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
+DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*([a-z-]+)[^;]*", re.I)
+CSS_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
 WORD = re.compile(r"[a-z]+")
 
 # Tags and words of class and id attributes that have a weight of their own.
@@ -75,6 +78,22 @@ class Node:
         self.text = self.linked = self.blocks = self.children = 0
 
 
+def hides(attr: str) -> bool:
+    """Whether a start tag's attributes hide the element: hidden, aria-hidden=true or a style of display: none."""
+    if not MAY_HIDE.search(attr):
+        return False
+    values: dict[str, str] = {}
+    for name, *value in ATTRIBUTE.findall(attr):
+        values.setdefault(name.lower(), "".join(value))  # of a repeated attribute the first counts
+    if "hidden" in values and values["hidden"].strip().lower() != "until-found":
+        return True
+    if values.get("aria-hidden", "").strip().lower() == "true":
+        return True
+    shown = list(DISPLAY.finditer(CSS_COMMENT.sub(" ", html_lib.unescape(values.get("style", "")))))
+    shown = [m for m in shown if "!important" in m.group().replace(" ", "").lower()] or shown
+    return bool(shown) and shown[-1][1].lower() == "none"
+
+
 def parse(page: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
     """Block elements (a node's parent comes before it) and the blocks of text: (node, text)."""
     nodes = [Node("body", (), -1)]
@@ -145,7 +164,7 @@ def parse(page: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
             if tag == "a":
                 links += 1
             stack.append((tag, stack[-1][1]))
-            if HIDDEN.search(attr):
+            if hides(attr):
                 hidden.append(len(stack) - 1)
             continue
         if tag in ("html", "body"):
@@ -176,7 +195,7 @@ def parse(page: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
         nodes[stack[-1][1]].children += 1
         nodes.append(Node(tag, found, stack[-1][1]))
         stack.append((tag, len(nodes) - 1))
-        if HIDDEN.search(attr):
+        if hides(attr):
             hidden.append(len(stack) - 1)
         if not m.group().endswith("/>"):
             continue

@@ -60,6 +60,20 @@ def test_hidden_elements_are_not_seen(attr):
     assert [t for _, t in H.parse(page)[1]] == ["a", "b c"]
 
 
+HEAD = '<title>t</title><meta charset=utf-8><style>p{}</style><link rel=x><script>var a = "<p>";</script>'
+
+
+@pytest.mark.parametrize("start", [
+    f"<!DOCTYPE html>\n<html>\n<head>\n{HEAD}\n<body>", f"<html><head>{HEAD}", f"<head>{HEAD}</head>", f"{HEAD}<body>",
+    f"<html><head>{HEAD}<base href=/><template><p>no</p></template><noscript><p>no</p></noscript><body class=a>",
+    f"<head>{HEAD}<head><meta name=a>", f"<html><head>{HEAD}</head><body><head>", f"<head/>{HEAD}<body>"])
+def test_head_ends_without_its_end_tag(model, start):
+    text = "First paragraph of the story, long enough to matter to a reader of it."
+    assert model.extract([f"{start}<article><p>{text}</article>"]) == [text]
+    assert [t for _, t in H.parse(f"{start}one <b>two</b> three<p>four")[1]] == ["one two three", "four"]
+    assert [t for _, t in H.parse(f"{start}<a href=/>one</a> two")[1]] == ["one two"]
+
+
 def test_held_out_designs(model):
     pages = H.training_pages(200, seed=77)
     got = [Counter(t.split("\n\n")) if t else Counter() for t in model.extract([p for p, _ in pages])]

@@ -14,7 +14,8 @@ and ships to the tasks as a few hundred numbers.
 
 Defined cases: null and empty html, and pages without content, give the empty
 text; unclosed and stray tags are repaired (a block element ends a paragraph,
-an end tag closes up to its start tag or is ignored); repeated rows give equal
+an end tag closes up to its start tag or is ignored, a head ends at the first
+tag or word that can't stand in it); repeated rows give equal
 results; nothing is cut off or dropped.
 """
 
@@ -43,6 +44,8 @@ CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "t
           "th": ("td", "th"), "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("thead", "tr", "td", "th")}
 SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",)}
 
+IN_HEAD = frozenset("html head title meta link base basefont bgsound style script noscript noframes template".split())
+
 TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attr>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
@@ -130,8 +133,14 @@ def parse(page: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
             if hidden and hidden[-1] >= len(stack):
                 hidden.pop()
 
+    def end_head() -> None:
+        if stack[-1][0] == "head":
+            pop_to(len(stack) - 1)
+
     def words(s: str) -> None:
         nonlocal linked
+        if s.strip(" \t\n\r\f"):
+            end_head()
         if s and not hidden:
             part.append(s)
             if links:
@@ -157,6 +166,8 @@ def parse(page: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
                 words(" ")
             continue
         attr = m["attr"] or ""
+        if tag not in IN_HEAD:
+            end_head()
         if tag in INLINE:
             if tag in VOID:
                 words(" ")
@@ -169,6 +180,8 @@ def parse(page: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
             continue
         if tag in ("html", "body"):
             continue
+        if tag == "head" and (len(stack) > 1 or len(nodes) > 1 or blocks or "".join(part).strip()):
+            continue  # a second head, or one in the body, is ignored
         if tag in ENDS_P:
             for d in range(len(stack) - 1, 0, -1):
                 if stack[d][0] == "p":

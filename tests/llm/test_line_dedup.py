@@ -118,6 +118,47 @@ def test_against_brute_force(spark, monkeypatch, giant):
     assert texts == {d: "\n".join(x for i, x in enumerate(t.split("\n")) if i not in got[d]) for d, t in rows}
 
 
+def test_large_runs_hang_on_variants_and_lose_nothing(monkeypatch):
+    monkeypatch.setattr(L, "PLAIN_SET", 2)
+    monkeypatch.setattr(L, "RUN", 3)
+    rng = random.Random(9)
+    for _ in range(30):
+        base = "".join(rng.choice("ab ") for _ in range(rng.choice([12, 16, 19, 20, 22, 30, 45])))
+        lines = sorted({x for x in (edit(rng, base, rng.randint(0, 4), "ab") for _ in range(60)) if len(x) >= 10})
+        keys = [f"{i:04d}" for i in range(len(lines))]
+        near = [(x, y) for i, x in enumerate(keys) for j, y in enumerate(keys[:i])
+                if distance(lines[i], lines[j]) <= L.edits_allowed(min(len(lines[i]), len(lines[j])))]
+        assert partition(L._links_in_sets([(keys, lines, False)]), keys) == partition(near, keys)
+
+
+def test_large_runs_across_tasks_against_brute_force(spark, monkeypatch):
+    for name, value in (("GIANT", 3), ("PLAIN_SET", 2), ("RUN", 1)):
+        monkeypatch.setattr(L, name, value)
+    rng = random.Random(5)
+    pool = ["".join(rng.choice("ab ") for _ in range(n)).strip() or "z" for n in (12, 19, 21, 30, 50)]
+    rows = [(d, "\n".join(edit(rng, rng.choice(pool), rng.randint(0, 4), "ab") for _ in range(4))) for d in range(40)]
+    assert {r.doc_id: list(r.dropped) for r in L.decide(docs(spark, rows)).collect()} == brute(rows)
+
+
+def test_fifty_thousand_lines_that_differ_in_one_number(spark):
+    numbers = [f"{k:08d}" for k in random.Random(6).sample(range(10**8), 50_000)]
+    line = "Your order number {} has been shipped to the address on file, thank you."
+    groups = {}
+    for k in numbers:  # two digits replaced, or one taken out and one put in: the same key
+        for i in range(8):
+            groups.setdefault(k[:i] + k[i + 1:], []).append(k)
+            for j in range(i):
+                groups.setdefault((j, i, k[:j] + k[j + 1:i] + k[i + 1:]), []).append(k)
+    want = partition([(g[0], x) for g in groups.values() for x in g[1:] if x != g[0]], numbers)
+    rows = [(d, "\n".join(line.format(k) for k in numbers[d:d + 50])) for d in range(0, 50_000, 50)]
+    got = L.similar_lines(docs(spark, rows).repartition(4))
+    assert got.count() == got.select("node").distinct().count()
+    size = {}
+    for r in want.values():
+        size[r] = size.get(r, 0) + 1
+    assert sorted(r["count"] for r in got.groupBy("root").count().collect()) == sorted(n for n in size.values() if n > 1)
+
+
 def test_awkward_rows_and_empty_table(spark):
     d = with_clashes(docs(spark, AWKWARD))
     out = L.dedup_lines(d)

@@ -18,6 +18,13 @@ number of pairs.  Such sets are cut by finer signatures first: two edits leave
 all but two of ``FINE`` segments alone, so lines within two edits agree in the
 text around some two segments.  This is exact, in place for sets of up to
 ``GIANT`` lines and as a further distributed round beyond it.
+
+Lines that vary in one place (a number in a template) still meet under one
+finer signature.  More than ``RUN`` of them are never paired: what differs
+between the text they share gives variants (``variants``: one edit undone in
+each of two segments, or two in one), lines with an equal variant hang on the
+first of them, and each such link is within the allowed edits.  Rows grow with
+the lines and the length of the differing part, not with pairs.
 """
 
 from __future__ import annotations
@@ -38,6 +45,7 @@ CHARS_PER_EDIT = 10
 FINE = 6
 PLAIN_SET = 64
 GIANT = 20_000
+RUN = 256
 CHUNK = 1_000_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -112,8 +120,13 @@ def coarse_signatures(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def fine_signatures(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Signatures of a line's text around any one or two of FINE segments (see the module's text)."""
+    return _fine_places(lines)[:2]
+
+
+def _fine_places(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The fine signatures and, as one number, where each leaves the text open (``_open_parts``)."""
     h = _Hashes(lines)
-    sig, who = [], []
+    sig, who, place = [], [], []
 
     def add(r, n, longer, p, q, move, probe):
         a, size_p = _segment(n, FINE, p)
@@ -129,6 +142,7 @@ def fine_signatures(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
             r, n = r[ok], n[ok]
         sig.append(_tagged(key, n, probe=probe))
         who.append(r)
+        place.append(np.full(len(r), (((p * FINE + q) * 4 + longer) * 4 + move + 1) * 2 + probe, np.int64))
 
     with np.errstate(over="ignore"):
         allowed = edits_allowed(h.n)
@@ -141,7 +155,81 @@ def fine_signatures(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
                     r = np.flatnonzero((t >= 1) & (t >= longer))
                     for move in ([0] if p == q else range(max(-1, longer - 1), min(1, longer + 1) + 1)):
                         add(r, h.n[r] - longer, longer, p, q, move, True)
-    return np.concatenate(sig), np.concatenate(who)
+    return np.concatenate(sig), np.concatenate(who), np.concatenate(place)
+
+
+def _place(place: int) -> tuple[int, int, int, int, bool]:
+    """p, q, longer, move and probe of a fine signature's place."""
+    pq, rest = divmod(place, 32)
+    return pq // FINE, pq % FINE, rest // 8, rest // 2 % 4 - 1, bool(rest & 1)
+
+
+def _open_parts(line: str, place: int) -> tuple[str, str]:
+    """The text that a fine signature leaves open: segment p and, if it is another one, segment q."""
+    p, q, longer, move, _ = _place(place)
+    n = len(line) - longer
+    start = lambda i: i * (n // FINE) + max(0, i - (FINE - n % FINE))
+    a, a_end, b, b_end = start(p), start(p + 1), start(q), start(q + 1)
+    if p == q:
+        return line[a:a_end + longer], ""
+    return line[a:a_end + move], line[b + move:b_end + longer]
+
+
+def _shared(low: str, high: str) -> int:
+    """Length of the common start of all strings between two in sorted order."""
+    return next((i for i, (x, y) in enumerate(zip(low, high)) if x != y), min(len(low), len(high)))
+
+
+def _ends(low: str, high: str, low_back: str, high_back: str, shortest: int) -> tuple[int, int]:
+    """What a group's parts share in front and behind, from its smallest and largest part, also read backwards."""
+    head = _shared(low, high)
+    return head, min(_shared(low_back, high_back), shortest - head)
+
+
+def _without(s: str) -> list[str]:
+    return [s[:i] + s[i + 1:] for i in range(len(s))]
+
+
+def _masked(s: str) -> list[str]:
+    return [f"{i}:{s[:i]}{s[i + 1:]}" for i in range(len(s))]
+
+
+def variants(x: str, y: str, place: int, allowed: int) -> set[str]:
+    """Keys of a line's open parts: lines with the same key, one of them indexed, are within ``allowed`` edits of that one.
+
+    All pairs within ``allowed`` edits whose edits lie in the open parts share
+    a key.  Segments p and q take one edit each, a segment on its own all.
+    An indexed line serves probes of any length, a probe those of its own.
+    """
+    p, q, longer, move, probe = _place(place)
+    out: set[str] = set()
+    if probe and longer == 0 and (p == q or move == 0):
+        return out  # the same line's indexed keys
+    if p != q:
+        if allowed < 2:
+            return out
+
+        def side(s: str, change: int) -> list[str]:
+            return _masked(s) if change == 0 else [s] if (change < 0) == probe else _without(s)
+
+        for dx, dy in [(move, longer - move)] if probe else [(0, 0), (0, 1), (1, 0), (1, 1), (1, -1), (-1, 1)]:
+            right = side(y, dy)
+            out.update(f"{dx}{dy}|{len(u)}|{u}{v}" for u in side(x, dx) for v in right)
+        return out
+    if not probe:
+        out.add(f"exact|{x}")
+        out.update("one|" + u for u in _masked(x))
+        if allowed > 1:
+            out.update("gap|" + u for u in _without(x))
+            out.update(f"two|{i}:{j}:{x[:i]}{x[i + 1:j]}{x[j + 1:]}" for j in range(len(x)) for i in range(j))
+    elif longer <= allowed:
+        shorter = set(_without(x))
+        if longer == 2:
+            shorter = {v for u in shorter for v in _without(u)}
+        elif allowed > 1:
+            out.update("one|" + v for u in shorter for v in _masked(u))
+        out.update("exact|" + u for u in shorter)
+    return out
 
 
 # ----------------------------------------------------------------- verification
@@ -253,26 +341,54 @@ def _banded(part: list[tuple[np.ndarray, np.ndarray, int]]) -> np.ndarray:
     return result <= limit
 
 
+def _hung(lines: list[str], who: list[int], place: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i < j) that connect the lines of one fine signature: each on the first indexed line of its variants."""
+    parts = [_open_parts(lines[i], c) for i, c in zip(who, place)]
+    cuts = []
+    for side in zip(*parts):
+        back = [s[::-1] for s in side]
+        cuts.append(_ends(min(side), max(side), min(back), max(back), min(map(len, side))))
+    (h, t), (h2, t2) = cuts
+    p, q, *_ = _place(place[0])
+    if all(len(x) == h + t for x, _ in parts) or p != q and all(len(y) == h2 + t2 for _, y in parts):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)  # another signature has them
+    first: dict[str, int] = {}
+    found: set[tuple[int, int]] = set()
+    for wanted in (0, 1):
+        for i, c, (x, y) in zip(who, place, parts):
+            if c & 1 == wanted:
+                allowed = int(edits_allowed(len(lines[i]) - _place(c)[2]))
+                for v in variants(x[h:len(x) - t], y[h2:len(y) - t2], c, allowed):
+                    j = first.get(v, i) if wanted else first.setdefault(v, i)
+                    if i != j:
+                        found.add((min(i, j), max(i, j)))
+    pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
+    return pairs[:, 0], pairs[:, 1]
+
+
 def _set_pairs(lines: list[str], fine: bool) -> tuple[np.ndarray, np.ndarray]:
     """Candidate pairs (i < j) of one set; large sets go through the fine signatures."""
     n = len(lines)
     if n <= PLAIN_SET or fine:
         return np.triu_indices(n, 1)
-    sig, who = fine_signatures(lines)
+    sig, who, place = _fine_places(lines)
     order = np.lexsort((who, sig >> np.uint64(1)))
-    key, who = (sig >> np.uint64(1))[order], who[order]
+    key, who, place = (sig >> np.uint64(1))[order], who[order], place[order]
     new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     seen: set[tuple[int, ...]] = set()
     a, b = [], []
     for s, e in zip(new.tolist(), np.append(new[1:], len(key)).tolist()):
         if e - s > 1:
-            members = tuple(np.unique(who[s:e]).tolist())
-            if len(members) > 1 and members not in seen:
-                seen.add(members)
-                m = np.array(members)
-                i, j = np.triu_indices(len(m), 1)
-                a.append(m[i])
-                b.append(m[j])
+            members = np.unique(who[s:e])
+            if len(members) > RUN:
+                i, j = _hung(lines, who[s:e].tolist(), place[s:e].tolist())
+                a.append(i)
+                b.append(j)
+            elif len(members) > 1 and (own := tuple(members.tolist())) not in seen:
+                seen.add(own)
+                i, j = np.triu_indices(len(members), 1)
+                a.append(members[i])
+                b.append(members[j])
     if not a:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     pairs = np.unique(np.concatenate(a) * n + np.concatenate(b))
@@ -329,18 +445,21 @@ def _line_id(line: str) -> int:
 
 
 def signatures(lines: DataFrame, kind: str, split: bool) -> DataFrame:
-    """Rows (sig, id) for all lines of a text column (``split``: whole texts, cut at line feeds)."""
+    """Rows (sig, id) for all lines of a text column (``split``: whole texts, cut at line feeds).
+
+    ``kind``: coarse, or fine, which adds each signature's ``place``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = coarse_signatures if kind == "coarse" else fine_signatures
+        make = coarse_signatures if kind == "coarse" else _fine_places
         seen: set[int] = set()  # a hot line is written once for each task, not for each occurrence
 
         def out(chunk: list[str], ids: list[int]):
-            sig, who = make(chunk)
-            own = np.array(ids, np.int64)
+            sig, who, *place = make(chunk)
+            columns = [sig.view(np.int64), np.array(ids, np.int64)[who], *place]
             for s in range(0, len(sig), 500_000):
-                yield pa.RecordBatch.from_arrays([pa.array(sig[s:s + 500_000].view(np.int64)),
-                                                  pa.array(own[who[s:s + 500_000]])], names=["sig", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[s:s + 500_000]) for c in columns],
+                                                 names=["sig", "id", "place"][:len(columns)])
 
         chunk, ids, size = [], [], 0
         for b in batches:
@@ -365,14 +484,15 @@ def signatures(lines: DataFrame, kind: str, split: bool) -> DataFrame:
         if chunk:
             yield from out(chunk, ids)
 
-    return lines.mapInArrow(run, "sig long, id long")
+    return lines.mapInArrow(run, "sig long, id long" + (", place long" if kind == "fine" else ""))
 
 
 def candidate_sets(sigs: DataFrame) -> DataFrame:
     """Sets of two or more lines under one signature: rows (set, n, id), equal sets once.
 
     Rows arrive sorted by signature, so a set is a run; a run is held as its
-    distinct ids only.
+    distinct ids only.  A run of over ``GIANT`` lines is not held: it goes on
+    as it arrives, under its signature and with ``n`` of GIANT + 1.
     """
     parts = (sigs.withColumn("key", F.shiftrightunsigned("sig", 1)).repartition("key").drop("key")
              .sortWithinPartitions(F.shiftrightunsigned("sig", 1), "sig", "id"))
@@ -400,10 +520,23 @@ def candidate_sets(sigs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (s_out, n_out, i_out)],
                                                  names=["set", "n", "id"])
 
+        def passed(key, ids):
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), x, np.int64)) for x in (key.view(np.int64), GIANT + 1)]
+                                              + [pa.array(ids)], names=["set", "n", "id"])
+
         hold_s, hold_i = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        hot, hot_indexed = None, False
         for b in batches:
-            sig = np.concatenate([hold_s, b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)])
-            ids = np.concatenate([hold_i, b.column(1).to_numpy(zero_copy_only=False)])
+            sig = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            ids = b.column(1).to_numpy(zero_copy_only=False)
+            if hot is not None and len(sig):
+                n = int(np.searchsorted(sig >> np.uint64(1) != hot, True))
+                if hot_indexed and n:
+                    yield passed(hot, ids[:n])
+                sig, ids = sig[n:], ids[n:]
+                if len(sig):
+                    hot = None
+            sig, ids = np.concatenate([hold_s, sig]), np.concatenate([hold_i, ids])
             if not len(sig):
                 continue
             fresh = np.r_[True, (sig[1:] != sig[:-1]) | (ids[1:] != ids[:-1])]
@@ -413,6 +546,11 @@ def candidate_sets(sigs: DataFrame) -> DataFrame:
             cut = int(other[-1]) + 1 if len(other) else 0
             yield from found(sig[:cut], ids[:cut])
             hold_s, hold_i = sig[cut:], ids[cut:]
+            if len(hold_s) > 2 * GIANT:  # a line has two rows at most under a signature
+                hot, hot_indexed = key[-1], (hold_s[0] & np.uint64(1)) == 0
+                if hot_indexed:
+                    yield passed(hot, hold_i)
+                hold_s, hold_i = hold_s[:0], hold_i[:0]
         yield from found(hold_s, hold_i)
 
     return parts.mapInArrow(run, "set long, n long, id long").distinct()
@@ -471,6 +609,95 @@ def _verified(members: DataFrame, fine: bool) -> DataFrame:
     return parts.mapInArrow(run, "a string, b string")
 
 
+def _hung_links(places: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) of line keys under signatures with many lines, by variants: no pairs are written.
+
+    What all lines of a signature share at the ends of their open parts comes
+    from minima and maxima (combined map-side); the rows of variants are dealt
+    out by signature and variant.
+    """
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sig_key, ids, place, line = (b.column(i) for i in range(4))
+            lines, places_ = line.to_pylist(), place.to_pylist()
+            parts = [_open_parts(t, c) for t, c in zip(lines, places_)]
+            allowed = [int(edits_allowed(len(t) - _place(c)[2])) for t, c in zip(lines, places_)]
+            yield pa.RecordBatch.from_arrays(
+                [sig_key, ids, place, pa.array(allowed, pa.int32()), pa.array([x for x, _ in parts], pa.string()),
+                 pa.array([y for _, y in parts], pa.string())], names=["sig_key", "id", "place", "allowed", "x", "y"])
+
+    parts = written(places.join(texts, F.col("id") == F.col("lid")).select("sig_key", "id", "place", "line").mapInArrow(
+        opened, "sig_key long, id long, place long, allowed int, x string, y string"), "line-parts")
+    ends = parts.groupBy("sig_key").agg(F.first("place").alias("place"), *[
+        f(e).alias(f"{c}{i}") for c in "xy" for i, (f, e) in enumerate([
+            (F.min, F.col(c)), (F.max, F.col(c)), (F.min, F.reverse(c)), (F.max, F.reverse(c)),
+            (F.min, F.length(c)), (F.max, F.length(c))])])
+
+    def cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for key, place, *v in zip(*(c.to_pylist() for c in b.columns)):
+                (h, t), (h2, t2) = _ends(*v[:5]), _ends(*v[6:11])
+                p, q, *_ = _place(place)
+                if v[5] > h + t and (p == q or v[11] > h2 + t2):  # otherwise another signature has them
+                    out.append((key, h, t, h2, t2))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)] if out else
+                                             [pa.array([], pa.int64())] * 5, names=["cut_key", "h", "t", "h2", "t2"])
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for b in batches:
+            v, probe, own = [], [], []
+            for key, i, place, allowed, x, y, h, t, h2, t2 in zip(*(c.to_pylist() for c in b.columns)):
+                for u in variants(x[h:len(x) - t], y[h2:len(y) - t2], place, allowed):
+                    v.append(xxhash.xxh64_intdigest(f"{key}|{u}"))
+                    probe.append(place & 1)
+                    own.append(i)
+                if len(v) >= 200_000:
+                    yield rows(v, probe, own)
+                    v, probe, own = [], [], []
+            yield rows(v, probe, own)
+
+    def rows(v, probe, own):
+        return pa.RecordBatch.from_arrays([pa.array(np.array(v, np.uint64).view(np.int64)), pa.array(probe, pa.int32()),
+                                           pa.array(own, pa.int64())], names=["v", "probe", "id"])
+
+    def hung(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, centre = None, None  # the run that goes on: its variant and its first indexed line
+        for b in batches:
+            if not b.num_rows:
+                continue
+            v, probe, ids = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            new = np.r_[last is None or v[0] != last, v[1:] != v[:-1]]
+            starts = np.flatnonzero(new)
+            run = np.cumsum(new)  # 0: still the run before
+            to = np.r_[0 if centre is None else centre, ids[starts]]
+            has = np.r_[centre is not None, probe[starts] == 0]
+            ok = has[run] & (to[run] != ids)
+            last, centre = v[-1], (to[-1] if has[-1] else None)
+            yield pa.RecordBatch.from_arrays([pa.array(to[run][ok]), pa.array(ids[ok])], names=["i", "j"])
+
+    cut = ends.mapInArrow(cuts, "cut_key long, h long, t long, h2 long, t2 long")
+    dealt = (parts.join(cut, F.col("sig_key") == F.col("cut_key"))
+             .select("sig_key", "id", "place", "allowed", "x", "y", "h", "t", "h2", "t2")
+             .mapInArrow(keyed, "v long, probe int, id long").repartition("v").sortWithinPartitions("v", "probe", "id"))
+    pairs = (dealt.mapInArrow(hung, "i long, j long").select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
+             .distinct())
+    left, right = (texts.select(F.col("lid").alias(f"lid_{c}"), F.col("key").alias(c), F.col("line").alias(f"line_{c}"))
+                   for c in "ab")
+    found = (pairs.join(left, F.col("i") == F.col("lid_a")).join(right, F.col("j") == F.col("lid_b"))
+             .select("a", "b", "line_a", "line_b"))
+
+    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = within_edits([(_codes(x), _codes(y), int(edits_allowed(min(len(x), len(y)))))
+                               for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())])
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok)) for c in b.columns[:2]], names=["a", "b"])
+
+    return found.mapInArrow(checked, "a string, b string")
+
+
 def similar_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Components of distinct lines within the allowed edits: ``node``, ``root`` (line keys)."""
     sets = cut_lineage(candidate_sets(signatures(docs.select(text_col), "coarse", True)))
@@ -479,9 +706,15 @@ def similar_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
     giant = sets.where(F.col("n") > GIANT)
     if not giant.isEmpty():
         lines = cut_lineage(_with_text(giant, docs, text_col).dropDuplicates(["key"]))
-        again = cut_lineage(candidate_sets(signatures(lines.select("line"), "fine", False)))
+        places = cut_lineage(signatures(lines.select("line"), "fine", False).withColumn(
+            "sig_key", F.shiftrightunsigned("sig", 1)))
+        hot = cut_lineage(places.groupBy("sig_key").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > 2 * RUN)
+                          .select("sig_key"))
         texts = lines.select(F.col("id").alias("lid"), "key", "line")
+        again = cut_lineage(candidate_sets(places.join(hot, "sig_key", "left_anti").select("sig", "id")))
         links = links.union(_verified(again.join(texts, F.col("id") == F.col("lid")), True))
+        if not hot.isEmpty():
+            links = links.union(_hung_links(places.join(hot, "sig_key").select("sig_key", "id", "place"), texts))
     return connected_components(links)
 
 

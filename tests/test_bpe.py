@@ -180,3 +180,9 @@ def test_presets_and_long_lines(spark):
     kept = {x.word: x.cnt for x in bpe.sp_words_table(d)[0].collect()}
     assert kept["▁word"] == 5000 and kept["▁x"] == 1
     assert "▁word" not in {x.word for x in bpe.sp_words_table(d, long_lines="skip")[0].collect()}
+
+
+def test_vocabularies_of_real_size_are_registered():
+    import __spark_entry__ as E
+    assert {"t01_bpe_merges_4000", "x06_bpe_encode_4000", "k04_bpe_chunks_4000", "k06_bpe_truncate_4000",
+            "a08_fertility_bpe_4000"} <= set(E.queries())

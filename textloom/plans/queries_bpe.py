@@ -2,6 +2,8 @@
 
 The DuckDB side trains the same small vocabulary with a recursive query (one
 merge a step over the distinct words) and encodes by replaying the merges.
+That is too slow for a vocabulary of real size, so the queries named _4000 have
+no SQL; training is tested against brute force at 300.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from .registry import query
 
 BASE_VOCAB = 300
 N_MERGES = BASE_VOCAB - 263
+FULL_VOCAB = 4000
 
 _MAP = "[" + ", ".join("'" + c.replace("'", "''") + "'" for c in BYTE_DST) + "]"
 # a symbol is wrapped in chr(1) and chr(2), so replacing a pair is one left-to-right pass
@@ -67,9 +70,9 @@ def trained(spark, sf, vocab_size: int = BASE_VOCAB, lang: str | None = None) ->
     return m
 
 
-def encoded(spark, sf, max_length: int | None = None, keep: bool = False):
+def encoded(spark, sf, max_length: int | None = None, keep: bool = False, vocab_size: int = BASE_VOCAB):
     d = table(spark, sf, "documents")
-    m = trained(spark, sf)
+    m = trained(spark, sf, vocab_size)
     return bpe.encode(keep_for_training(d) if keep else d, m, ["doc_id"], max_length=max_length)
 
 
@@ -84,6 +87,12 @@ def t01_vocab(spark, sf):
     return trained(spark, sf).vocab
 
 
+@query("t01_bpe_merges_4000")
+def t01_merges_full(spark, sf):
+    """Merges learned from all documents (vocabulary of 4,000)."""
+    return trained(spark, sf, FULL_VOCAB).merges
+
+
 def _sums(e):
     return e.select("doc_id", F.size("input_ids").cast("bigint").alias("n_tokens"),
                     F.aggregate("input_ids", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("id_sum"))
@@ -123,6 +132,16 @@ def k06_bpe(spark, sf):
     return _sums(encoded(spark, sf, max_length=512, keep=True))
 
 
+@query("x06_bpe_encode_4000")
+def x06_full(spark, sf):
+    return _sums(encoded(spark, sf, vocab_size=FULL_VOCAB))
+
+
+@query("k06_bpe_truncate_4000")
+def k06_bpe_full(spark, sf):
+    return _sums(encoded(spark, sf, max_length=512, keep=True, vocab_size=FULL_VOCAB))
+
+
 @query("x16_roundtrip", "SELECT count(*) AS n_docs, CAST(0 AS BIGINT) AS n_mismatch FROM documents")
 def x16(spark, sf):
     """X15 + X16 + J02: decode(encode(text)) against NFKC(text) with the prefix space."""
@@ -140,7 +159,16 @@ def j06(spark, sf):
 @query("a08_fertility_bpe", A08_SQL)
 def a08_bpe(spark, sf):
     """A08 with the trained vocabulary: chars per BPE token, per language and overall."""
-    d = table(spark, sf, "documents").join(encoded(spark, sf), "doc_id")
+    return _fertility(spark, sf, BASE_VOCAB)
+
+
+@query("a08_fertility_bpe_4000")
+def a08_bpe_full(spark, sf):
+    return _fertility(spark, sf, FULL_VOCAB)
+
+
+def _fertility(spark, sf, vocab_size: int):
+    d = table(spark, sf, "documents").join(encoded(spark, sf, vocab_size=vocab_size), "doc_id")
     return st.fertility(d, "text", F.size("input_ids") - 2, by="lang")
 
 
@@ -175,7 +203,16 @@ def a13(spark, sf):
 def k04(spark, sf):
     """BPE-encoded training documents concatenated per source and cut
     into 512-token chunks (short tails dropped)."""
+    return _chunks(spark, sf, BASE_VOCAB)
+
+
+@query("k04_bpe_chunks_4000")
+def k04_full(spark, sf):
+    return _chunks(spark, sf, FULL_VOCAB)
+
+
+def _chunks(spark, sf, vocab_size: int):
     docs = keep_for_training(corpus(spark, sf)).select("src", "row_idx")
-    e = encoded(spark, sf).withColumnRenamed("doc_id", "row_idx").join(docs, "row_idx")
+    e = encoded(spark, sf, vocab_size=vocab_size).withColumnRenamed("doc_id", "row_idx").join(docs, "row_idx")
     ch = pk.concat_and_chunk(e, 512)
     return ch.select("src", "segment", "chunk_id", F.size("input_ids").cast("bigint").alias("n_tokens"))

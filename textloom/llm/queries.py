@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import (conversation_repair, exact_dedup, hilbert, html_extract, line_dedup, mixing, packing, quality_classifier, quality_rules,
+from . import (conversation_repair, exact_dedup, hilbert, html_extract, line_dedup, mixing, packing, phrases, quality_classifier, quality_rules,
                simhash, token_counts)
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -180,3 +180,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_conversation_repair")
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair(table(spark, sf_dir, "conversations"))
+
+
+# ------------------------------------------------------------ 13 phrase collocations
+
+
+@query("op13_phrase_collocations")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents"))

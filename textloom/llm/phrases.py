@@ -39,6 +39,7 @@ from .common import written
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 H = ["h1", "h2", "h3", "h4"]
 BITMAP_BITS = 1 << 25  # 4 MB, whatever the corpus holds
+COMBINE = 1_000_000  # windows that a task combines at a time (40 MB)
 BUCKET = 32_768  # bits of a bucket of Spark's bitmap functions
 
 
@@ -80,11 +81,25 @@ def bitmap(hashes: DataFrame, column: str = "h", bits: int = BITMAP_BITS) -> np.
 
 
 def edges(parts: DataFrame, frequent: np.ndarray, salt: int, bits: int = BITMAP_BITS) -> DataFrame:
-    """Windows of four hashes from each frequent word on, zeros behind a piece's end or a rare word: h1 to h4, n."""
+    """Windows of four hashes from each frequent word on, zeros behind a piece's end or a rare word: h1 to h4, n.
+
+    Tasks combine equal windows before the one large shuffle.  It deals rows out
+    by node, so edges, nodes and their flow need no other.
+    """
     held = parts.sparkSession.sparkContext.broadcast(frequent)
 
+    def combined(rows):
+        """Equal windows of a stretch of the task's rows as one row."""
+        w = np.concatenate(rows, axis=1)
+        w = w[:, np.lexsort(w)]
+        new = np.ones(w.shape[1], bool)
+        new[1:] = (w[:, 1:] != w[:, :-1]).any(axis=0)
+        first = np.flatnonzero(new)
+        return pa.RecordBatch.from_arrays([*map(pa.array, w[:, first]), pa.array(np.diff(np.append(first, w.shape[1])))],
+                                          names=[*H, "n"])
+
     def run(batches):
-        seen = held.value
+        seen, held_rows = held.value, []
         for b in batches:
             lists = b.column(0)
             h = lists.flatten().to_numpy(zero_copy_only=False)
@@ -100,26 +115,33 @@ def edges(parts: DataFrame, frequent: np.ndarray, salt: int, bits: int = BITMAP_
             for i in (1, 2, 3):
                 cols[i][cols[i - 1] == 0] = 0
             keep = cols[0] != 0
-            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in cols], names=H)
+            held_rows.append(np.stack([c[keep] for c in cols]))
+            if sum(c.shape[1] for c in held_rows) >= COMBINE:
+                yield combined(held_rows)
+                held_rows = []
+        if held_rows:
+            yield combined(held_rows)
 
     hashed = parts.select(F.transform("words", lambda w: word_hash(salt, F.col("lang"), w)).alias("words"))
-    return hashed.mapInArrow(run, ", ".join(f"{h} long" for h in H)).groupBy(*H).agg(F.count(F.lit(1)).alias("n"))
+    return hashed.mapInArrow(run, ", ".join(f"{h} long" for h in [*H, "n"])).repartition(*H[:3]).groupBy(*H).agg(F.sum("n").alias("n"))
 
 
 def flows(edge_counts: DataFrame, min_count: int) -> DataFrame:
     """Counts of all runs of one to four words with ``min_count`` or more: h1 to h4 (0 behind the last), f.
 
     Each length is the flow out of the next longer one.  One job: a level's
-    shuffle feeds both its own rows and the level below.
+    shuffle feeds both its own rows and the level below (which is why pads are
+    only left out afterwards: a condition on keys would move below the shuffle
+    and make each level's a different one).
     """
     level, out = edge_counts.withColumnRenamed("n", "f"), None
     for length in (4, 3, 2, 1):
-        rows = level.where((F.col(f"h{length}") != 0) & (F.col("f") >= min_count)).select(
-            *[F.col(h) if i < length else F.lit(0).cast("long").alias(h) for i, h in enumerate(H)], "f")
+        rows = level.where(F.col("f") >= min_count).select(
+            *[F.col(h) if i < length else F.lit(0).cast("long").alias(h) for i, h in enumerate(H)], "f", F.lit(length).alias("length"))
         out = rows if out is None else out.unionByName(rows)
         if length > 1:
             level = level.groupBy(*H[:length - 1]).agg(F.sum("f").alias("f"))
-    return written(out, "phrase-flows")
+    return written(out, "phrase-flows").where(F.element_at(F.array(*H), F.col("length")) != 0).drop("length")
 
 
 def compact(heavy: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -2,8 +2,6 @@ import random
 import re
 from collections import Counter
 
-import numpy as np
-
 from tests.conftest import SF001
 from tests.llm.helpers import AWKWARD, docs, with_clashes
 from textloom.llm import phrases as P
@@ -74,21 +72,20 @@ def test_random_corpora_equal_brute_force(spark):
 
 def test_paths_are_compacted(spark):
     rows = [(i, " ".join(f"p{j}" for j in range(50)), "s", "en") for i in range(6)]
-    parts = P.pieces(docs(spark, rows))
-    words, salt = P.vocabulary(parts)
-    counts = P.flows(P.edges(parts, P.bitmap(words), salt), 3)
+    texts = P._texts(docs(spark, rows), "lang", "text")
+    frequent, salt = P.numbered(P.vocabulary(texts), 3)
+    counts = P.flows(P.edges(texts, frequent, salt), 3)
     paths = P.compact(counts.where("h4 <> 0"), counts.where("h3 <> 0 AND h4 = 0").drop("h4")).collect()
     assert [(len(p.words), p.f) for p in paths] == [(50, 6)]
 
 
-def test_a_full_bitmap_changes_nothing(spark):
+def test_numbers_by_a_join_are_the_same(spark, monkeypatch):
     rows = corpus(random.Random(4), 60)
-    parts = P.pieces(docs(spark, rows))
-    words, salt = P.vocabulary(parts)
-    some = P.bitmap(words.where("f >= 3"))
-    everything = np.full(P.BITMAP_BITS // 8, 255, np.uint8)
-    a, b = (sorted(map(tuple, P.flows(P.edges(parts, m, salt), 3).collect())) for m in (some, everything))
-    assert a == b and len(a) > 20
+    want = brute([(r[3], r[1]) for r in rows], 3)
+    assert got(P.mine(docs(spark, rows), 3, max_words=0)) == want and len(want) > 20
+    monkeypatch.setattr(P, "HELD", 5)
+    monkeypatch.setattr(P, "COMBINE", 50)
+    assert got(P.mine(docs(spark, rows), 3)) == want
 
 
 def test_large_counts_stay_exact(spark):

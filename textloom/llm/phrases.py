@@ -15,11 +15,12 @@ are compacted: one row holds the path's words and its weight.  A node inside
 such a path has its neighbours' count, so it lies in a longer candidate of the
 same count and needs no scores.
 
-Words are 64-bit hashes of language and word while they are counted; a
-collision of any two words of the corpus is looked for and answered by another
-salt, so counts are exact.  Words below ``min_count`` can't stand in a
-candidate and break a piece like its end does.  They are told apart by a bitmap
-of fixed size (a rare word let through by it costs rows, not correctness).
+Words below ``min_count`` can't stand in a candidate and break a piece like its
+end does; all others have a number by frequency, so that an edge is four small
+numbers.  Tasks find numbers in a broadcast array of word hashes (12 bytes a
+word, at most ``MAX_WORDS`` words; a collision of any two words of the corpus is
+looked for and answered by another salt).  Beyond that many words the numbers
+are joined to the words by a shuffle.
 
 Defined cases: null texts are empty; a null language is ``und``; repeated rows
 count again; a text without words gives nothing; an empty table gives no rows;
@@ -36,97 +37,192 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from .common import written
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 H = ["h1", "h2", "h3", "h4"]
-BITMAP_BITS = 1 << 25  # 4 MB, whatever the corpus holds
 COMBINE = 1_000_000  # windows that a task combines at a time (40 MB)
-BUCKET = 32_768  # bits of a bucket of Spark's bitmap functions
+MAX_WORDS = 2_000_000  # frequent words that are broadcast (24 MB)
+HELD = 200_000  # words that a task remembers
 
+#: Bytes after splitting: lower-case letters, every separator a full stop, tabs as spaces.
+SPLIT = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ,;:!?\n\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz......... ")
 
-def pieces(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """``lang`` and ``words`` (not empty) of each piece."""
-    low = F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, LOWER)
-    split = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"),
-                        F.explode(F.split(low, r"[.,;:!?\x0A-\x0D]")).alias("piece"))
-    return split.select("lang", F.filter(F.split("piece", r"[\x20\x09]+"), lambda w: w != "").alias("words")).where(
-        F.size("words") > 0)
 
+def words_of(text: str | None) -> list[bytes]:
+    """The words of a text in order, ``.`` between pieces and at the end."""
+    return (text or "").encode("utf-8", "surrogatepass").translate(SPLIT).replace(b".", b" . ").split() + [b"."]
 
-def word_hash(salt: int, lang: Column, word: Column) -> Column:
-    """The hash of a word; 0 is kept for the pad."""
-    h = F.xxhash64(F.lit(salt), lang, word)
-    return F.when(h == 0, F.lit(1).cast("long")).otherwise(h)
 
+def _texts(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
 
-def vocabulary(parts: DataFrame) -> tuple[DataFrame, int]:
-    """All words (``lang``, ``word``, ``f``, ``h``) as a written table, and a salt under which no two share a hash."""
-    words = written(parts.select("lang", F.explode("words").alias("word")).groupBy("lang", "word").agg(
-        F.count(F.lit(1)).alias("f")), "phrase-words")
-    for salt in range(16):
-        hashed = words.withColumn("h", word_hash(salt, F.col("lang"), F.col("word")))
-        if hashed.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
-            return hashed, salt
-    raise RuntimeError("no salt keeps the words' hashes apart")
 
+def vocabulary(texts: DataFrame) -> DataFrame:
+    """All words (``lang``, ``word``, ``f``) as a written table."""
+
+    def run(batches):
+        from collections import Counter
+
+        by_lang: dict[str, Counter] = {}
+        held = 0
+
+        def rows():
+            flat = [(lang, w.decode("utf-8", "surrogatepass"), n) for lang, c in by_lang.items() for w, n in c.items()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*flat), (pa.string(), pa.string(), pa.int64()))],
+                                              names=["lang", "word", "f"])
+
+        for b in batches:
+            for lang, text in zip(b.column(0), b.column(1)):
+                c = by_lang.setdefault(lang.as_py(), Counter())
+                before = len(c)
+                c.update(words_of(text.as_py()))
+                del c[b"."]
+                held += len(c) - min(before, len(c))
+                if held >= HELD:
+                    yield rows()
+                    by_lang, held = {}, 0
+        if any(by_lang.values()):
+            yield rows()
+
+    counted = texts.mapInArrow(run, "lang string, word string, f long")
+    return written(counted.groupBy("lang", "word").agg(F.sum("f").alias("f")), "phrase-words")
+
+
+def word_hash(lang: str, word: bytes, salt: int) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass") + b"\0" + word, salt) - (1 << 63)
 
-def bitmap(hashes: DataFrame, column: str = "h", bits: int = BITMAP_BITS) -> np.ndarray:
-    """Bytes with bit ``pmod(hash, bits)`` set for each hash; at most ``bits / 8`` bytes reach the driver."""
-    at = F.pmod(F.col(column), F.lit(bits))
-    rows = hashes.select(F.floor(at / BUCKET).cast("int").alias("bucket"), (at % BUCKET).alias("bit")).groupBy("bucket").agg(
-        F.expr("bitmap_construct_agg(bit)").alias("bytes")).collect()
-    out = np.zeros(bits // 8, np.uint8)
-    for r in rows:
-        out[r["bucket"] * (BUCKET // 8):(r["bucket"] + 1) * (BUCKET // 8)] = np.frombuffer(r["bytes"], np.uint8)
-    return out
 
+def hashed(words: DataFrame, salt: int) -> DataFrame:
+    """``words`` and the 64-bit hash ``h`` of language and word."""
 
-def edges(parts: DataFrame, frequent: np.ndarray, salt: int, bits: int = BITMAP_BITS) -> DataFrame:
-    """Windows of four hashes from each frequent word on, zeros behind a piece's end or a rare word: h1 to h4, n.
+    def run(batches):
+        for b in batches:
+            h = [word_hash(lang.as_py(), word.as_py().encode("utf-8", "surrogatepass"), salt) for lang, word in
+                 zip(b.column(0), b.column(1))]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(h, pa.int64())], names=["lang", "word", "f", "h"])
+
+    return words.select("lang", "word", "f").mapInArrow(run, "lang string, word string, f long, h long")
+
+
+def numbered(words: DataFrame, min_count: int) -> tuple[DataFrame, int]:
+    """The frequent words with ``h`` and their number ``code`` (from 1, frequent first), and the salt of the hashes.
+
+    No two words of the corpus, rare ones included, share a hash under the salt.
+    """
+    for salt in range(16):
+        if hashed(words, salt).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+            break
+    else:
+        raise RuntimeError("no salt keeps the words' hashes apart")
+    frequent = hashed(words.where(F.col("f") >= min_count), salt)
+    # places by a sort of the frequent words over ranges, and prefix sums over the ranges
+    placed = cut_lineage(frequent.repartitionByRange(F.col("f").desc(), "h").sortWithinPartitions(F.col("f").desc(), "h")
+                         .withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()))
+    first = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("low"))
+    first = first.select("part", "low", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
+    return cut_lineage(placed.join(F.broadcast(first), "part").select(
+        "lang", "word", "f", "h", (F.col("base") + F.col("at") - F.col("low") + 1).cast("int").alias("code"))), salt
+
+
+def edges(texts: DataFrame, frequent: DataFrame, salt: int, max_words: int | None = None) -> DataFrame:
+    """Weighted edges: p (first word's number << 32 | second's), c3, c4, n; zeros behind a piece's end or a rare word.
 
     Tasks combine equal windows before the one large shuffle.  It deals rows out
     by node, so edges, nodes and their flow need no other.
     """
-    held = parts.sparkSession.sparkContext.broadcast(frequent)
+    names = ["p", "c3", "c4", "n"]
 
     def combined(rows):
         """Equal windows of a stretch of the task's rows as one row."""
         w = np.concatenate(rows, axis=1)
-        w = w[:, np.lexsort(w)]
+        w = w[:, np.lexsort(w[::-1])]
         new = np.ones(w.shape[1], bool)
         new[1:] = (w[:, 1:] != w[:, :-1]).any(axis=0)
         first = np.flatnonzero(new)
-        return pa.RecordBatch.from_arrays([*map(pa.array, w[:, first]), pa.array(np.diff(np.append(first, w.shape[1])))],
-                                          names=[*H, "n"])
+        p, c = w[0, first], w[1, first]
+        return pa.RecordBatch.from_arrays([pa.array(p), pa.array((c >> 32).astype(np.int32)), pa.array(c.astype(np.int32)),
+                                           pa.array(np.diff(np.append(first, w.shape[1])))], names=names)
+
+    def windows(coded):
+        """From arrays of numbers, each with a 0 behind its last word."""
+        held, size = [], 0
+        for c in coded:
+            c = np.concatenate([c, np.zeros(3, np.int64)])
+            c1, c2, c3, c4 = c[:-3], c[1:-2], c[2:-1], c[3:]
+            two = c2 != 0
+            three = two & (c3 != 0)
+            w = np.stack([c1 << 32 | c2, np.where(two, c3, 0) << 32 | np.where(three, c4, 0)])[:, c1 != 0]
+            held.append(w)
+            size += w.shape[1]
+            if size >= COMBINE:
+                yield combined(held)
+                held, size = [], 0
+        if size:
+            yield combined(held)
+
+    if frequent.count() <= (MAX_WORDS if max_words is None else max_words):
+        rows = frequent.select("h", "code").toPandas()
+        order = np.argsort(rows["h"].to_numpy())
+        sent = texts.sparkSession.sparkContext.broadcast((rows["h"].to_numpy()[order], rows["code"].to_numpy(np.int32)[order]))
+
+        def run(batches):
+            h, code = sent.value
+
+            class Codes(dict):
+                def __init__(self, lang):
+                    self.lang = lang
+                    self[b"."] = 0
+
+                def __missing__(self, word):
+                    if len(self) >= HELD:
+                        self.clear()
+                        self[b"."] = 0
+                    v = word_hash(self.lang, word, salt)
+                    at = np.searchsorted(h, v)
+                    c = self[word] = int(code[at]) if at < len(h) and h[at] == v else 0
+                    return c
+
+            known = {}
+
+            def coded():
+                for b in batches:
+                    for lang, text in zip(b.column(0), b.column(1)):
+                        lang = lang.as_py()
+                        if lang not in known:
+                            if len(known) >= 64:
+                                known.clear()
+                            known[lang] = Codes(lang)
+                        yield np.array(list(map(known[lang].__getitem__, words_of(text.as_py()))), np.int64)
+
+            yield from windows(coded())
+
+        out = texts.mapInArrow(run, "p long, c3 int, c4 int, n long")
+    else:
+        out = _joined_codes(texts, frequent, salt).mapInArrow(
+            lambda batches: windows(np.asarray(x.values.to_numpy(zero_copy_only=False), np.int64) for b in batches for x in b.column(0)),
+            "p long, c3 int, c4 int, n long")
+    return out.repartition("p", "c3")
+
+
+def _joined_codes(texts: DataFrame, frequent: DataFrame, salt: int) -> DataFrame:
+    """``codes`` of each text, its words' numbers found by a join."""
+    named = written(texts.withColumn("uid", F.monotonically_increasing_id()), "phrase-texts")
 
     def run(batches):
-        seen, held_rows = held.value, []
         for b in batches:
-            lists = b.column(0)
-            h = lists.flatten().to_numpy(zero_copy_only=False)
-            ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
-            at = h & (bits - 1)  # bits is a power of two, so this is the positive remainder
-            ok = (seen[at >> 3] >> (at & 7).astype(np.uint8)) & 1
-            h = np.where(ok == 1, h, 0)
-            # one pad behind each piece, three more at the end
-            padded = np.zeros(len(h) + len(ends) + 3, np.int64)
-            piece = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
-            padded[np.arange(len(h)) + piece] = h
-            cols = [padded[:-3], padded[1:-2].copy(), padded[2:-1].copy(), padded[3:].copy()]
-            for i in (1, 2, 3):
-                cols[i][cols[i - 1] == 0] = 0
-            keep = cols[0] != 0
-            held_rows.append(np.stack([c[keep] for c in cols]))
-            if sum(c.shape[1] for c in held_rows) >= COMBINE:
-                yield combined(held_rows)
-                held_rows = []
-        if held_rows:
-            yield combined(held_rows)
-
-    hashed = parts.select(F.transform("words", lambda w: word_hash(salt, F.col("lang"), w)).alias("words"))
-    return hashed.mapInArrow(run, ", ".join(f"{h} long" for h in [*H, "n"])).repartition(*H[:3]).groupBy(*H).agg(F.sum("n").alias("n"))
-
-
-def flows(edge_counts: DataFrame, min_count: int) -> DataFrame:
+            for uid, lang, text in zip(b.column(0), b.column(1), b.column(2)):
+                lang, words = lang.as_py(), words_of(text.as_py())
+                n = len(words)
+                h = [None if w == b"." else word_hash(lang, w, salt) for w in words]
+                yield pa.RecordBatch.from_arrays([pa.array([uid.as_py()] * n, pa.int64()), pa.array(range(n), pa.int32()),
+                                                  pa.array(h, pa.int64())], names=["uid", "i", "h"])
+
+    tokens = named.select("uid", "lang", "text").mapInArrow(run, "uid long, i int, h long")
+    found = tokens.join(frequent.select("h", "code"), "h", "left").select("uid", F.struct("i", F.coalesce("code", F.lit(0)).alias("code")).alias("t"))
+    return found.groupBy("uid").agg(F.transform(F.array_sort(F.collect_list("t")), lambda t: t["code"].cast("long")).alias("codes")).select("codes")
+
+
+def flows(edge_rows: DataFrame, min_count: int) -> DataFrame:
     """Counts of all runs of one to four words with ``min_count`` or more: h1 to h4 (0 behind the last), f.
 
     Each length is the flow out of the next longer one.  One job: a level's
@@ -134,13 +230,19 @@ def flows(edge_counts: DataFrame, min_count: int) -> DataFrame:
     only left out afterwards: a condition on keys would move below the shuffle
     and make each level's a different one).
     """
-    level, out = edge_counts.withColumnRenamed("n", "f"), None
-    for length in (4, 3, 2, 1):
+    weight = F.sum("n").alias("f")
+    low = F.col("p").bitwiseAND(F.lit(0xFFFFFFFF))
+    code = [F.shiftright("p", 32), low, F.col("c3").cast("long"), F.col("c4").cast("long")]
+    nodes = edge_rows.groupBy("p", "c3").agg(weight)
+    pairs = nodes.groupBy("p").agg(F.sum("f").alias("f"))
+    single = pairs.groupBy(F.shiftleft(F.shiftright("p", 32), 32).alias("p")).agg(F.sum("f").alias("f"))
+    levels = [edge_rows.groupBy("p", "c3", "c4").agg(weight), nodes, pairs, single]
+    out = None
+    for length, level in zip((4, 3, 2, 1), levels):
         rows = level.where(F.col("f") >= min_count).select(
-            *[F.col(h) if i < length else F.lit(0).cast("long").alias(h) for i, h in enumerate(H)], "f", F.lit(length).alias("length"))
+            *[(c if i < length else F.lit(0).cast("long")).alias(h) for i, (c, h) in enumerate(zip(code, H))], "f",
+            F.lit(length).alias("length"))
         out = rows if out is None else out.unionByName(rows)
-        if length > 1:
-            level = level.groupBy(*H[:length - 1]).agg(F.sum("f").alias("f"))
     return written(out, "phrase-flows").where(F.element_at(F.array(*H), F.col("length")) != 0).drop("length")
 
 
@@ -209,12 +311,12 @@ def _scored(candidates: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def mine(docs: DataFrame, min_count: int = 30, top: int = 2000, inside_percent: int = 80, lang_col: str = "lang",
-         text_col: str = "text") -> DataFrame:
+         text_col: str = "text", max_words: int | None = None) -> DataFrame:
     """The first ``top`` phrases of each language: lang, rank, phrase, a, l, r, n, score."""
-    parts = pieces(docs, lang_col, text_col)
-    words, salt = vocabulary(parts)
-    frequent = words.where(F.col("f") >= min_count)
-    counts = flows(edges(parts, bitmap(frequent), salt), min_count)
+    texts = _texts(docs, lang_col, text_col)
+    words = vocabulary(texts)
+    frequent, salt = numbered(words, min_count)
+    counts = flows(edges(texts, frequent, salt, max_words), min_count)
     by_length = [counts.where(F.col(H[i]) != 0) if i == 3 else counts.where((F.col(H[i]) != 0) & (F.col(H[i + 1]) == 0))
                  for i in range(4)]
     nodes = by_length[2].drop("h4")
@@ -236,8 +338,8 @@ def mine(docs: DataFrame, min_count: int = 30, top: int = 2000, inside_percent:
         *four.columns)
     kept = cut_lineage(_scored(four.unionByName(short), counts))
     # words again, then ranks: first within parts of a language, so that no language has to pass one task
-    named = kept.select(F.struct(*H).alias("id"), "length", "a", "l", "r", "score", F.posexplode(F.array(*H)).alias("i", "h")).where(
-        "h <> 0").join(frequent.select("h", "lang", "word"), "h")
+    named = kept.select(F.struct(*H).alias("id"), "length", "a", "l", "r", "score", F.posexplode(F.array(*H)).alias("i", "code")).where(
+        "code <> 0").join(frequent.select("code", "lang", "word"), "code")
     named = named.groupBy("id", "a", "l", "r", "score").agg(F.first("lang").alias("lang"), F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("i", "word"))), lambda x: x["word"]), " ").alias("phrase"))
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]

@@ -226,17 +226,18 @@ def flows(edge_rows: DataFrame, min_count: int) -> DataFrame:
     """Counts of all runs of one to four words with ``min_count`` or more: h1 to h4 (0 behind the last), f.
 
     Each length is the flow out of the next longer one.  One job: a level's
-    shuffle feeds both its own rows and the level below (which is why pads are
-    only left out afterwards: a condition on keys would move below the shuffle
-    and make each level's a different one).
+    shuffle feeds both its own rows and the level below (pads are left out
+    afterwards, since a condition on keys would move below the shuffle and make
+    each level's a different one).
     """
     weight = F.sum("n").alias("f")
     low = F.col("p").bitwiseAND(F.lit(0xFFFFFFFF))
     code = [F.shiftright("p", 32), low, F.col("c3").cast("long"), F.col("c4").cast("long")]
-    nodes = edge_rows.groupBy("p", "c3").agg(weight)
+    by_edge = edge_rows.groupBy("p", "c3", "c4").agg(weight)
+    nodes = by_edge.groupBy("p", "c3").agg(F.sum("f").alias("f"))
     pairs = nodes.groupBy("p").agg(F.sum("f").alias("f"))
     single = pairs.groupBy(F.shiftleft(F.shiftright("p", 32), 32).alias("p")).agg(F.sum("f").alias("f"))
-    levels = [edge_rows.groupBy("p", "c3", "c4").agg(weight), nodes, pairs, single]
+    levels = [by_edge, nodes, pairs, single]
     out = None
     for length, level in zip((4, 3, 2, 1), levels):
         rows = level.where(F.col("f") >= min_count).select(

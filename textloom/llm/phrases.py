@@ -234,7 +234,8 @@ def flows(edge_rows: DataFrame, min_count: int) -> DataFrame:
     low = F.col("p").bitwiseAND(F.lit(0xFFFFFFFF))
     code = [F.shiftright("p", 32), low, F.col("c3").cast("long"), F.col("c4").cast("long")]
     by_edge = edge_rows.groupBy("p", "c3", "c4").agg(weight)
-    nodes = by_edge.groupBy("p", "c3").agg(F.sum("f").alias("f"))
+    # the bound on c4 holds always; it keeps c4 in the rows read, so both levels read one and the same shuffle
+    nodes = edge_rows.groupBy("p", "c3").agg(weight, F.max("c4").alias("c4")).where("c4 >= 0").drop("c4")
     pairs = nodes.groupBy("p").agg(F.sum("f").alias("f"))
     single = pairs.groupBy(F.shiftleft(F.shiftright("p", 32), 32).alias("p")).agg(F.sum("f").alias("f"))
     levels = [by_edge, nodes, pairs, single]

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import table
 from . import (conversation_repair, exact_dedup, hilbert, html_extract, line_dedup, mixing, packing, phrases, quality_classifier, quality_rules,
-               simhash, token_counts)
+               simhash, suffix_dedup, token_counts)
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -188,3 +188,11 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_phrase_collocations")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.mine(table(spark, sf_dir, "documents"))
+
+
+# ---------------------------------------------------------- 12 suffix-array dedup
+
+
+@query("op12_suffix_dedup")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents")).drop("kept")

@@ -47,6 +47,8 @@ PLAIN_SET = 64
 GIANT = 20_000
 RUN = 256
 CHUNK = 1_000_000
+#: Code points (and 100 a line) of candidate sets that are verified together.
+HELD = 1_000_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -399,6 +401,7 @@ def _links_in_sets(sets: list[tuple[list[str], list[str], bool]]) -> list[tuple[
     """Links (of line keys) in candidate sets, verified together; a forest for each set."""
     todo, where = [], []
     codes: dict[str, np.ndarray] = {}
+    size = 0  # code points in ``codes``
     out: list[tuple[str, str]] = []
 
     def flush():
@@ -426,10 +429,12 @@ def _links_in_sets(sets: list[tuple[list[str], list[str], bool]]) -> list[tuple[
             for x in (i, j):
                 if keys[x] not in codes:
                     codes[keys[x]] = _codes(lines[x])
+                    size += len(lines[x])
             todo.append((codes[keys[i]], codes[keys[j]], k))
             where.append((s, keys[i], keys[j]))
-            if len(todo) >= 20_000:
+            if len(todo) >= 20_000 or size >= 4 * HELD:
                 flush()
+                size = 0
     flush()
     return out
 
@@ -463,7 +468,8 @@ def signatures(lines: DataFrame, kind: str, split: bool) -> DataFrame:
 
         chunk, ids, size = [], [], 0
         for b in batches:
-            for text in b.column(0).to_pylist():
+            for text in b.column(0):
+                text = text.as_py()
                 if text is None:
                     continue
                 for line in text.split("\n") if split else [text]:
@@ -591,12 +597,13 @@ def _verified(members: DataFrame, fine: bool) -> DataFrame:
 
         own, keys, lines, ready, held = None, [], [], [], 0
         for b in batches:
-            for s, k, t in zip(*(c.to_pylist() for c in b.columns)):
+            for s, k, t in zip(*b.columns):  # one line at a time: a batch's list of lines has no bound in bytes
+                s, k, t = s.as_py(), k.as_py(), t.as_py()
                 if s != own:
                     if len(keys) > 1:
                         ready.append((keys, lines, fine))
-                        held += len(keys)
-                    if held >= 4_000:
+                        held += sum(map(len, lines)) + 100 * len(lines)
+                    if held >= HELD:
                         yield from out(ready)
                         ready, held = [], 0
                     own, keys, lines = s, [], []

@@ -44,11 +44,13 @@ class _Worker:
     The tokenizer drops white space and never joins across it, so a text's ids
     are its chunks' ids in a row.  Chunks of plain Latin-1 characters are cut
     into pre-tokens here and only unseen pre-tokens meet the merge model; all
-    others go through the whole tokenizer.  Both tables are bounded and start
-    anew when full.
+    others go through the whole tokenizer.  Each table is bounded by its bytes and
+    starts anew when full; ``forget`` empties both when a partition ends.
     """
 
-    ROOM = 400_000
+    ROOM = 16 << 20
+    #: Bytes that an entry takes beside its key's and value's own, and those of an entry too long to keep.
+    ENTRY, LONG = 250, 4096
 
     def __init__(self, path: str):
         import os
@@ -67,22 +69,33 @@ class _Worker:
         self.byte_map = {b: b for b in printable} | {b: 256 + i for i, b in enumerate(rest)}
         worker = self
 
-        class Pre(dict):
+        class Bounded(dict):
+            size = 0
+
+            def keep(self, key, value):
+                own = len(key) + len(value) + worker.ENTRY
+                if own <= worker.LONG:
+                    if self.size + own > worker.ROOM:
+                        self.clear()
+                        self.size = 0
+                    self.size += own
+                    self[key] = value
+                return value
+
+        class Pre(Bounded):
             def __missing__(self, p):
-                if len(self) >= worker.ROOM:
-                    self.clear()
                 q = p.encode().decode("latin-1").translate(worker.byte_map)
-                v = self[p] = np.array([t.id for t in worker.model.tokenize(q)], "<u4").tobytes()
-                return v
+                return self.keep(p, np.array([t.id for t in worker.model.tokenize(q)], "<u4").tobytes())
 
-        class Chunks(dict):
+        class Chunks(Bounded):
             def __missing__(self, c):
-                if len(self) >= worker.ROOM:
-                    self.clear()
-                v = self[c] = worker.chunk(c.decode("utf-8", "surrogatepass"))
-                return v
+                return self.keep(c, worker.chunk(c.decode("utf-8", "surrogatepass")))
 
-        self.pres, self.chunks = Pre(), Chunks()
+        self.fresh = lambda: (Pre(), Chunks())
+        self.forget()
+
+    def forget(self) -> None:
+        self.pres, self.chunks = self.fresh()
 
     def chunk(self, s: str) -> bytes:
         if self.plain(s) and "<|" not in s:
@@ -94,7 +107,7 @@ class _Worker:
 
 
 def _worker(path: str) -> _Worker:
-    """One tokenizer and table for a Python worker's life, shared by its tasks."""
+    """One tokenizer for a Python worker's life (its size is the vocabulary's); its tables last for a partition."""
     import sys
     import types
 
@@ -104,6 +117,9 @@ def _worker(path: str) -> _Worker:
     return kept.__dict__[path]
 
 
+#: Bytes of token ids that an output batch holds.
+BATCH_BYTES = 8 << 20
+
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -122,19 +138,32 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
 
         w = _worker(tokenizer_path)
         end = np.array([end_id], "<u4").tobytes()
-        for b in batches:
-            cols: list[list] = [[] for _ in names]
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = w.ids(text or "") + end
-                for p, s in enumerate(range(0, len(ids), 4 * limit)):
-                    part = ids[s:s + 4 * limit]
-                    row = (doc, p, s // 4, len(part) // 4, zlib.crc32(part))
-                    for c, v in zip(cols, row):
-                        c.append(v)
-                    if with_ids:
-                        cols[5].append(np.frombuffer(part, "<i4"))
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
+        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
+
+        def table(cols):
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
+
+        try:
+            for b in batches:
+                cols: list[list] = [[] for _ in names]
+                held = 0
+                for doc, text in zip(b.column(0), b.column(1)):  # one text at a time, not a batch's list
+                    doc, ids = doc.as_py(), w.ids(text.as_py() or "") + end
+                    for p, s in enumerate(range(0, len(ids), 4 * limit)):
+                        part = ids[s:s + 4 * limit]
+                        row = (doc, p, s // 4, len(part) // 4, zlib.crc32(part))
+                        for c, v in zip(cols, row):
+                            c.append(v)
+                        if with_ids:
+                            cols[5].append(np.frombuffer(part, "<i4"))
+                            held += len(part)
+                    if held >= BATCH_BYTES:
+                        yield table(cols)
+                        cols, held = [[] for _ in names], 0
+                yield table(cols)
+        finally:
+            w.forget()
+            pa.default_memory_pool().release_unused()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 

@@ -30,6 +30,8 @@ from .common import connected_components
 
 BLOCKS = ((0, 21), (21, 42), (42, 64))
 SMALL_RUN = 48
+#: Fingerprints that a task turns into variants (about 131 rows each).
+FINGERPRINTS_A_TASK = 20_000
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -58,8 +60,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches):
         for b in batches:
-            fp = np.fromiter((fingerprint(t, shingle) for t in b.column(1).to_pylist()), dtype=np.uint64,
-                             count=b.num_rows)
+            # one text at a time: a batch's list of texts has no bound in bytes
+            fp = np.fromiter((fingerprint(t.as_py(), shingle) for t in b.column(1)), dtype=np.uint64, count=b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), b.column(2)],
                                              names=["doc_id", "fp", "digest"])
 
@@ -174,7 +176,10 @@ def _links_of_run(fps: np.ndarray, block: int, key: np.uint64, radius: int) -> l
 
 def links(distinct_fps: DataFrame, radius: int = 3) -> DataFrame:
     """Edges (a, b) of fingerprints that connect all pairs within ``radius`` bits."""
-    parts = variants(distinct_fps, radius).repartition(F.col("block"), F.col("key")).sortWithinPartitions("block", "key")
+    # adaptive execution sees fingerprints of 8 bytes and would leave them in few tasks, each to make 131 rows of one
+    ways = max(1, -(-distinct_fps.count() // FINGERPRINTS_A_TASK))
+    dealt = distinct_fps.select("fp").repartition(ways, "fp")
+    parts = variants(dealt, radius).repartition(F.col("block"), F.col("key")).sortWithinPartitions("block", "key")
 
     def run(batches):
         hold_k = hold_b = hold_f = None  # the last run goes on in the next batch
@@ -220,10 +225,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     fewer reach.  Null and blank texts have fingerprint zero and link like any
     other; equal texts and repeated rows share a fingerprint; a null doc_id
     gets its component's smallest id, or null if that has none.  An empty table
-    gives no rows.
+    gives no rows.  Texts of any length are read whole; only the id and text
+    columns are read, so other columns can't clash.
     """
     own = cut_lineage(fingerprints(docs, id_col, text_col, shingle))
-    by_fp = own.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    by_fp = cut_lineage(own.groupBy("fp").agg(F.min("doc_id").alias("low")))
     roots = connected_components(links(by_fp, radius))
     by_fp = by_fp.join(roots, F.col("fp") == F.col("node"), "left").select(
         "fp", "low", F.coalesce("root", "fp").alias("root"))

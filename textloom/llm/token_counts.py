@@ -14,6 +14,8 @@ bytes, as that vocabulary's byte fallback does.  Ties go to fewer tokens.
 
 A pre-token is a run of U+2581 (for spaces) and what follows up to the next
 one; a text starts with one U+2581.  Null and empty texts have no tokens.
+Repeated rows are counted each, an empty table gives no rows, and only the id
+and text columns are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -52,11 +54,14 @@ class PrefixTrie:
     node's score is worked out once for all pre-tokens below it, however many
     there are.  A node is (score, tokens, open): ``open`` are the pieces being
     matched when it is reached, as (score and tokens at the piece's start,
-    place in the piece trie).  ``room`` bounds the stored counts; a full table
-    starts anew.  ``nodes`` counts the nodes worked out.
+    place in the piece trie).  ``room`` bounds the bytes of the stored counts; a
+    full table starts anew.  ``nodes`` counts the nodes worked out.
     """
 
-    def __init__(self, scores: dict[str, float], byte: float, room: int = 1_000_000):
+    #: Bytes that a stored count takes beside its pre-token's own.
+    ENTRY = 200
+
+    def __init__(self, scores: dict[str, float], byte: float, room: int = 32 << 20):
         self.byte, self.room = byte, room
         self.pieces: dict = {}
         for piece, s in scores.items():
@@ -64,9 +69,14 @@ class PrefixTrie:
             for ch in piece:
                 at = at.setdefault(ch, {})
             at[""] = s  # no character is empty, so this key marks an end
-        self.counts: dict[str, int] = {}
+        self.forget()
         self.nodes = 0
 
+    def forget(self) -> None:
+        """Drop the stored counts; the pieces stay."""
+        self.counts: dict[str, int] = {}
+        self.held = 0
+
     def _below(self, node: tuple, ch: str) -> tuple:
         """The node under ``node``: its open pieces go on, new ones start at ``node``."""
         best, tokens, open_ = -math.inf, 0, []
@@ -113,9 +123,12 @@ class PrefixTrie:
     def totals(self, documents: list[list[str]]) -> list[int]:
         """Tokens of each document's pre-tokens."""
         new = {w for pres in documents for w in pres if w not in self.counts}
-        if len(self.counts) + len(new) > self.room:
-            self.counts.clear()
+        size = sum(map(len, new)) + self.ENTRY * len(new)
+        if self.held + size > self.room and self.counts:
+            self.forget()
             new = {w for pres in documents for w in pres}
+            size = sum(map(len, new)) + self.ENTRY * len(new)
+        self.held += size
         self.insert(new)
         get = self.counts.__getitem__
         return [sum(map(get, pres)) for pres in documents]
@@ -129,7 +142,7 @@ def pre_tokens(text: str | None) -> list[str]:
 
 
 def _worker(path: str) -> PrefixTrie:
-    """One trie for a Python worker's life."""
+    """One trie of pieces for a Python worker's life (its size is the vocabulary's); counts last for a partition."""
     import sys
     import types
 
@@ -157,14 +170,17 @@ def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
                 part.clear()
                 held = 0
 
-            for text in b.column(1).to_pylist():
+            for text in b.column(1):
+                text = text.as_py()
                 part.append(pre_tokens(text))
-                held += len(part[-1])
-                if held >= 200_000:
+                held += len(text or "")
+                if held >= 1 << 20:  # code points, so long pre-tokens count as what they hold
                     flush()
             flush()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pres, pa.int64()), pa.array(tokens, pa.int64())],
                                              names=["doc_id", "n_pre_tokens", "n_tokens"])
+        trie.forget()
+        pa.default_memory_pool().release_unused()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
         run, "doc_id long, n_pre_tokens long, n_tokens long")

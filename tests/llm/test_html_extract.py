@@ -113,3 +113,33 @@ def test_awkward_rows_and_empty_table(spark, model):
     assert len(got) == 4 and [r.text for r in got[:3]] == ["", "", ""]
     assert got[3].text in ("", ("word " * 50_000).strip())
     assert H.extract(d.limit(0), model).count() == 0
+
+
+@pytest.mark.parametrize("page,want", [
+    ('<div><p>one <svg class="i"/> two</p><p>three</p></div>', ["one two", "three"]),
+    ("<p>one <svg><g><path d='M0'/></g><title>x</title></svg>two</p><p>three</p>", ["one two", "three"]),
+    ("<p>We know <math><mi>E</mi>=<mi>m</mi></math> holds.</p>", ["We know E=m holds."]),
+    ("<p>pick <select><option>a<option>b</select> one</p>", ["pick one"]),
+    ("<div><button>Menu<p>one</p><p>two</p></div>", ["one", "two"]),
+    ("<div><button><div>Menu</div></button><p>one</p></div>", ["one"]),
+    ("<div><p title='don't'>one</p><p>two</p><p>it's three</p></div>", ["one", "two", "it's three"]),
+    ('<p title="a"class="b">one</p><p x=">">two</p>', ["one", "two"]),
+    ("<p>1 < 2 and 3 <4 <!-- x > y --> b <!--> c</p>", ["1 < 2 and 3 <4 b c"]),
+    ("<p>one</p><p title='", ["one"]), ("<p>a</ p>b<?php x ?>c", ["abc"]),
+])
+def test_untidy_markup(page, want):
+    assert [t for _, t in H.parse(page)[1]] == want
+
+
+@pytest.mark.parametrize("piece", ["<a ", '<p title="', "<", "<p title='x", "<button ", "<button>", "<!-- ", "</", "<svg>", "<a b=' ", "<! "])
+def test_hostile_markup_is_scanned_in_linear_time(piece):
+    import time
+
+    start = time.time()
+    for _ in Scanner_of(piece * (1_000_000 // len(piece))):
+        pass
+    assert time.time() - start < 20  # a quadratic scan of 1 MB takes minutes
+
+
+def Scanner_of(page):
+    return H.Scanner(page).tokens()

@@ -15,8 +15,12 @@ and ships to the tasks as a few hundred numbers.
 Defined cases: null and empty html, and pages without content, give the empty
 text; unclosed and stray tags are repaired (a block element ends a paragraph,
 an end tag closes up to its start tag or is ignored, a head ends at the first
-tag or word that can't stand in it); repeated rows give equal
-results; nothing is cut off or dropped.
+tag or word that can't stand in it; a control that nothing closes ends at the
+next block); a page that ends within a tag ends before it; pages of any length
+are scanned in a time that grows with their length; formulas are text, drawings
+and form controls are hidden within their line; an input column ``text`` is
+replaced by the result; repeated rows give equal results, an empty table no
+rows; nothing is cut off or dropped.
 """
 
 from __future__ import annotations
@@ -33,11 +37,14 @@ from pyspark.sql import functions as F
 
 # Element names of HTML by their role.
 INLINE = frozenset("""a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label map mark
-meter output picture progress q rp rt ruby s samp small source span strike strong sub sup time tt u var wbr""".split())
+meter output picture progress q rp rt ruby s samp small source span strike strong sub sup time tt u var wbr
+math semantics mrow mi mn mo ms mtext mspace mfrac msqrt mroot msub msup msubsup munder mover munderover mmultiscripts
+mtable mtr mtd mstyle mpadded mphantom merror button! select! option! datalist!""".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("""script style noscript template head title svg math iframe object canvas audio video textarea
-select option button""".split())
-RAW = "script|style|textarea|title|noscript|iframe|template"
+UNSEEN = frozenset("head object canvas audio video".split())
+RAW = frozenset("script style textarea title noscript iframe template annotation annotation-xml".split())
+#: Hidden within a line of text, up to their end tag: they break no paragraph.
+SKIPPED = frozenset("svg button select option datalist".split())
 ENDS_P = frozenset("""address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer
 form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul""".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
@@ -46,13 +53,11 @@ SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table
 
 IN_HEAD = frozenset("html head title meta link base basefont bgsound style script noscript noframes template".split())
 
-TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attr>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
-    re.S | re.I)
-NAMES = re.compile(r"""\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-MAY_HIDE = re.compile("hidden|style", re.I)
-ATTRIBUTE = re.compile(r"""([^\s/>="'][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
+NAMED = frozenset("class id role itemprop aria-label".split())
+TAG_NAME = re.compile(r"[^\s/>]*")
+ATTRIBUTE_NAME = re.compile(r"[\s/]*(=?[^\s/>=]*)")
+EQUALS = re.compile(r"\s*=\s*")
+UNQUOTED = re.compile(r"[^\s>]*")
 DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*([a-z-]+)[^;]*", re.I)
 CSS_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
 WORD = re.compile(r"[a-z]+")
@@ -81,17 +86,129 @@ class Node:
         self.text = self.linked = self.blocks = self.children = 0
 
 
-def hides(attr: str) -> bool:
+class Scanner:
+    """Tags and text of a page, front to back: nothing is looked at more than a few times, however untidy it is."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.ends: dict[str, int] = {}  # place of the next end tag by name, once looked for; -1: there is none
+
+    def find(self, what: str, at: int) -> int:
+        """As str.find, but an answer holds until it is passed, and "none" for ever."""
+        known = self.ends.get(what, at - 1)
+        if known != -1 and known < at or what not in self.ends:
+            known = self.ends[what] = self.page.find(what, at)
+        return known
+
+    def next_end(self, tag: str, at: int) -> int:
+        """Place of the next ``</tag`` in any case, or -1."""
+        key = "</" + tag
+        known = self.ends.get(key)
+        if known is None or known != -1 and known < at:
+            m = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)", re.I).search(self.page, at)
+            known = self.ends[key] = m.start() if m else -1
+        return known
+
+    def next_start(self, tag: str, at: int) -> int:
+        key = "<" + tag
+        known = self.ends.get(key)
+        if known is None or known != -1 and known < at:
+            m = re.compile(rf"<{re.escape(tag)}(?=[\s/>])", re.I).search(self.page, at)
+            known = self.ends[key] = m.start() if m else -1
+        return known
+
+    def attributes(self, at: int) -> tuple[list[tuple[str, str]], int, bool]:
+        """Attributes from ``at`` on, the place behind the tag's ``>`` (or of the page's end) and whether ``/>`` ends it.
+
+        As in HTML a quoted value ends at its quote and the next character starts
+        an attribute.  A quote that nothing closes belongs to an unquoted value.
+        """
+        page, out = self.page, []
+        while True:
+            m = ATTRIBUTE_NAME.match(page, at)
+            name, at = m[1], m.end()
+            if not name:
+                if at >= len(page):
+                    return out, at, False
+                return out, at + 1, page[at - 1] == "/"  # page[at] is ">"
+            value = ""
+            eq = EQUALS.match(page, at)
+            if eq:
+                at = eq.end()
+                quote = page[at:at + 1]
+                end = self.find(quote, at + 1) if quote in ("'", '"') else -1
+                if end >= 0:
+                    value, at = page[at + 1:end], end + 1
+                else:
+                    m = UNQUOTED.match(page, at)
+                    value, at = m[0], m.end()
+            out.append((name.lower(), value))
+
+    def tokens(self) -> Iterator[tuple[str, str, list[tuple[str, str]], bool]]:
+        """(kind, name or text, attributes, whether ``/>`` ends it); kinds are text, start, end and hidden."""
+        page, at, begin = self.page, 0, 0
+        while (at := page.find("<", at)) >= 0:
+            c = page[at + 1:at + 2]
+            end_tag = c == "/"
+            letter = page[at + 2:at + 3] if end_tag else c
+            if not (letter.isascii() and letter.isalpha()) and c not in ("!", "?") and not (end_tag and letter):
+                at += 1  # a bare <
+                continue
+            if at > begin:
+                yield "text", page[begin:at], [], False
+            if letter.isascii() and letter.isalpha():
+                m = TAG_NAME.match(page, at + 1 + end_tag)
+                tag = m[0].lower()
+                attrs, at, closed = self.attributes(m.end())
+                if at >= len(page) and page[-1:] != ">":
+                    return  # the page ends within a tag
+                begin = at
+                if end_tag:
+                    yield "end", tag, attrs, closed
+                    continue
+                if tag in RAW:
+                    end = self.next_end(tag, at)
+                    at = begin = len(page) if end < 0 else self.attributes(end + 2 + len(tag))[1]
+                    yield "hidden", tag, attrs, closed
+                    continue
+                if tag in SKIPPED:
+                    if tag == "svg" and closed:
+                        continue
+                    end = self.next_end(tag, at)
+                    again = self.next_start(tag, at) if tag != "svg" else -1
+                    if end >= 0 and (again < 0 or end < again):
+                        at = begin = self.attributes(end + 2 + len(tag))[1]
+                    elif tag != "svg":  # nothing ends it: it hides what comes up to the next block
+                        yield "start", tag + "!", attrs, closed
+                    continue
+                yield "start", tag, attrs, closed
+                continue
+            if page.startswith("<!--", at):
+                short = page.startswith((">", "->"), at + 4)
+                end = at + 3 if short else self.find("-->", at + 4)
+                at = page.find(">", end) + 1 if end >= 0 else len(page)
+            elif page.startswith("<![CDATA[", at):
+                end = self.find("]]>", at)
+                at = end + 3 if end >= 0 else len(page)
+            else:
+                end = self.find(">", at)
+                at = end + 1 if end >= 0 else len(page)
+            begin = at
+        if begin < len(page):
+            yield "text", page[begin:], [], False
+
+
+def hides(attrs: list[tuple[str, str]]) -> bool:
     """Whether a start tag's attributes hide the element: hidden, aria-hidden=true or a style of display: none."""
-    if not MAY_HIDE.search(attr):
-        return False
     values: dict[str, str] = {}
-    for name, *value in ATTRIBUTE.findall(attr):
-        values.setdefault(name.lower(), "".join(value))  # of a repeated attribute the first counts
+    for name, value in attrs:
+        values.setdefault(name, value)  # of a repeated attribute the first counts
     if "hidden" in values and values["hidden"].strip().lower() != "until-found":
         return True
     if values.get("aria-hidden", "").strip().lower() == "true":
         return True
+    if "style" not in values:
+        return False
     shown = list(DISPLAY.finditer(CSS_COMMENT.sub(" ", html_lib.unescape(values.get("style", "")))))
     shown = [m for m in shown if "!important" in m.group().replace(" ", "").lower()] or shown
     return bool(shown) and shown[-1][1].lower() == "none"
@@ -146,16 +263,13 @@ def parse(page: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
             if links:
                 linked += len(s)
 
-    at = 0
-    for m in TOKEN.finditer(page):
-        if m.start() > at:
-            words(page[at:m.start()])
-        at = m.end()
-        tag = m["tag"]
-        if tag is None:
+    for kind, tag, attrs, closed in Scanner(page).tokens():
+        if kind == "text":
+            words(tag)
             continue
-        tag = tag.lower()
-        if m["end"]:
+        if kind == "hidden":
+            continue
+        if kind == "end":
             for d in range(len(stack) - 1, 0, -1):
                 if stack[d][0] == tag:
                     pop_to(d)
@@ -165,7 +279,6 @@ def parse(page: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
             if tag == "br":
                 words(" ")
             continue
-        attr = m["attr"] or ""
         if tag not in IN_HEAD:
             end_head()
         if tag in INLINE:
@@ -174,14 +287,21 @@ def parse(page: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
                 continue
             if tag == "a":
                 links += 1
+            if tag == "math" and closed:
+                continue
             stack.append((tag, stack[-1][1]))
-            if hides(attr):
+            if tag.endswith("!") or hides(attrs):
                 hidden.append(len(stack) - 1)
             continue
         if tag in ("html", "body"):
             continue
         if tag == "head" and (len(stack) > 1 or len(nodes) > 1 or blocks or "".join(part).strip()):
             continue  # a second head, or one in the body, is ignored
+        for d in range(len(stack) - 1, 0, -1):  # a block ends a control that nothing closed
+            if stack[d][0].endswith("!"):
+                pop_to(d)
+            elif stack[d][0] not in INLINE:
+                break
         if tag in ENDS_P:
             for d in range(len(stack) - 1, 0, -1):
                 if stack[d][0] == "p":
@@ -203,18 +323,17 @@ def parse(page: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
             stack.append((tag, stack[-1][1]))
             hidden.append(len(stack) - 1)
             continue
-        named = NAMES.findall(attr) if "=" in attr else ()
-        found = tuple(WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", " ".join("".join(x) for x in named)).lower()))
+        named = " ".join(value for name, value in attrs if name in NAMED)
+        found = tuple(WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", named).lower()))
         nodes[stack[-1][1]].children += 1
         nodes.append(Node(tag, found, stack[-1][1]))
         stack.append((tag, len(nodes) - 1))
-        if hides(attr):
+        if hides(attrs):
             hidden.append(len(stack) - 1)
-        if not m.group().endswith("/>"):
+        if not closed:
             continue
         if tag not in ENDS_P:
             pop_to(len(stack) - 1)
-    words(page[at:])
     pop_to(1)
     flush()
     return nodes, blocks

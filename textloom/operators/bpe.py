@@ -12,7 +12,6 @@ from their lineage with reliable checkpoints.
 
 from __future__ import annotations
 
-import heapq
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,6 +26,7 @@ from ..functions.text import (BYTE_ALPHABET, BYTE_DST, byte_fallback, byte_level
                               nfkc, pretokens, sp_normalize, sp_pretokens)
 from ..functions.tokens import BOS_ID, EOS_ID, SPECIAL_TOKENS, UNK_ID
 from ..session import cut_lineage
+from . import speculate
 
 # Speed presets (min_frequency floor, alphabet limit, model).
 PRESETS = {
@@ -130,142 +130,22 @@ def sp_words_table(corpus: DataFrame, text: str = "text", coverage: float = 0.99
 
 
 # ---------------------------------------------------------------------------
-# One training round: a single pass over the words, then a choice on the driver
+# Training: speculated sequences of merges (speculate.py)
 # ---------------------------------------------------------------------------
 
-PAIR, LEFT, RIGHT = 0, 1, 2
 WORDS_PER_TASK = 10_000
 
 
-def _count_round(words: DataFrame, merges: list, watched: list) -> DataFrame:
-    """``(kind, l, r, x, cnt)`` after applying ``merges`` to the words.
-
-    PAIR rows count adjacent pairs; for each ``watched`` pair, LEFT and RIGHT
-    rows count the symbols before and after it.  Tasks sum their own words
-    first, so the shuffle carries sums.
-    """
-    ranks, watch = {m: i for i, m in enumerate(merges)}, frozenset(watched)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict = defaultdict(int)
-        plain: dict = defaultdict(int)
-
-        def rows():
-            sums.update({(PAIR, l, r, ""): c for (l, r), c in plain.items()})
-            keys = list(sums)
-            cols = [pa.array([k[0] for k in keys], pa.int32()), *(pa.array([k[i] for k in keys], pa.string()) for i in (1, 2, 3)),
-                    pa.array(list(sums.values()), pa.int64())]
-            sums.clear()
-            plain.clear()
-            return pa.RecordBatch.from_arrays(cols, names=["kind", "l", "r", "x", "cnt"])
-
-        for b in batches:
-            for sym, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                pairs = list(zip(sym, sym[1:]))
-                if ranks and not ranks.keys().isdisjoint(pairs):
-                    sym = _bpe_word(sym, ranks)
-                    pairs = list(zip(sym, sym[1:]))
-                for pair in pairs:
-                    plain[pair] += c
-                if not watch.isdisjoint(pairs):
-                    for i, pair in enumerate(pairs):
-                        if pair in watch:
-                            if i:
-                                sums[(LEFT, *pair, sym[i - 1])] += c
-                            if i + 2 < len(sym):
-                                sums[(RIGHT, *pair, sym[i + 2])] += c
-            if len(sums) + len(plain) > 1_000_000:
-                yield rows()
-        if sums or plain:
-            yield rows()
-
-    return (words.select("symbols", "cnt").mapInArrow(run, "kind int, l string, r string, x string, cnt long")
-            .groupBy("kind", "l", "r", "x").agg(F.sum("cnt").alias("cnt")))
-
-
-def _choose_batch(top: list, around: dict, known_from: int, tokens: set, max_new: int, full: bool) -> tuple[list, dict]:
-    """The next merges of one-at-a-time BPE that this round's counts settle.
-
-    ``top`` holds ``((l, r), count)`` in order (count desc, l, r); ``around`` the
-    counts before and after each watched pair, complete from ``known_from`` up.
-    Walking down, a pair is taken while its count is exact and above all that
-    merges taken before it may have made:
-
-    * a merge (a, b) changes only pairs (x, a) and (b, y): by its counts at x
-      and y, exactly if it is itself unchanged so far, else by an unknown part;
-    * the pairs it makes have its counts at x and y at most.
-
-    Returns the merges and, for the pairs that may lead next, bounds of their counts.
-    """
-    chosen: list = []
-    by_a: dict = {}   # accepted merges by their left and their right symbol
-    by_b: dict = {}
-    block = 0         # the largest count that an undecided pair may have
-    bounds: dict = {}
-    floor = top[-1][1] if full else 0
-    waiting = [(-c, p, True) for p, c in top]
-    heapq.heapify(waiting)
-    checked: set = set()
-    while waiting and len(chosen) < max_new:
-        c, (l, r), exact = heapq.heappop(waiting)
-        c = -c
-        pair = (l, r)
-        if pair not in checked:
-            checked.add(pair)
-            hits = [(m, LEFT, l) for m in by_a.get(r, ())] + [(m, RIGHT, r) for m in by_b.get(l, ())]
-            if hits:
-                (m, side, x) = hits[0]
-                ctx = around.get(m[0])
-                sure = len(hits) == 1 and m[1] and ctx is not None and l != r
-                lost = ctx[side].get(x) if sure else None
-                left = c - lost if lost is not None else c
-                bounds[pair] = left
-                if lost is not None and left:
-                    heapq.heappush(waiting, (-left, pair, True))
-                elif lost is None:
-                    block = max(block, c)
-                continue
-        elif pair in bounds:  # touched: exact then; anything accepted since may have touched it again
-            hits = len(by_a.get(r, ())) + len(by_b.get(l, ()))
-            if hits > 1:
-                block = max(block, c)
-                continue
-        if chosen and (c <= block or c <= floor or c < known_from):
-            bounds[pair] = c
-            break
-        bounds.pop(pair, None)
-        t = l + r
-        merge = (pair, pair not in checked or not (by_a.get(r) or by_b.get(l)))
-        chosen.append((l, r, int(c)))
-        by_a.setdefault(l, []).append(merge)
-        by_b.setdefault(r, []).append(merge)
-        ctx = around.get(pair)
-        made = max([0, *ctx[LEFT].values(), *ctx[RIGHT].values()]) if ctx is not None else c
-        block = max(block, min(made, c))
-        if ctx is not None:
-            for x, n in ctx[LEFT].items():
-                bounds[(x, t)] = n
-            for y, n in ctx[RIGHT].items():
-                bounds[(t, y)] = n
-        if l == r or t in tokens:
-            break
-        tokens.add(t)
-    taken = {(l, r) for l, r, _ in chosen}
-    for p, c in top:
-        if p not in taken:
-            bounds.setdefault(p, c)
-    return chosen, bounds
-
-
 def train_bpe(corpus: DataFrame, vocab_size: int = 512, min_frequency: int = 2, text: str = "text",
               special_tokens: list[str] = SPECIAL_TOKENS, limit_alphabet: int | None = None,
-              normalize: bool = True, batch: bool = True, candidates: int = 2048, watch: int = 256,
-              checkpoint_every: int = 8, words: DataFrame | None = None, name: str = "bpe",
+              normalize: bool = True, batch: bool = True, followed: int = speculate.FOLLOWED,
+              proposed: int = speculate.PROPOSED, tried: int = speculate.TRIED, checkpoint_every: int = 512,
+              words: DataFrame | None = None, name: str = "bpe",
               alphabet: list[str] | None = None, preset: str | None = None) -> BpeModel:
     """Train a byte-level BPE vocabulary of at most ``vocab_size`` entries.
 
-    A round is one pass over the distinct words.  ``batch=False`` takes one merge a round (the
-    reference for tests); ``batch=True`` gives the same merges in fewer rounds.
+    A round is one pass over the distinct words.  ``batch=False`` counts anew for every merge (the
+    reference for tests); ``batch=True`` gives the same merges by sequences that tasks replay.
     """
     spark = corpus.sparkSession
     if preset is not None:                         # T06
@@ -281,32 +161,40 @@ def train_bpe(corpus: DataFrame, vocab_size: int = 512, min_frequency: int = 2,
     n_vocab = len(special_tokens) + len(alphabet)
     merges: list[tuple[str, str, int]] = []
     fresh: list[tuple[str, str]] = []  # merges that the checkpointed words don't have yet
-    watched: list[tuple[str, str]] = []
     tokens = set(special_tokens) | set(alphabet)
-    known_from = rounds = 0
+    counts: dict[tuple[str, str], int] = {}
+    trial, floor, rounds, anew = None, 0, 0, True
     while n_vocab < vocab_size:
-        sums = _count_round(wt, fresh, watched).persist()
-        top = [((r["l"], r["r"]), r["cnt"]) for r in
-               sums.filter((F.col("kind") == PAIR) & (F.col("cnt") >= min_frequency))
-               .orderBy(F.col("cnt").desc(), "l", "r").limit(candidates if batch else 1).collect()]
-        around: dict = {p: ({}, {}, {}) for p in watched}
-        if watched:
-            for r in sums.filter((F.col("kind") != PAIR) & (F.col("cnt") >= known_from)).collect():
-                around[(r["l"], r["r"])][r["kind"]][r["x"]] = r["cnt"]
-        sums.unpersist()
-        if not top:
+        rounds += 1
+        just_counted = anew
+        if anew:
+            top = (speculate.pair_counts(wt, fresh).where(F.col("cnt") >= min_frequency)
+                   .orderBy(F.col("cnt").desc(), "l", "r").limit(followed if batch else 1).collect())
+            counts = {(r["l"], r["r"]): r["cnt"] for r in top}
+            floor = top[-1]["cnt"] if len(top) == followed else 0
+        if not counts:
             break
-        chosen, bounds = _choose_batch(top, around, known_from, tokens, (vocab_size - n_vocab) if batch else 1,
-                                       len(top) >= candidates)
+        if not batch:
+            (pair, c), = counts.items()
+            chosen = [(*pair, c)]
+        else:
+            if trial is None:
+                trial = speculate.Trial([(r["symbols"], r["cnt"]) for r in wt.orderBy(F.col("cnt").desc(), "word").limit(tried)
+                                         .select("symbols", "cnt").collect()])
+            sequence = trial.propose(counts, tokens, min(proposed, vocab_size - n_vocab), floor)
+            deltas: dict[int, list] = defaultdict(list)
+            for r in speculate.changes(wt, fresh, sequence, set(counts), max(floor, min_frequency - 1)).collect():
+                for d in r["deltas"]:
+                    deltas[d["step"]].append(((r["l"], r["r"]), d["delta"]))
+            chosen, anew = speculate.accept(counts, sequence, deltas, tokens, floor, min_frequency, just_counted)
+            if not chosen and not anew:
+                break  # the leading pair is under min_frequency, and so are all others
+            for l, r, _ in chosen:
+                trial.merge((l, r))
         merges.extend(chosen)
         fresh.extend((l, r) for l, r, _ in chosen)
         n_vocab += len(chosen)
-        rounds += 1
-        if batch:
-            lead = sorted(bounds.items(), key=lambda x: (-x[1], x[0]))[:watch]
-            watched = [p for p, c in lead if c > 0 and p[0] != p[1]]
-            known_from = max(1, min((c for _, c in lead if c > 0), default=1))
-        if rounds % checkpoint_every == 0:
+        if len(fresh) >= checkpoint_every:
             wt, fresh = cut_lineage(_merged(wt, fresh)), []
     model = _model(spark, special_tokens, alphabet, merges, name)
     model.rounds = rounds
@@ -323,11 +211,16 @@ def dealt_out(words: DataFrame) -> DataFrame:
 
 def _merged(words: DataFrame, merges: list) -> DataFrame:
     """The words with ``merges`` applied, in their order."""
-    ranks = {m: i for i, m in enumerate(merges)}
+    steps = {m: i for i, m in enumerate(merges)}
+
+    def replayed(symbols: list[str]) -> list[str]:
+        for _, _, symbols in speculate.in_order(symbols, steps):
+            pass
+        return symbols
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sym = [_bpe_word(s, ranks) for s in b.column(3).to_pylist()]
+            sym = [replayed(s) for s in b.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(sym, pa.list_(pa.string()))], names=b.schema.names)
 
     return words.select("word", "cnt", "bl", "symbols").mapInArrow(

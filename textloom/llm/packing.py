@@ -44,13 +44,14 @@ class _Worker:
     The tokenizer drops white space and never joins across it, so a text's ids
     are its chunks' ids in a row.  Chunks of plain Latin-1 characters are cut
     into pre-tokens here and only unseen pre-tokens meet the merge model; all
-    others go through the whole tokenizer.  Each table is bounded by its bytes and
-    starts anew when full; ``forget`` empties both when a partition ends.
+    others go through the whole tokenizer.  Each table has two generations bounded
+    by their bytes: a full one becomes the old one, and what is found there comes
+    back, so frequent entries stay.  ``forget`` empties all when a partition ends.
     """
 
-    ROOM = 16 << 20
+    ROOM = 32 << 20
     #: Bytes that an entry takes beside its key's and value's own, and those of an entry too long to keep.
-    ENTRY, LONG = 250, 4096
+    ENTRY, LONG = 180, 4096
 
     def __init__(self, path: str):
         import os
@@ -70,12 +71,17 @@ class _Worker:
         worker = self
 
         class Bounded(dict):
-            size = 0
+            def __init__(self):
+                self.size, self.old = 0, {}
 
-            def keep(self, key, value):
+            def __missing__(self, key):
+                value = self.old.get(key)
+                if value is None:
+                    value = self.made(key)
                 own = len(key) + len(value) + worker.ENTRY
                 if own <= worker.LONG:
                     if self.size + own > worker.ROOM:
+                        self.old = dict(self)
                         self.clear()
                         self.size = 0
                     self.size += own
@@ -83,13 +89,13 @@ class _Worker:
                 return value
 
         class Pre(Bounded):
-            def __missing__(self, p):
+            def made(self, p):
                 q = p.encode().decode("latin-1").translate(worker.byte_map)
-                return self.keep(p, np.array([t.id for t in worker.model.tokenize(q)], "<u4").tobytes())
+                return np.array([t.id for t in worker.model.tokenize(q)], "<u4").tobytes()
 
         class Chunks(Bounded):
-            def __missing__(self, c):
-                return self.keep(c, worker.chunk(c.decode("utf-8", "surrogatepass")))
+            def made(self, c):
+                return worker.chunk(c.decode("utf-8", "surrogatepass"))
 
         self.fresh = lambda: (Pre(), Chunks())
         self.forget()

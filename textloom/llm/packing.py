@@ -46,7 +46,8 @@ class _Worker:
     into pre-tokens here and only unseen pre-tokens meet the merge model; all
     others go through the whole tokenizer.  Each table has two generations bounded
     by their bytes: a full one becomes the old one, and what is found there comes
-    back, so frequent entries stay.  ``forget`` empties all when a partition ends.
+    back, so frequent entries stay.  ``rest`` drops the old ones when a partition
+    ends; a worker keeps ``2 * ROOM`` bytes at most for its next one.
     """
 
     ROOM = 32 << 20
@@ -97,11 +98,10 @@ class _Worker:
             def made(self, c):
                 return worker.chunk(c.decode("utf-8", "surrogatepass"))
 
-        self.fresh = lambda: (Pre(), Chunks())
-        self.forget()
+        self.pres, self.chunks = Pre(), Chunks()
 
-    def forget(self) -> None:
-        self.pres, self.chunks = self.fresh()
+    def rest(self) -> None:
+        self.pres.old, self.chunks.old = {}, {}
 
     def chunk(self, s: str) -> bytes:
         if self.plain(s) and "<|" not in s:
@@ -113,7 +113,7 @@ class _Worker:
 
 
 def _worker(path: str) -> _Worker:
-    """One tokenizer for a Python worker's life (its size is the vocabulary's); its tables last for a partition."""
+    """One tokenizer for a Python worker's life (its size is the vocabulary's); its tables are bounded by their bytes."""
     import sys
     import types
 
@@ -168,7 +168,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
                         cols, held = [[] for _ in names], 0
                 yield table(cols)
         finally:
-            w.forget()
+            w.rest()
             pa.default_memory_pool().release_unused()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)

@@ -50,7 +50,7 @@ class _Worker:
     ends; a worker keeps ``2 * ROOM`` bytes at most for its next one.
     """
 
-    ROOM = 32 << 20
+    ROOM = 40 << 20
     #: Bytes that an entry takes beside its key's and value's own, and those of an entry too long to keep.
     ENTRY, LONG = 180, 4096
 

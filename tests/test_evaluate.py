@@ -4,6 +4,8 @@ import math
 
 from pyspark.sql import functions as F
 
+import pytest
+
 from textloom.operators import evaluate as ev
 
 
@@ -70,6 +72,17 @@ def test_perplexity_modes_match_python(spark):
         want = math.exp(sum(nll(a, b) for a, b in zip(s, s[1:])) / (len(s) - 1))
         assert abs(per[i] - want) < 1e-5
 
+    # the model as tables: same windows, whole and with sequences cut into slices
+    model = ev.bigram_model(ev.ngram_counts(tr), V, k)
+    for mx, stride, mode, block in ((8, 3, "reference", 7), (5, 1, "reference", 3), (8, 3, "standard", 4),
+                                    (100, 50, "reference", 1 << 20), (1 << 62, 1 << 62, "reference", 5)):
+        want = sorted(map(tuple, ev.score_windows(ev_df, scorer, ["doc_id"], mx, stride, mode).collect()))
+        got = sorted(map(tuple, ev._score_by_shuffle(ev_df, model, ["doc_id"], mx, stride, mode, "input_ids", block).collect()))
+        assert [g[:4] + g[5:] for g in got] == [w[:4] + w[5:] for w in want]
+        assert all(abs(g[4] - w[4]) < 1e-9 for g, w in zip(got, want))
+    with pytest.raises(ValueError):
+        ev.bigram_scorer(ev.ngram_counts(tr), 64_000)
+
 
 def test_a_users_scorer_and_short_sequences(spark):
     import numpy as np
@@ -77,5 +90,10 @@ def test_a_users_scorer_and_short_sequences(spark):
     seqs = spark.createDataFrame([(0, []), (1, [3]), (2, [3, 4, 5]), (3, None)], "doc_id int, input_ids array<int>")
     rows = ev.score_windows(seqs, lambda ids: np.asarray(ids[1:], float), ["doc_id"], 2, 1).collect()
     assert [(r.doc_id, r.begin, r.end, r.loss, r.trg_len) for r in rows] == [(2, 0, 2, 4.0, 2), (2, 1, 3, 5.0, 2)]
-    empty = ev.bigram_scorer(ev.ngram_counts(seqs.limit(0)), 50)
-    assert abs(ev.per_text_perplexity(seqs, empty, ["doc_id"]).first().perplexity - 50) < 1e-6
+    for build in (ev.bigram_scorer, ev.bigram_model):
+        empty = build(ev.ngram_counts(seqs.limit(0)), 50)
+        assert abs(ev.per_text_perplexity(seqs, empty, ["doc_id"]).first().perplexity - 50) < 1e-6
+        assert ev.score_windows(seqs.limit(0), empty, ["doc_id"]).count() == 0
+        # rows of one key, or none, keep their own windows
+        twice = seqs.unionAll(seqs).selectExpr("nullif(doc_id, 2) AS doc_id", "input_ids")
+        assert [tuple(r)[:4] for r in ev.score_windows(twice, empty, ["doc_id"]).collect()] == [(None, 3, 0, 3)] * 2

@@ -2,6 +2,7 @@
 
 The DuckDB side trains the same small vocabulary with a recursive query (one
 merge a step over the distinct words) and encodes by replaying the merges.
+It also rebuilds whole id sequences, which perplexity and truncation need.
 That is too slow for a vocabulary of real size, so the queries named _4000 have
 no SQL; training is tested against brute force at 300.
 """
@@ -12,13 +13,15 @@ from pyspark.sql import functions as F
 
 from ..functions.text import BYTE_DST
 from ..operators import bpe
+from ..operators import evaluate as ev
 from ..operators import pack as pk
 from ..operators import stats as st
 from ..session import cut_lineage
 from ..sources.tables import table
-from .corpus import corpus, keep_for_training
-from .queries_text import A03_SQL
-from .registry import query
+from .corpus import chunk_summary, corpus, keep_for_training
+from .queries_core import k01_sql
+from .queries_text import _NO_WS, _PREFIXED, _WS, A03_SQL
+from .registry import duck_strip, query
 
 BASE_VOCAB = 300
 N_MERGES = BASE_VOCAB - 263
@@ -118,6 +121,27 @@ SELECT lang, CAST(sum(length(text)) AS BIGINT) AS total_chars, CAST(sum(coalesce
        CASE WHEN sum(dw.n) > 0 THEN round(sum(length(text)) / sum(dw.n), 6) ELSE 0.0 END AS chars_per_token
 FROM documents LEFT JOIN dw USING (doc_id) GROUP BY ROLLUP (lang)"""
 
+# whole sequences: a text's words in order (between chr(3) and chr(4); white space that no word takes stays outside, its
+# last character alone where the next word doesn't begin with a space), then their ids
+SEQUENCES = f"""{merges_sql(A03_SQL, N_MERGES)},
+v AS (SELECT token, id FROM ({T01_VOCAB_SQL})),
+wi AS (SELECT word, list(v.id ORDER BY i) AS ids FROM (
+         SELECT word, unnest(x) AS token, unnest(range(0, len(x))) AS i FROM (
+           SELECT word, regexp_extract_all(s, chr(1) || '([^' || chr(2) || ']+)' || chr(2), 1) AS x FROM final))
+       JOIN v USING (token) GROUP BY word),
+mk AS (SELECT doc_id, regexp_replace(regexp_replace({_PREFIXED}, '({_NO_WS})', chr(3) || '\\1' || chr(4), 'g'),
+                                     '([{_WS}])' || chr(3) || '([^ ])', chr(3) || '\\1' || chr(4) || chr(3) || '\\2', 'g') AS m
+       FROM documents),
+dw AS (SELECT doc_id, unnest(x) AS word, unnest(range(0, len(x))) AS i FROM (
+         SELECT doc_id, list_transform(regexp_extract_all(m, chr(3) || '[^' || chr(4) || ']*' || chr(4) || '|[{_WS}]+'),
+                                       lambda q: replace(replace(q, chr(3), ''), chr(4), '')) AS x FROM mk)),
+body AS (SELECT doc_id, flatten(list(ids ORDER BY i)) AS b FROM dw JOIN wi USING (word) GROUP BY doc_id),
+enc AS (SELECT doc_id, source, text, coalesce(b, []) AS b FROM documents LEFT JOIN body USING (doc_id))"""
+_KEPT = f"text IS NOT NULL AND length(text) > 0 AND length({duck_strip('text')}) > 50"
+K06_BPE_SQL = f"""WITH RECURSIVE {SEQUENCES}
+SELECT doc_id, CAST(len(b[1:510]) + 2 AS BIGINT) AS n_tokens, CAST(coalesce(list_sum(b[1:510]), 0) + 3 AS BIGINT) AS id_sum
+FROM enc WHERE {_KEPT}"""
+
 
 @query("x06_bpe_encode", X06_SQL)
 def x06(spark, sf):
@@ -125,7 +149,7 @@ def x06(spark, sf):
     return _sums(encoded(spark, sf))
 
 
-@query("k06_bpe_truncate")
+@query("k06_bpe_truncate", K06_BPE_SQL)
 def k06_bpe(spark, sf):
     """X01 -> X03 -> X06 -> X08/X09: training documents encoded with the
     trained vocabulary, cut to 512 tokens with the template."""
@@ -199,7 +223,13 @@ def a13(spark, sf):
     return out.orderBy("name")
 
 
-@query("k04_bpe_chunks")
+_K04_CHUNKS = k01_sql(500_000).replace("2048", "512").split("), o AS (", 1)[1]
+K04_SQL = f"""WITH RECURSIVE {SEQUENCES},
+d AS (SELECT source AS src, doc_id AS row_idx, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 500000 AS segment,
+             [1] || b || [2] AS ids FROM enc WHERE {_KEPT}), o AS ({_K04_CHUNKS}"""
+
+
+@query("k04_bpe_chunks", K04_SQL)
 def k04(spark, sf):
     """BPE-encoded training documents concatenated per source and cut
     into 512-token chunks (short tails dropped)."""
@@ -214,5 +244,49 @@ def k04_full(spark, sf):
 def _chunks(spark, sf, vocab_size: int):
     docs = keep_for_training(corpus(spark, sf)).select("src", "row_idx")
     e = encoded(spark, sf, vocab_size=vocab_size).withColumnRenamed("doc_id", "row_idx").join(docs, "row_idx")
-    ch = pk.concat_and_chunk(e, 512)
-    return ch.select("src", "segment", "chunk_id", F.size("input_ids").cast("bigint").alias("n_tokens"))
+    return chunk_summary(pk.concat_and_chunk(e, 512))
+
+
+# ------------------------------------------------ perplexity over BPE ids ----
+
+_LOSS = f"""WITH RECURSIVE {SEQUENCES},
+e AS (SELECT doc_id, [1] || b || [2] AS ids FROM enc),
+pos AS (SELECT doc_id, len(ids) AS n, unnest(range(1, len(ids))) AS pos,
+             unnest(ids[1:len(ids) - 1]) AS prev, unnest(ids[2:len(ids)]) AS tok FROM e),
+good AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING max(quality) = 1),
+m AS (SELECT prev, tok, count(*) AS cnt FROM pos JOIN good USING (doc_id) GROUP BY prev, tok),
+ctx AS (SELECT prev, sum(cnt) AS c FROM m GROUP BY prev),
+tn AS (SELECT doc_id, n, pos, CASE WHEN ctx.c IS NULL THEN ln({BASE_VOCAB}.0)
+                                   ELSE -ln((coalesce(m.cnt, 0) + 1.0) / (ctx.c + {BASE_VOCAB}.0)) END AS nll
+       FROM pos LEFT JOIN m USING (prev, tok) LEFT JOIN ctx ON pos.prev = ctx.prev)
+"""
+PPL_LENGTH, PPL_STRIDE = 512, 128
+
+
+def _good_model(spark, sf):
+    """BPE ids of all documents, and a bigram model of those that a label calls good."""
+    ids = cut_lineage(encoded(spark, sf))
+    good = table(spark, sf, "labels").groupBy("doc_id").agg(F.max("quality").alias("q")).where("q = 1")
+    return ids, ev.bigram_model(ev.ngram_counts(ids.join(good, "doc_id", "left_semi")), BASE_VOCAB)
+
+
+@query("e05_bpe_perplexity", _LOSS + "SELECT doc_id, round(exp(avg(nll)), 6) AS perplexity FROM tn GROUP BY doc_id")
+def e05_bpe(spark, sf):
+    """E03 + E05 over BPE ids: a bigram model of the documents labelled good, held as
+    tables, scores every document whole."""
+    ids, model = _good_model(spark, sf)
+    return ev.per_text_perplexity(ids, model, ["doc_id"])
+
+
+@query("e02_bpe_perplexity", _LOSS + f""",
+ww AS (SELECT doc_id, n, nll,
+             unnest(generate_series(greatest(floor((pos - {PPL_LENGTH}) / {PPL_STRIDE}) + 1, 0)::BIGINT,
+                                    least(floor((pos - 1) / {PPL_STRIDE}), greatest(ceil((n - {PPL_LENGTH}) / {PPL_STRIDE}), 0))::BIGINT)) AS q
+      FROM tn),
+wl AS (SELECT doc_id, q, avg(nll) AS loss, least(q * {PPL_STRIDE} + {PPL_LENGTH}, n) - q * {PPL_STRIDE} AS trg_len
+       FROM ww GROUP BY doc_id, q, n)
+SELECT round(exp(sum(loss * trg_len) / sum(trg_len)), 6) AS perplexity, count(*) AS n_windows FROM wl""")
+def e02_bpe(spark, sf):
+    """E01 + E02 + E03 over BPE ids: the same model over windows of 512 with stride 128."""
+    ids, model = _good_model(spark, sf)
+    return ev.perplexity(ev.score_windows(ids, model, ["doc_id"], PPL_LENGTH, PPL_STRIDE), ["doc_id"])

@@ -18,6 +18,26 @@ def test_poisson_steps(spark, rate):
     assert abs(steps[-1] - 1) < 1e-9
 
 
+@pytest.mark.parametrize("rate", [0.0, 3.0, 250.0, 600.0, 30_000.0, 1_000_000.0])
+def test_steps_of_large_rates(spark, rate):
+    got = spark.range(1).select(M.first_step(F.lit(rate)).alias("f")).select(
+        "f", M.poisson_steps(F.lit(rate), F.col("f")).alias("s")).first()
+    assert len(got.s) <= 24 * math.sqrt(rate) + 200 and got.f <= rate
+    total = 0.0
+    for k, s in enumerate(got.s, got.f):
+        total += math.exp(k * math.log(rate) - rate - math.lgamma(k + 1)) if rate else float(k == 0)
+        assert abs(s - total) < 1e-7
+    assert got.s[0] < 1e-25 or got.f == 0
+    assert abs(got.s[-1] - 1) < 1e-7
+
+
+def test_a_tiny_source_among_large_ones(spark):
+    d = docs(spark, [(i, "x" * 2000, "big") for i in range(500)] + [(900 + i, "y" * 9, "tiny") for i in range(4)])
+    n = {r.doc_id: r.n_copies for r in M.mixing_plan(d, weights={"big": 1, "tiny": 1}).collect() if r.source == "tiny"}
+    rate = 1000500 / 2 / 40 + 0.5
+    assert len(n) == 4 and all(abs(x - rate) < 5 * math.sqrt(rate) for x in n.values()) and len(set(n.values())) > 1
+
+
 def test_shares_follow_the_weights(spark):
     rows = [(i, "x" * 99, "big") for i in range(3000)] + [(5000 + i, "x" * 99, "small") for i in range(1000)] + [(9000, "x", "none")]
     d = docs(spark, rows)
@@ -45,6 +65,9 @@ def test_many_sources_take_the_shuffle(spark, monkeypatch):
     want = sorted(map(tuple, M.mixing_plan(docs(spark, rows)).collect()))
     monkeypatch.setattr(M, "MAX_BROADCAST_SOURCES", 10)
     assert sorted(map(tuple, M.mixing_plan(docs(spark, rows)).collect())) == want
+    monkeypatch.setattr(M, "MAX_BROADCAST_SOURCES", 100)
+    monkeypatch.setattr(M, "MAX_BROADCAST_STEPS", 10)
+    assert sorted(map(tuple, M.mixing_plan(docs(spark, rows)).collect())) == want
 
 
 def test_mixed_documents_and_awkward_rows(spark):

@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from .common import ranked
 
-#: Sources up to this number are broadcast; more are joined by a shuffle.
+#: Sources up to this number, with up to this number of steps in all (32 MB), are broadcast; more are joined by a shuffle.
 MAX_BROADCAST_SOURCES = 65_536
+MAX_BROADCAST_STEPS = 4_000_000
 
 
 def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.5, epochs: float = 1.0,
@@ -48,10 +49,23 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, alpha
                      (share * F.lit((total["size"] or 0.0) * epochs) / F.col("size")).alias("rate"))
 
 
-def poisson_steps(rate: Column) -> Column:
-    """The distribution function at 0, 1, 2, ... until the tail is under double precision."""
-    last = F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int")
-    start = F.struct(F.array().cast("array<double>").alias("steps"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("log_fact"))
+def first_step(rate: Column) -> Column:
+    """The smallest count that a draw can give, or one below: the mass under it is less than 1e-30."""
+    first = F.floor(rate - 12 * F.sqrt(rate) - 30).cast("long")
+    return F.when(first >= 64, first).otherwise(F.lit(0).cast("long"))
+
+
+def poisson_steps(rate: Column, first: Column | None = None) -> Column:
+    """The distribution function at ``first`` (0 if not given), first + 1, ... until the tail is under double precision.
+
+    From ``first_step`` on it has 24 steps for each unit of the rate's root, and 60, however large the rate.
+    """
+    first = F.lit(0).cast("long") if first is None else first
+    last = F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("long")
+    n = first.cast("double")  # ln (first - 1)! by Stirling's series, from 64 on to the last bits of a double
+    below = (n - 0.5) * F.log(n) - n + F.lit(0.9189385332046727) + 1 / (12 * n) - 1 / (360 * n * n * n)
+    start = F.struct(F.array().cast("array<double>").alias("steps"), F.lit(0.0).alias("sum"),
+                     F.when(first > 0, below).otherwise(F.lit(0.0)).alias("log_fact"))
 
     def step(acc: Column, k: Column) -> Column:
         log_fact = acc["log_fact"] + F.when(k > 0, F.log(F.greatest(k, F.lit(1)).cast("double"))).otherwise(F.lit(0.0))
@@ -60,7 +74,7 @@ def poisson_steps(rate: Column) -> Column:
         return F.struct(F.concat(acc["steps"], F.array(acc["sum"] + p)).alias("steps"), (acc["sum"] + p).alias("sum"),
                         log_fact.alias("log_fact"))
 
-    return F.aggregate(F.sequence(F.lit(0), last), start, step)["steps"]
+    return F.aggregate(F.sequence(first, last), start, step)["steps"]
 
 
 def uniform(seed: int, *parts: Column) -> Column:
@@ -74,8 +88,10 @@ def replicate(docs: DataFrame, weights: dict[str, float] | None = None, alpha: f
               columns: list[str] | None = None) -> DataFrame:
     """Copies of the documents: the chosen columns and n_copies, copy (from 1), rate, shuffle_key."""
     rates = cut_lineage(source_rates(docs, weights, alpha, epochs, source_col, text_col).select(
-        "tl_source", F.col("rate").alias("tl_rate"), poisson_steps(F.col("rate")).alias("tl_steps")))
-    if rates.count() <= MAX_BROADCAST_SOURCES:
+        "tl_source", F.col("rate").alias("tl_rate"), first_step(F.col("rate")).alias("tl_first")).withColumn(
+        "tl_steps", poisson_steps(F.col("tl_rate"), F.col("tl_first"))))
+    size = rates.agg(F.count(F.lit(1)).alias("sources"), F.sum(F.size("tl_steps")).alias("steps")).first()
+    if size["sources"] <= MAX_BROADCAST_SOURCES and (size["steps"] or 0) <= MAX_BROADCAST_STEPS:
         rates = F.broadcast(rates)
     name = F.coalesce(F.col(id_col).cast("string"),
                       F.concat(F.lit("null"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).cast("string")))
@@ -83,7 +99,8 @@ def replicate(docs: DataFrame, weights: dict[str, float] | None = None, alpha: f
     drawn = (docs.withColumn("tl_name", name)
              .join(rates, F.col(source_col).cast("string").eqNullSafe(F.col("tl_source")))
              .withColumn("tl_u", uniform(seed, F.col("tl_name")))
-             .withColumn("tl_n", F.size(F.filter("tl_steps", lambda c: c <= F.col("tl_u")))).where("tl_n > 0"))
+             .withColumn("tl_n", (F.col("tl_first") + F.size(F.filter("tl_steps", lambda c: c <= F.col("tl_u")))).cast("int"))
+             .where("tl_n > 0"))
     return drawn.select(*[F.col(c) for c in own], "tl_name", "tl_rate", "tl_n",
                         F.explode(F.sequence(F.lit(1), F.col("tl_n"))).alias("tl_copy")).withColumn(
         "tl_shuffle", F.md5(F.concat_ws("|", F.lit(f"{seed}+"), "tl_name", F.col("tl_copy").cast("string"))))

@@ -44,6 +44,58 @@ def test_strength_by_moments(spark):
     assert 7 < k < 13
 
 
+def test_rates_and_probability_against_brute_force(spark):
+    d, labels = table(spark, SF, "documents").where("doc_id < 400"), table(spark, SF, "labels")
+    model = Q.train(d, labels)
+    rows = d.collect()
+    e = [float(model.evidence(Q.features(r.text).astype(np.float64)[None])[0]) for r in rows]
+    p = [1 / (1 + np.exp(-(x + model.prior))) for x in e]
+    host, path = {}, {}
+    for r, x in zip(rows, p):
+        host.setdefault(r.source, []).append(x)
+        path.setdefault((r.source, r.lang), []).append(x)
+    mean = sum(p) / len(p)
+
+    def strength(groups, prior):
+        groups = [(np.array(v), prior(k)) for k, v in groups.items() if len(v) > 1]
+        n = sum(len(v) for v, _ in groups)
+        between = sum(len(v) * (v.mean() - m) ** 2 for v, m in groups)
+        noise = sum(len(v) * v.var() / (len(v) - 1) for v, _ in groups)
+        return np.clip(sum(len(v) * m * (1 - m) for v, m in groups) / n / max((between - noise) / n, 1e-6) - 1, 1, 1e6)
+
+    k = strength(host, lambda _: mean)
+    host_rate = {h: (sum(v) + k * mean) / (len(v) + k) for h, v in host.items()}
+    k = strength(path, lambda x: host_rate[x[0]])
+    got = {r.doc_id: r for r in Q.classify(d, labels).collect()}
+    assert len(got) == len(rows) > 300
+    for r, x, own in zip(rows, e, p):
+        rest = path[(r.source, r.lang)]
+        rate = min(max((sum(rest) - own + k * host_rate[r.source]) / (len(rest) - 1 + k), 1e-6), 1 - 1e-6)
+        prob = 1 / (1 + np.exp(-(x + np.log(rate / (1 - rate)))))
+        g = got[r.doc_id]
+        assert abs(g.evidence - x) < 1e-9 and abs(g.host_rate - host_rate[r.source]) < 1e-6
+        assert abs(g.path_rate - rate) < 1e-6 and abs(g.probability - prob) < 1e-6
+        assert abs(prob - 0.5) < 1e-6 or g.kept == (prob >= 0.5)
+
+
+def test_contradictory_labels_and_repeated_ids(spark):
+    good, bad = "the quiet river ran on, as it does. " * 9, "### *** $$$ BUY!! NOW!! %%% " * 9
+    rows = [(i, good + str(i), "a", "en") for i in range(40)] + [(100 + i, bad + str(i), "b", "en") for i in range(40)]
+    plain = [(i, 1) for i in range(30)] + [(100 + i, 0) for i in range(30)]
+    schema = "doc_id long, quality int"
+    want = Q.train(docs(spark, rows), spark.createDataFrame(plain, schema)).weights
+    # a majority, a tie, repeated equal rows: the same model, in any order
+    labels = plain + [(0, 1), (0, 0), (101, 0), (101, 1), (35, 1), (35, 0)]
+    for r, x in ((rows + rows[:5], labels), (rows[::-1] + rows[3:9], labels[::-1])):
+        got = Q.train(docs(spark, r).repartition(7), spark.createDataFrame(x, schema).repartition(5)).weights
+        assert np.array_equal(got, want)
+    # two texts under one id: the order of rows doesn't decide
+    twice = rows + [(3, bad, "a", "en")]
+    one = Q.train(docs(spark, twice), spark.createDataFrame(plain, schema)).weights
+    two = Q.train(docs(spark, twice[::-1]), spark.createDataFrame(plain, schema)).weights
+    assert np.array_equal(one, two)
+
+
 def test_awkward_rows_labels_and_empty_tables(spark):
     d = with_clashes(docs(spark, AWKWARD))
     labels = spark.createDataFrame([(None, 1), (3, None), (4, 1), (77, 0), (5, 0), (5, 0), (9, 1)], "doc_id long, quality int")

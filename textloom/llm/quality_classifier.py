@@ -14,9 +14,11 @@ The only collected data are the training sample (``max_training_rows`` rows of
 
 Defined cases: null and empty texts have no trigrams and zero measures; null
 hosts and paths are sites of their own; repeated rows count as often as they
-stand; labels for unknown documents and null labels are not used; with only
-one class among the labels the classifier's evidence is 0; an empty table gives
-no rows.
+stand; of several labels for one doc_id the majority counts, and none at a tie;
+of several texts under one labelled doc_id the one with the smallest SHA-256 is
+the sample; labels for unknown documents and null labels are not used; with
+only one class among the labels the classifier's evidence is 0; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -99,10 +101,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
           label_col: str = "quality", max_training_rows: int = 4000) -> LogisticModel:
     """Fit on labelled documents; beyond ``max_training_rows`` those with the smallest hashes of their ids."""
     sample = (labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
-              .select(F.col(id_col).cast("long").alias("tl_id"), F.col(label_col).cast("int").alias("y"))
-              .dropDuplicates(["tl_id"]).orderBy(F.xxhash64("tl_id"), "tl_id").limit(max_training_rows))
+              .groupBy(F.col(id_col).cast("long").alias("tl_id")).agg(F.avg(F.col(label_col).cast("int")).alias("share"))
+              .where("share != 0.5").select("tl_id", (F.col("share") > 0.5).cast("int").alias("y")).orderBy(F.xxhash64("tl_id"), "tl_id").limit(max_training_rows))
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(
-        F.broadcast(sample), F.col("doc_id") == F.col("tl_id")).select("doc_id", "text", "y")
+        F.broadcast(sample), F.col("doc_id") == F.col("tl_id"))
+    # one text for each id (at most max_training_rows), settled in the tasks before the shuffle
+    text = F.coalesce("text", F.lit(""))
+    own = own.groupBy("doc_id", "y").agg(F.min(F.struct(F.sha2(text, 256).alias("digest"), text.alias("text"))).alias("t"))
+    own = own.select("doc_id", "t.text", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -110,8 +116,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.binary()), b.column(2)],
                                              names=["doc_id", "x", "y"])
 
-    # max_training_rows bounds the ids; repeated rows of one id are the same sample once more
-    rows = own.mapInArrow(run, "doc_id long, x binary, y int").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    rows = own.mapInArrow(run, "doc_id long, x binary, y int").orderBy("doc_id").collect()
     x = np.array([np.frombuffer(r["x"], np.float32) for r in rows]).reshape(len(rows), FEATURES)
     return fit_logistic(x, np.array([r["y"] for r in rows], np.float64))
 

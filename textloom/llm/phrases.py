@@ -39,6 +39,7 @@ from .common import written
 
 H = ["h1", "h2", "h3", "h4"]
 COMBINE = 1_000_000  # windows that a task combines at a time (40 MB)
+BUCKET = 500_000  # windows of a bucket of nodes, on average; equal windows of one task are one
 MAX_WORDS = 2_000_000  # frequent words that are broadcast (24 MB)
 HELD = 200_000  # words that a task remembers
 
@@ -124,24 +125,87 @@ def numbered(words: DataFrame, min_count: int) -> tuple[DataFrame, int]:
         "lang", "word", "f", "h", (F.col("base") + F.col("at") - F.col("low") + 1).cast("int").alias("code"))), salt
 
 
+def _mixed(p: np.ndarray, c: np.ndarray | int = 0) -> np.ndarray:
+    """A hash of two numbers, spread over 64 bits."""
+    x = (p.astype(np.uint64) ^ (np.asarray(c).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(32))
+
+
+def _bucket(x: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of a hash; larger hashes have no smaller bucket."""
+    return (((x >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int32)
+
+
+def _cuts(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    return np.flatnonzero(new)
+
+
+def _summed(parts: list[np.ndarray]) -> np.ndarray:
+    """Columns with equal keys (all rows but the last) as one, in the keys' order, the last row summed."""
+    w = np.concatenate(parts, axis=1)
+    w = w[:, np.lexsort(w[-2::-1])]
+    first = _cuts(*w[:-1])
+    return np.concatenate([w[:-1, first], np.add.reduceat(w[-1:], first, axis=1)])
+
+
+def _dealt(w: np.ndarray, bucket: np.ndarray) -> tuple[list[int], list[bytes]]:
+    """Columns in the buckets' order as one array of bytes for each bucket."""
+    first = _cuts(bucket)
+    past = np.append(first[1:], len(bucket)).tolist()
+    return bucket[first].tolist(), [w[:, x:y].tobytes() for x, y in zip(first.tolist(), past)]
+
+
+def _by_bucket(rows, height: int, finish):
+    """From rows (bucket, buckets, bytes) in the buckets' order, ``finish`` of each bucket's summed columns.
+
+    What is held are the distinct keys of one bucket, at most twice over.
+    """
+    now = of = None
+    held, size, limit = [], 0, 2 * COMBINE
+    for bucket, buckets, raw in rows:
+        if bucket != now:
+            if held:
+                yield from finish(_summed(held), of)
+            now, of, held, size, limit = bucket, buckets, [], 0, 2 * COMBINE
+        held.append(np.frombuffer(raw, np.int64).reshape(height, -1))
+        size += held[-1].shape[1]
+        if size >= limit:
+            held = [_summed(held)]
+            size = held[0].shape[1]
+            limit = max(limit, 2 * size)
+    if held:
+        yield from finish(_summed(held), of)
+
+
 def edges(texts: DataFrame, frequent: DataFrame, salt: int, max_words: int | None = None) -> DataFrame:
-    """Weighted edges: p (first word's number << 32 | second's), c3, c4, n; zeros behind a piece's end or a rare word.
+    """Weighted edges by bucket of their node: ``bucket``, ``buckets`` (how many there are) and ``raw``, three rows of
+    longs (first word's number << 32 | second's; third's << 32 | fourth's; weight), zeros behind a piece's end or a
+    rare word.
 
-    Tasks combine equal windows before the one large shuffle.  It deals rows out
-    by node, so edges, nodes and their flow need no other.
+    Tasks combine equal windows before the one large shuffle, which moves a
+    task's windows of a bucket as one row; no node's edges lie in two buckets.
     """
-    names = ["p", "c3", "c4", "n"]
+    total = frequent.agg(F.sum("f").alias("f")).first()["f"] or 0
+    buckets = max(1, -(-total // BUCKET))
+    schema = "bucket int, buckets int, raw binary"
 
     def combined(rows):
-        """Equal windows of a stretch of the task's rows as one row."""
+        """Equal windows of a stretch of the task's rows as one, dealt out to buckets."""
         w = np.concatenate(rows, axis=1)
-        w = w[:, np.lexsort(w[::-1])]
-        new = np.ones(w.shape[1], bool)
-        new[1:] = (w[:, 1:] != w[:, :-1]).any(axis=0)
-        first = np.flatnonzero(new)
-        p, c = w[0, first], w[1, first]
-        return pa.RecordBatch.from_arrays([pa.array(p), pa.array((c >> 32).astype(np.int32)), pa.array(c.astype(np.int32)),
-                                           pa.array(np.diff(np.append(first, w.shape[1])))], names=names)
+        node = _mixed(w[0], w[1] >> 32)
+        # equal windows come together; a node's hash decides the bucket, its fourth word's the order within
+        low = np.uint64((1 << 20) - 1)
+        order = np.argsort((node & ~low) | (_mixed(w[1] & 0xFFFFFFFF) & low))
+        w = w[:, order]
+        first = _cuts(w[0], w[1])
+        bucket, raw = _dealt(np.stack([w[0, first], w[1, first], np.diff(np.append(first, w.shape[1]))]),
+                             _bucket(node[order[first]], buckets))
+        return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array([buckets] * len(bucket), pa.int32()),
+                                           pa.array(raw, pa.binary())], names=["bucket", "buckets", "raw"])
 
     def windows(coded):
         """From arrays of numbers, each with a 0 behind its last word."""
@@ -196,12 +260,12 @@ def edges(texts: DataFrame, frequent: DataFrame, salt: int, max_words: int | Non
 
             yield from windows(coded())
 
-        out = texts.mapInArrow(run, "p long, c3 int, c4 int, n long")
+        out = texts.mapInArrow(run, schema)
     else:
         out = _joined_codes(texts, frequent, salt).mapInArrow(
             lambda batches: windows(np.asarray(x.values.to_numpy(zero_copy_only=False), np.int64) for b in batches for x in b.column(0)),
-            "p long, c3 int, c4 int, n long")
-    return out.repartition("p", "c3")
+            schema)
+    return out
 
 
 def _joined_codes(texts: DataFrame, frequent: DataFrame, salt: int) -> DataFrame:
@@ -225,27 +289,78 @@ def _joined_codes(texts: DataFrame, frequent: DataFrame, salt: int) -> DataFrame
 def flows(edge_rows: DataFrame, min_count: int) -> DataFrame:
     """Counts of all runs of one to four words with ``min_count`` or more: h1 to h4 (0 behind the last), f.
 
-    Each length is the flow out of the next longer one.  One job: a level's
-    shuffle feeds both its own rows and the level below (pads are left out
-    afterwards, since a condition on keys would move below the shuffle and make
-    each level's a different one).
+    Each length is the flow out of the next longer one: a bucket of nodes sums
+    its edges and its nodes and sends on what it has of the pairs, a bucket of
+    pairs sums these and sends on what it has of the words.  Only one bucket is
+    held at a time.
     """
-    weight = F.sum("n").alias("f")
-    low = F.col("p").bitwiseAND(F.lit(0xFFFFFFFF))
-    code = [F.shiftright("p", 32), low, F.col("c3").cast("long"), F.col("c4").cast("long")]
-    by_edge = edge_rows.groupBy("p", "c3", "c4").agg(weight)
-    # the bound on c4 holds always; it keeps c4 in the rows read, so both levels read one and the same shuffle
-    nodes = edge_rows.groupBy("p", "c3").agg(weight, F.max("c4").alias("c4")).where("c4 >= 0").drop("c4")
-    pairs = nodes.groupBy("p").agg(F.sum("f").alias("f"))
-    single = pairs.groupBy(F.shiftleft(F.shiftright("p", 32), 32).alias("p")).agg(F.sum("f").alias("f"))
-    levels = [by_edge, nodes, pairs, single]
-    out = None
-    for length, level in zip((4, 3, 2, 1), levels):
-        rows = level.where(F.col("f") >= min_count).select(
-            *[(c if i < length else F.lit(0).cast("long")).alias(h) for i, (c, h) in enumerate(zip(code, H))], "f",
-            F.lit(length).alias("length"))
-        out = rows if out is None else out.unionByName(rows)
-    return written(out, "phrase-flows").where(F.element_at(F.array(*H), F.col("length")) != 0).drop("length")
+    names = [*H, "f", "length"]
+    found = "h1 long, h2 long, h3 long, h4 long, f long, length int"
+
+    def counted(length: int, p: np.ndarray, q: np.ndarray, f: np.ndarray) -> list[pa.Array]:
+        low = 0xFFFFFFFF
+        cols = [p >> 32, p & low, q >> 32, q & low]
+        zero = np.zeros(len(f), np.int64)
+        return [pa.array(c if i < length else zero) for i, c in enumerate(cols)] + [
+            pa.array(f), pa.array(np.full(len(f), length, np.int32))]
+
+    def nodes(batches):
+        def finish(w, of):
+            p, q, n = w
+            heavy = (n >= min_count) & (q & 0xFFFFFFFF != 0)
+            rows = [counted(4, p[heavy], q[heavy], n[heavy])]
+            first = _cuts(p, q >> 32)
+            f = np.add.reduceat(n, first)
+            p, q = p[first], q[first]
+            heavy = (f >= min_count) & (q >> 32 != 0)
+            rows.append(counted(3, p[heavy], q[heavy], f[heavy]))
+            first = _cuts(p)
+            pairs = np.stack([p[first], np.add.reduceat(f, first)])
+            node = _mixed(pairs[0])
+            order = np.argsort(node)
+            bucket, raw = _dealt(pairs[:, order], _bucket(node[order], of))
+            for cols in rows:  # a heavy run goes with any bucket
+                n = len(cols[-1])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(n, dtype=np.int32) % of), pa.array([of] * n, pa.int32()),
+                                                  pa.nulls(n, pa.binary()), *cols], names=["bucket", "buckets", "raw", *names])
+            n = len(bucket)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(bucket, pa.int32()), pa.array([of] * n, pa.int32()), pa.array(raw, pa.binary()),
+                 *[pa.nulls(n, pa.int64())] * 5, pa.nulls(n, pa.int32())], names=["bucket", "buckets", "raw", *names])
+
+        yield from _by_bucket(((x.as_py(), of.as_py(), raw.as_buffer()) for b in batches for x, of, raw in zip(*b.columns[:3])),
+                              3, finish)
+
+    def pairs(batches):
+        heavy = []  # rows that are counts already, of the batch at hand
+
+        def rows():
+            for b in batches:
+                done = b.column(2).is_null()
+                heavy.append(pa.RecordBatch.from_arrays(b.columns[3:], names=names).filter(done))
+                part = b.filter(b.column(2).is_valid())
+                for x, of, raw in zip(*part.columns[:3]):
+                    yield x.as_py(), of.as_py(), raw.as_buffer()
+
+        def finish(w, of):
+            while heavy:
+                yield heavy.pop()
+            p, f = w
+            some = (f >= min_count) & (p & 0xFFFFFFFF != 0)
+            yield pa.RecordBatch.from_arrays(counted(2, p[some], p[some] * 0, f[some]), names=names)
+            first = _cuts(p >> 32)
+            one = p[first] >> 32 << 32
+            yield pa.RecordBatch.from_arrays(counted(1, one, one * 0, np.add.reduceat(f, first)), names=names)
+
+        yield from _by_bucket(rows(), 2, finish)
+        yield from heavy
+
+    by_node = edge_rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
+        nodes, f"bucket int, buckets int, raw binary, {found}")
+    by_pair = by_node.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(pairs, found)
+    # words come from several buckets
+    counts = by_pair.groupBy(*H, "length").agg(F.sum("f").alias("f")).where(F.col("f") >= min_count)
+    return written(counts.select(*H, "f"), "phrase-flows")
 
 
 def compact(heavy: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -38,7 +38,7 @@ from ..session import cut_lineage
 from .common import written
 
 H = ["h1", "h2", "h3", "h4"]
-COMBINE = 1_000_000  # windows that a task combines at a time (40 MB)
+COMBINE = 500_000  # windows that a task combines at a time (20 MB, and as much again for each step of it)
 BUCKET = 500_000  # windows of a bucket of nodes, on average; equal windows of one task are one
 MAX_WORDS = 2_000_000  # frequent words that are broadcast (24 MB)
 HELD = 200_000  # words that a task remembers

@@ -75,6 +75,16 @@ def test_shards_metadata_cache_manifest(spark):
     for _ in range(2):
         sinks.cached_stage(spark, path, lambda: calls.append(1) or df)
     assert len(calls) == 1
+
+    def broken():
+        sinks._hadoop(spark, p2)[2].mkdirs(sinks._hadoop(spark, os.path.join(p2, "attempt-lost"))[1])
+        raise RuntimeError("lost")
+
+    p2 = sinks.cache_path(d, "other", "v")
+    with pytest.raises(RuntimeError):
+        sinks.cached_stage(spark, p2, broken)
+    assert sinks.cached_stage(spark, p2, lambda: df).count() == 1000  # the interrupted build isn't read
+    assert not sinks._commit(spark, p2, "attempt-late") and sinks.cached_stage(spark, p2, broken).count() == 1000
     m = sinks.manifest(df, "p").collect()
     assert sorted((r.src, r.num_samples) for r in m) == [("0", 334), ("1", 333), ("2", 333)]
     sinks.write_metadata(spark, os.path.join(d, "meta"), dataset="x", num_samples=1000)

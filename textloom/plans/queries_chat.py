@@ -6,7 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import chat as ch
+from ..operators import sft
 from ..sources.tables import table
+from .records import conversation_records
 from .registry import duck_strip, query
 
 NL = "chr(10)"
@@ -110,3 +112,38 @@ def p23(spark, sf):
 @query("p24_preview", "SELECT doc_id, left(text, 200) || '...' AS preview FROM documents")
 def p24(spark, sf):
     return table(spark, sf, "documents").select("doc_id", ch.preview("text", 200).alias("preview"))
+
+
+_NB = lambda x: f"nullif({duck_strip(f'coalesce({x}, {chr(39)}{chr(39)})')}, '')"
+P20_AUTO_SQL = f"""
+WITH p AS (
+  SELECT conv_id, arg_min(text, turn) FILTER (WHERE role = 'user' AND text IS NOT NULL) AS u,
+         arg_min(text, turn) FILTER (WHERE role = 'assistant' AND text IS NOT NULL) AS a,
+         arg_min(text, turn) FILTER (WHERE role = 'system' AND text IS NOT NULL) AS s,
+         coalesce(string_agg({_ENTRY} || {NL}, '' ORDER BY turn) FILTER (WHERE role IN ('system', 'user', 'assistant')), '') AS chat
+  FROM conversations GROUP BY conv_id),
+r AS (
+  SELECT *, '<|im_start|>user' || {NL} || array_to_string(list_filter([{_NB('u')}, {_NB('s')}], lambda x: x IS NOT NULL), {NL} || {NL})
+            || '<|im_end|>' || {NL} || '<|im_start|>assistant' || {NL} || a || '<|im_end|>' || {NL} AS alpaca FROM p),
+v AS (SELECT CASE WHEN count(a) >= count(s) THEN 'alpaca' ELSE 'chat' END AS winner FROM p),
+t AS (
+  SELECT 'a' AS src, conv_id, 'alpaca' AS format, alpaca AS text FROM r WHERE a IS NOT NULL
+  UNION ALL SELECT 'b', conv_id, 'sharegpt', chat FROM r
+  UNION ALL SELECT 'c', conv_id, 'chat', chat FROM r
+  UNION ALL SELECT 'd', conv_id, 'alpaca', alpaca FROM r, v WHERE winner = 'alpaca' AND a IS NOT NULL
+  UNION ALL SELECT 'd', conv_id, 'chat', chat FROM r, v WHERE winner = 'chat' AND s IS NOT NULL)
+SELECT src, conv_id, format, text, row_number() OVER (ORDER BY md5('42|' || src || '|' || conv_id)) - 1 AS position
+FROM t WHERE text <> ''
+"""
+
+
+@query("p20_sft_auto_shuffled", P20_AUTO_SQL)
+def p20_auto(spark, sf):
+    """P20: four inputs of the formats alpaca, sharegpt, chat and a mixture, told apart by
+    vote, rendered as ChatML and shuffled together."""
+    r = conversation_records(spark, sf)
+    inputs = {"a": F.col("shape") == "alpaca", "b": F.col("shape") == "sharegpt", "c": F.col("shape") == "messages",
+              "d": (F.col("shape") == "alpaca") | ((F.col("shape") == "messages") & F.col("json").contains('"role":"system"'))}
+    each = F.explode(F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in inputs.items()]), lambda x: x.isNotNull()))
+    recs = r.select("conv_id", each.alias("src"), "rec")
+    return sft.prepare_sft(recs, key="conv_id", shuffle=True).withColumn("position", F.col("position").cast("bigint"))

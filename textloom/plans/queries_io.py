@@ -13,6 +13,7 @@ from ..operators.pack import concat_and_chunk
 from ..session import scratch_path
 from ..sources import files as fl
 from ..sources import sinks as sk
+from ..sources.sinks import cached_stage
 from ..sources.tables import table
 from ..streaming import ingest as ig
 from .queries_core import P01_SQL
@@ -140,6 +141,34 @@ def r03(spark, sf):
     return spark.read.parquet(sink).groupBy("lang").agg(F.count(F.lit(1)).cast("bigint").alias("n_kept"))
 
 
+@query("r03_stream_cap_ids", f"""
+SELECT doc_id, lang FROM documents WHERE length({duck_strip('text')}) > 50
+QUALIFY row_number() OVER (PARTITION BY lang ORDER BY doc_id) <= 25""")
+def r03_ids(spark, sf):
+    """R03 with all files in one micro-batch: the first 25 documents of each language, by id."""
+    src, schema = _stream_source(spark, sf)
+    s = ig.stream_records(spark, src, schema, max_files_per_trigger=64).select("doc_id", "lang")
+    sink = _scratch(spark, "r03-ids")
+    ig.run_available(ig.cap_per_key(s, "lang", "doc_id", 25, "doc_id long, lang string"), sink, _scratch(spark, "ckpt-r03-ids"))
+    return spark.read.parquet(sink)
+
+
+@query("s18_cached_stage", "SELECT lang, count(*) AS n_docs FROM documents GROUP BY lang")
+def s18(spark, sf):
+    """A stage built twice at the same time, so that the second commit loses, and read a third time from the cache."""
+    root = _scratch(spark, "s18")
+
+    def counted():
+        return table(spark, sf, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"))
+
+    def slow():  # another build finishes while this one is under way
+        cached_stage(spark, root, counted)
+        return counted().where("n_docs < 0")
+
+    cached_stage(spark, root, slow)
+    return cached_stage(spark, root, counted)
+
+
 @query("r04_stream_pack")
 def r04(spark, sf):
     """R04 + U04: each micro-batch is tokenised and packed as its own

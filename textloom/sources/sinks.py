@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,19 +68,67 @@ def cache_keys(df: DataFrame, name: str = "name", version: str = "version"):
     return md5_prefix(F.concat(F.col(name), F.lit("_"), v), 16)
 
 
+def _hadoop(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return jvm, p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def is_complete(spark: SparkSession, path: str) -> bool:
     """Data and completion marker both present."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(os.path.join(path, "_SUCCESS"))
-    return p.getFileSystem(conf).exists(p)
+    _, p, fs = _hadoop(spark, os.path.join(path, "_SUCCESS"))
+    return fs.exists(p)
+
+
+def _chosen(spark: SparkSession, path: str) -> str | None:
+    """The attempt that was committed, if any."""
+    jvm, p, fs = _hadoop(spark, os.path.join(path, "_COMMITTED"))
+    if not fs.exists(p):
+        return None
+    into = fs.open(p)
+    try:
+        return os.path.join(path, jvm.org.apache.commons.io.IOUtils.toString(into, "UTF-8"))
+    finally:
+        into.close()
+
+
+def _commit(spark: SparkSession, path: str, attempt: str) -> bool:
+    """Make ``attempt`` the stage's result unless another one is: a rename that never overwrites."""
+    from py4j.protocol import Py4JJavaError
+
+    jvm, note, fs = _hadoop(spark, os.path.join(path, f".note-{attempt}"))
+    out = fs.create(note, True)
+    try:
+        out.write(bytearray(attempt.encode()))
+    finally:
+        out.close()
+    kinds = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    none = spark.sparkContext._gateway.new_array(kinds, 1)
+    none[0] = kinds.valueOf("NONE")
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        context.rename(note, jvm.org.apache.hadoop.fs.Path(os.path.join(path, "_COMMITTED")), none)
+        return True
+    except Py4JJavaError as e:
+        if not e.java_exception.getClass().getName().endswith("FileAlreadyExistsException"):
+            raise
+        return False
 
 
 def cached_stage(spark: SparkSession, path: str, build) -> DataFrame:
-    """Reuse a finished stage, else build it, write it and reload it."""
-    if not is_complete(spark, path):
-        build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    """Reuse a finished stage, else build it, write it and reload it.
+
+    Every build writes a folder of its own under ``path``; the marker that
+    names it is put in place last, by a rename that fails if there is one.  So
+    an interrupted build is never read, and of several builds at once the first
+    to finish is what all of them read.  The rename must be atomic (HDFS, local
+    disks; not plain object stores).
+    """
+    if _chosen(spark, path) is None:
+        attempt = f"attempt-{uuid.uuid4().hex}"
+        build().write.parquet(os.path.join(path, attempt))
+        _commit(spark, path, attempt)
+    return spark.read.parquet(_chosen(spark, path))
 
 
 def manifest(df: DataFrame, path: str, src: str = "src") -> DataFrame:

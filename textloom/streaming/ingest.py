@@ -58,27 +58,44 @@ def running_counts(stream: DataFrame, key: str = "lang") -> DataFrame:
     return stream.groupBy(key).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+def _first_per_key(key: str, order: str, limit: int):
+    """The first ``limit`` records of each key among a task's, in ``order``; holds at most twice that."""
+
+    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: pd.DataFrame | None = None
+
+        def best(p: pd.DataFrame) -> pd.DataFrame:
+            return p.sort_values(order, kind="stable").groupby(key, dropna=False, sort=False).head(limit)
+
+        for pdf in pdfs:
+            held = best(pdf if held is None else pd.concat([held, best(pdf)]))
+        if held is not None and len(held):
+            yield held
+
+    return run
+
+
 def cap_per_key(stream: DataFrame, key: str, order: str, limit: int, schema: str) -> DataFrame:
     """Pass through at most ``limit`` records per key over the whole
-    stream (state = records already emitted for the key); inside a
-    micro-batch records go in ``order``."""
-    out_schema = schema
-    state_schema = "emitted long"
+    stream (state = records already emitted for the key); a micro-batch gives
+    its first ones in ``order``.
 
+    Every task keeps only its own first ``limit`` records of a key, so a key's
+    group holds at most ``limit`` records for each task however hot it is.
+    """
     def fn(k, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         emitted = state.get[0] if state.exists else 0
-        for pdf in pdfs:
-            if emitted >= limit:
-                continue
-            pdf = pdf.sort_values(order, kind="stable")
-            take = pdf.iloc[: max(limit - emitted, 0)]
+        rows = pd.concat(list(pdfs)) if emitted < limit else None
+        if rows is not None:
+            take = rows.sort_values(order, kind="stable").iloc[:limit - emitted]
             emitted += len(take)
             if len(take):
                 yield take
         state.update((emitted,))
 
-    return stream.groupBy(key).applyInPandasWithState(
-        fn, out_schema, state_schema, "append", GroupStateTimeout.NoTimeout)
+    first = stream.mapInPandas(_first_per_key(key, order, limit), stream.schema)
+    return first.groupBy(key).applyInPandasWithState(
+        fn, schema, "emitted long", "append", GroupStateTimeout.NoTimeout)
 
 
 def pack_batches(pack: Callable[[DataFrame], DataFrame], sink: str) -> Callable:

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.helpers import AWKWARD, docs, with_clashes
 from textloom.llm import line_dedup as L
@@ -159,6 +160,49 @@ def test_fifty_thousand_lines_that_differ_in_one_number(spark):
     assert sorted(r["count"] for r in got.groupBy("root").count().collect()) == sorted(n for n in size.values() if n > 1)
 
 
+@pytest.mark.parametrize("short", [2, 4, 24])
+def test_parts_are_split_again_and_lose_nothing(monkeypatch, short):
+    for name, value in (("PLAIN_SET", 2), ("RUN", 3), ("SHORT", short)):
+        monkeypatch.setattr(L, name, value)
+    rng = random.Random(11)
+    links = 0
+    for _ in range(8):
+        base = "".join(rng.choice("ab ") for _ in range(rng.choice([12, 19, 20, 22, 30, 45, 80, 150])))
+        c = rng.randrange(len(base))
+        lines = sorted({x for x in (edit(rng, base[:c] + "".join(rng.choice("abc") for _ in range(rng.randint(0, 3))) + base[c + 2:],
+                                         rng.randint(0, 3), "ab") for _ in range(60)) if len(x) >= 10})
+        keys = [f"{i:04d}" for i in range(len(lines))]
+        pairs = [(i, j) for i in range(len(lines)) for j in range(i)]
+        near = L.within_edits([(L._codes(lines[i]), L._codes(lines[j]), int(L.edits_allowed(min(len(lines[i]), len(lines[j])))))
+                               for i, j in pairs])  # against the plain distance above
+        near = [(keys[i], keys[j]) for (i, j), ok in zip(pairs, near) if ok]
+        links += len(near)
+        assert partition(L._links_in_sets([(keys, lines, False)]), keys) == partition(near, keys)
+    assert links > 500
+
+
+@pytest.mark.parametrize("short", [2, 24])
+def test_finer_rounds_across_tasks_against_brute_force(spark, monkeypatch, short):
+    for name, value in (("GIANT", 3), ("PLAIN_SET", 2), ("RUN", 1), ("SHORT", short)):
+        monkeypatch.setattr(L, name, value)
+    rng = random.Random(12)
+    pool = ["".join(rng.choice("ab ") for _ in range(n)).strip() or "z" for n in (21, 50, 90)]
+    rows = [(d, "\n".join(edit(rng, rng.choice(pool), rng.randint(0, 4), "ab") for _ in range(3))) for d in range(30)]
+    assert {r.doc_id: list(r.dropped) for r in L.decide(docs(spark, rows)).collect()} == brute(rows)
+
+
+@pytest.mark.parametrize("n", [300, 20_000])
+def test_long_lines_that_differ_in_one_sixth(spark, n):
+    """Documents of one line of 2,400 code points and one template; every hundredth has a copy with a letter less."""
+    base = "".join(random.Random(13).choice("abcdefghij ") for _ in range(2_000))
+    part = F.substring(F.concat(*[F.md5(F.concat(F.col("id").cast("string"), F.lit(f"-{i}"))) for i in range(13)]), 1, 400)
+    d = spark.range(0, n, 1, 8).select(F.col("id").alias("doc_id"), F.concat(F.lit(base[:900]), part, F.lit(base[900:])).alias("text"))
+    copies = d.where("doc_id % 100 = 0").select((F.col("doc_id") + n).alias("doc_id"), F.expr(
+        "concat(substring(text, 1, 1100), substring(text, 1102, 1300))").alias("text"))
+    got = {r.doc_id for r in L.decide(d.union(copies)).where("size(dropped) > 0").collect()}
+    assert got == {i + n for i in range(0, n, 100)}
+
+
 def test_awkward_rows_and_empty_table(spark):
     d = with_clashes(docs(spark, AWKWARD))
     out = L.dedup_lines(d)

@@ -17,14 +17,18 @@ A segment that very many lines share (a template) would give a quadratic
 number of pairs.  Such sets are cut by finer signatures first: two edits leave
 all but two of ``FINE`` segments alone, so lines within two edits agree in the
 text around some two segments.  This is exact, in place for sets of up to
-``GIANT`` lines and as a further distributed round beyond it.
+``GIANT`` lines or about ``POINTS`` code points and as further distributed
+rounds beyond them.
 
 Lines that vary in one place (a number in a template) still meet under one
-finer signature.  More than ``RUN`` of them are never paired: what differs
-between the text they share gives variants (``variants``: one edit undone in
-each of two segments, or two in one), lines with an equal variant hang on the
-first of them, and each such link is within the allowed edits.  Rows grow with
-the lines and the length of the differing part, not with pairs.
+finer signature.  More than ``RUN`` of them are never paired.  The part that
+differs is split again in the same way (``_finer``: one with two edits into
+``FINE`` segments, one of two with an edit each into halves), round by round,
+until lines no longer meet, few do, or the part has at most ``SHORT`` code
+points.  Only such short parts give variants (``variants``: one edit undone in
+each of two, or two in one): lines with an equal variant hang on the first of
+them, and each such link is within the allowed edits.  Rows grow with the
+lines and the rounds (the logarithm of the length), not with pairs.
 """
 
 from __future__ import annotations
@@ -46,6 +50,9 @@ FINE = 6
 PLAIN_SET = 64
 GIANT = 20_000
 RUN = 256
+#: Code points of a set that one task takes; and of a differing part that gives variants.
+POINTS = 8_000_000
+SHORT = 24
 CHUNK = 1_000_000
 #: Code points (and 100 a line) of candidate sets that are verified together.
 HELD = 1_000_000
@@ -96,6 +103,17 @@ def _tagged(h: np.ndarray, *tags, probe: bool) -> np.ndarray:
     return (h & ~np.uint64(1)) | np.uint64(probe)
 
 
+def _sealed(sig: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The signature with the power of two below n in bits 1 to 5: a set's size in code points follows from it."""
+    power = np.log2(np.maximum(n, 1)).astype(np.uint64)
+    return (sig & ~np.uint64(62)) | np.minimum(power, np.uint64(31)) << np.uint64(1)
+
+
+def _most(power: int) -> int:
+    """Lines of a set that one task takes, their length being under twice that power of two."""
+    return max(2, min(GIANT, POINTS >> (power + 1)))
+
+
 def coarse_signatures(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(signature, line number); the lowest bit tells a probe (1) from an indexed segment (0)."""
     h = _Hashes(lines)
@@ -105,7 +123,7 @@ def coarse_signatures(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
             own = np.flatnonzero(edits_allowed(h.n) == t)
             for i in range(t + 1):
                 start, size = _segment(h.n[own], t + 1, i)
-                sig.append(_tagged(h.of(own, start, start + size), h.n[own], i, probe=False))
+                sig.append(_sealed(_tagged(h.of(own, start, start + size), h.n[own], i, probe=False), h.n[own]))
                 who.append(own)
             for longer in range(t + 1):
                 r = np.flatnonzero(edits_allowed(np.maximum(h.n - longer, 0)) == t)
@@ -115,7 +133,7 @@ def coarse_signatures(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
                     for shift in range(max(-i, longer - (t - i)), min(i, longer + (t - i)) + 1):
                         start = p + shift
                         ok = (start >= 0) & (start + size <= h.n[r])
-                        sig.append(_tagged(h.of(r[ok], start[ok], (start + size)[ok]), n[ok], i, probe=True))
+                        sig.append(_sealed(_tagged(h.of(r[ok], start[ok], (start + size)[ok]), n[ok], i, probe=True), n[ok]))
                         who.append(r[ok])
     return np.concatenate(sig), np.concatenate(who)
 
@@ -128,6 +146,17 @@ def fine_signatures(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def _fine_places(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The fine signatures and, as one number, where each leaves the text open (``_open_parts``)."""
     h = _Hashes(lines)
+    allowed = [edits_allowed(np.maximum(h.n - longer, 0)) for longer in range(MAX_EDITS + 1)]
+    return _fine_rows(h, np.flatnonzero(allowed[0] >= 1),
+                      [np.flatnonzero((t >= 1) & (t >= longer)) for longer, t in enumerate(allowed)])
+
+
+def _fine_rows(h: _Hashes, indexed: np.ndarray, probes: list[np.ndarray], two: np.ndarray | None = None):
+    """Signatures, row numbers and places of the indexed rows and of the probes that are 0, 1 … code points longer.
+
+    ``two``: which rows may have two edits; the others open one segment only,
+    and probes that repeat an indexed row's own signature are left out.
+    """
     sig, who, place = [], [], []
 
     def add(r, n, longer, p, q, move, probe):
@@ -142,21 +171,21 @@ def _fine_places(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             ok = (lo >= 0) & (lo <= hi) & (hi <= total)
             key = key[ok] * np.uint64(5) + _tagged(h.of(r[ok], lo[ok], hi[ok]), p, q, probe=False)
             r, n = r[ok], n[ok]
-        sig.append(_tagged(key, n, probe=probe))
+        sig.append(_sealed(_tagged(key, n, probe=probe), n))
         who.append(r)
         place.append(np.full(len(r), (((p * FINE + q) * 4 + longer) * 4 + move + 1) * 2 + probe, np.int64))
 
     with np.errstate(over="ignore"):
-        allowed = edits_allowed(h.n)
         for p in range(FINE):
             for q in range(p, FINE):
-                own = np.flatnonzero(allowed >= 1)
+                fit = (lambda r: r) if two is None or p == q else (lambda r: r[two[r]])
+                own = fit(indexed)
                 add(own, h.n[own], 0, p, q, 0, False)
                 for longer in range(MAX_EDITS + 1):
-                    t = edits_allowed(np.maximum(h.n - longer, 0))
-                    r = np.flatnonzero((t >= 1) & (t >= longer))
+                    r = fit(probes[longer])
                     for move in ([0] if p == q else range(max(-1, longer - 1), min(1, longer + 1) + 1)):
-                        add(r, h.n[r] - longer, longer, p, q, move, True)
+                        if two is None or longer or move:
+                            add(r, h.n[r] - longer, longer, p, q, move, True)
     return np.concatenate(sig), np.concatenate(who), np.concatenate(place)
 
 
@@ -234,6 +263,70 @@ def variants(x: str, y: str, place: int, allowed: int) -> set[str]:
     return out
 
 
+def _is_short(x: str, y: str, place: int) -> bool:
+    """Whether the open parts of an indexed line with the same signature are short enough for variants."""
+    p, q, longer, move, _ = _place(place)
+    return len(x) - (longer if p == q else move) <= SHORT and (p == q or len(y) - (longer - move) <= SHORT)
+
+
+def _finer(xs: list[str], ys: list[str], place: list[int], allowed: list[int], keys: np.ndarray):
+    """Signatures of open parts, one round finer: keys, row numbers, places and sides (for ``_finer_parts``).
+
+    Two rows of one key in ``keys``, one of them indexed, that are within the
+    allowed edits in their open parts get an equal key.  A part with all edits
+    is treated like a line (side 4).  Of two parts with an edit each, a half of
+    each is closed; a short one stays open (side in base 3: left, right or all).
+    """
+    at = np.array([_place(c) for c in place], np.int64).reshape(-1, 5)
+    p, q, longer, move, probe = at.T
+    k = np.asarray(allowed, np.int64)
+    use = ~((probe == 1) & (longer == 0) & ((p == q) | (move == 0)))  # else the same line's indexed row
+    old = np.asarray(place, np.int64)
+    out = []
+    with np.errstate(over="ignore"):
+        one = np.flatnonzero(use & (p == q))
+        if len(one):
+            h = _Hashes([xs[i] for i in one])
+            indexed, more = probe[one] == 0, longer[one]
+            sig, who, new = _fine_rows(h, np.flatnonzero(indexed), [
+                np.flatnonzero(indexed if d == 0 else ~indexed & (more == d)) for d in range(MAX_EDITS + 1)], k[one] > 1)
+            out.append((sig, one[who], new, np.full(len(sig), -1, np.int64)))
+        two = np.flatnonzero(use & (p != q) & (k > 1))
+        if len(two):
+            dx = np.where(probe[two] == 1, move[two], 0)
+            sides = []
+            for parts, d in ((xs, dx), (ys, np.where(probe[two] == 1, longer[two], 0) - dx)):
+                h = _Hashes([parts[i] for i in two])
+                n, r = h.n - d, np.arange(len(two))
+                m, long = n // 2, n > SHORT
+                sides.append([(h.of(r, np.maximum(m + d, 0), h.n), n, long), (h.of(r, np.zeros_like(m), m), n, long),
+                              (np.zeros(len(two), np.uint64), n, ~long)])
+            for a, (left, n_x, ok_x) in enumerate(sides[0]):
+                for b, (right, n_y, ok_y) in enumerate(sides[1]):
+                    ok = ok_x & ok_y
+                    key = _tagged(left, n_x, a, b, probe=False) * np.uint64(3) + _tagged(right, n_y, a, b, probe=False)
+                    out.append((_mix(key[ok]), two[ok], old[two[ok]], np.full(int(ok.sum()), 3 * a + b, np.int64)))
+        if not out:
+            return np.zeros(0, np.int64), *(np.zeros(0, np.int64) for _ in range(3))
+        sig, who, new, side = (np.concatenate(c) for c in zip(*out))
+        own = keys[who].astype(np.uint64)
+        key = _tagged(sig >> np.uint64(1), own, probe=False) >> np.uint64(1)
+        key = (key & ~np.uint64(31)) | (own & np.uint64(31))  # a line's length goes with it
+    return key.view(np.int64), who, new, side
+
+
+def _finer_parts(x: str, y: str, place: int, new: int, side: int) -> tuple[str, str]:
+    """What a signature of ``_finer`` leaves open of the parts x and y that were open under ``place``."""
+    if side < 0:
+        return _open_parts(x, new)
+    _, _, longer, move, probe = _place(place)
+    out = []
+    for s, d, way in ((x, move if probe else 0, side // 3), (y, longer - move if probe else 0, side % 3)):
+        m = (len(s) - d) // 2
+        out.append(s if way == 2 else s[m:] if way else s[:max(m + d, 0)])
+    return out[0], out[1]
+
+
 # ----------------------------------------------------------------- verification
 
 
@@ -344,28 +437,51 @@ def _banded(part: list[tuple[np.ndarray, np.ndarray, int]]) -> np.ndarray:
 
 
 def _hung(lines: list[str], who: list[int], place: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i < j) that connect the lines of one fine signature: each on the first indexed line of its variants."""
-    parts = [_open_parts(lines[i], c) for i, c in zip(who, place)]
-    cuts = []
-    for side in zip(*parts):
-        back = [s[::-1] for s in side]
-        cuts.append(_ends(min(side), max(side), min(back), max(back), min(map(len, side))))
-    (h, t), (h2, t2) = cuts
-    p, q, *_ = _place(place[0])
-    if all(len(x) == h + t for x, _ in parts) or p != q and all(len(y) == h2 + t2 for _, y in parts):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)  # another signature has them
-    first: dict[str, int] = {}
-    found: set[tuple[int, int]] = set()
-    for wanted in (0, 1):
-        for i, c, (x, y) in zip(who, place, parts):
-            if c & 1 == wanted:
-                allowed = int(edits_allowed(len(lines[i]) - _place(c)[2]))
-                for v in variants(x[h:len(x) - t], y[h2:len(y) - t2], c, allowed):
-                    j = first.get(v, i) if wanted else first.setdefault(v, i)
-                    if i != j:
-                        found.add((min(i, j), max(i, j)))
-    pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
-    return pairs[:, 0], pairs[:, 1]
+    """Pairs (i < j) that connect the lines of one fine signature: few are paired, many go by the part that differs."""
+    n = len(lines)
+    allowed = [int(edits_allowed(len(lines[i]) - _place(c)[2])) for i, c in zip(who, place)]
+    xs, ys = (list(c) for c in zip(*(_open_parts(lines[i], c) for i, c in zip(who, place))))
+    todo = [(who, place, allowed, xs, ys)]
+    found: set[int] = set()
+    paired: list[np.ndarray] = []
+    seen: set[tuple[int, ...]] = set()
+    while todo:
+        who, place, allowed, xs, ys = todo.pop()
+        members = np.unique(who)
+        if len(members) <= RUN:
+            if (own := tuple(members.tolist())) not in seen:
+                seen.add(own)
+                i, j = np.triu_indices(len(members), 1)
+                paired.append(members[i] * n + members[j])
+            continue
+        (h, t), (h2, t2) = (_ends(min(side), max(side), min(back), max(back), min(map(len, side)))
+                            for side, back in ((side, [x[::-1] for x in side]) for side in (xs, ys)))
+        p, q, *_ = _place(place[0])
+        xs, ys = [x[h:len(x) - t] for x in xs], [y[h2:len(y) - t2] for y in ys]
+        if not any(xs) or p != q and not any(ys):
+            continue  # another signature has them
+        if _is_short(xs[0], ys[0], place[0]):
+            first: dict[str, int] = {}
+            for wanted in (0, 1):
+                for i, c, k, x, y in zip(who, place, allowed, xs, ys):
+                    if c & 1 == wanted:
+                        for v in variants(x, y, c, k):
+                            j = first.get(v, i) if wanted else first.setdefault(v, i)
+                            if i != j:
+                                found.add(min(i, j) * n + max(i, j))
+            continue
+        key, row, new, side = _finer(xs, ys, place, allowed, np.zeros(len(xs), np.uint64))
+        order = np.argsort(key, kind="stable")
+        cuts = np.flatnonzero(np.diff(key[order])) + 1
+        for group in np.split(order, cuts):
+            rows = row[group].tolist()
+            if len({who[r] for r in rows}) > 1 and not (new[group] & 1).all():
+                parts = [_finer_parts(xs[r], ys[r], place[r], c, d)
+                         for r, c, d in zip(rows, new[group].tolist(), side[group].tolist())]
+                todo.append(([who[r] for r in rows], new[group].tolist(), [allowed[r] for r in rows],
+                             [x for x, _ in parts], [y for _, y in parts]))
+    pairs = np.unique(np.concatenate([np.array(sorted(found), np.int64), *paired]))
+    return pairs // n, pairs % n
 
 
 def _set_pairs(lines: list[str], fine: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -498,7 +614,8 @@ def candidate_sets(sigs: DataFrame) -> DataFrame:
 
     Rows arrive sorted by signature, so a set is a run; a run is held as its
     distinct ids only.  A run of over ``GIANT`` lines is not held: it goes on
-    as it arrives, under its signature and with ``n`` of GIANT + 1.
+    as it arrives, under its signature and with ``n`` of GIANT + 1.  Sets of
+    more lines than a task takes (``_most``) carry that ``n`` too.
     """
     parts = (sigs.withColumn("key", F.shiftrightunsigned("sig", 1)).repartition("key").drop("key")
              .sortWithinPartitions(F.shiftrightunsigned("sig", 1), "sig", "id"))
@@ -515,12 +632,12 @@ def candidate_sets(sigs: DataFrame) -> DataFrame:
             indexed = (sig[new] & np.uint64(1)) == 0
             use = (size > 1) & indexed
             s_out, n_out, i_out = [], [], []
-            for s, n in zip(new[use].tolist(), size[use].tolist()):
+            for s, n, power in zip(new[use].tolist(), size[use].tolist(), (key[new[use]] & np.uint64(31)).tolist()):
                 m = np.unique(ids[s:s + n])
                 if len(m) > 1:
                     h = xxhash.xxh64_intdigest(m.tobytes())
                     s_out.append(np.full(len(m), h, np.uint64).view(np.int64))
-                    n_out.append(np.full(len(m), len(m), np.int64))
+                    n_out.append(np.full(len(m), len(m) if len(m) <= _most(power) else GIANT + 1, np.int64))
                     i_out.append(m)
             if s_out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (s_out, n_out, i_out)],
@@ -616,93 +733,183 @@ def _verified(members: DataFrame, fine: bool) -> DataFrame:
     return parts.mapInArrow(run, "a string, b string")
 
 
-def _hung_links(places: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) of line keys under signatures with many lines, by variants: no pairs are written.
+def _crowded(rows: str = "rows", key: str = "sig_key"):
+    """Whether a signature with so many rows (two a line at most) holds more lines than are paired."""
+    points = f"shiftright({POINTS}L, cast({key} & 31 as int) + 1)"
+    return F.expr(f"{rows} > 2 * least({RUN}, greatest(2, {points}))")
 
-    What all lines of a signature share at the ends of their open parts comes
-    from minima and maxima (combined map-side); the rows of variants are dealt
-    out by signature and variant.
-    """
-    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sig_key, ids, place, line = (b.column(i) for i in range(4))
-            lines, places_ = line.to_pylist(), place.to_pylist()
-            parts = [_open_parts(t, c) for t, c in zip(lines, places_)]
-            allowed = [int(edits_allowed(len(t) - _place(c)[2])) for t, c in zip(lines, places_)]
-            yield pa.RecordBatch.from_arrays(
-                [sig_key, ids, place, pa.array(allowed, pa.int32()), pa.array([x for x, _ in parts], pa.string()),
-                 pa.array([y for _, y in parts], pa.string())], names=["sig_key", "id", "place", "allowed", "x", "y"])
-
-    parts = written(places.join(texts, F.col("id") == F.col("lid")).select("sig_key", "id", "place", "line").mapInArrow(
-        opened, "sig_key long, id long, place long, allowed int, x string, y string"), "line-parts")
-    ends = parts.groupBy("sig_key").agg(F.first("place").alias("place"), *[
-        f(e).alias(f"{c}{i}") for c in "xy" for i, (f, e) in enumerate([
-            (F.min, F.col(c)), (F.max, F.col(c)), (F.min, F.reverse(c)), (F.max, F.reverse(c)),
-            (F.min, F.length(c)), (F.max, F.length(c))])])
-
-    def cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for key, place, *v in zip(*(c.to_pylist() for c in b.columns)):
-                (h, t), (h2, t2) = _ends(*v[:5]), _ends(*v[6:11])
-                p, q, *_ = _place(place)
-                if v[5] > h + t and (p == q or v[11] > h2 + t2):  # otherwise another signature has them
-                    out.append((key, h, t, h2, t2))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)] if out else
-                                             [pa.array([], pa.int64())] * 5, names=["cut_key", "h", "t", "h2", "t2"])
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
 
-        for b in batches:
-            v, probe, own = [], [], []
-            for key, i, place, allowed, x, y, h, t, h2, t2 in zip(*(c.to_pylist() for c in b.columns)):
-                for u in variants(x[h:len(x) - t], y[h2:len(y) - t2], place, allowed):
-                    v.append(xxhash.xxh64_intdigest(f"{key}|{u}"))
-                    probe.append(place & 1)
-                    own.append(i)
-                if len(v) >= 200_000:
-                    yield rows(v, probe, own)
-                    v, probe, own = [], [], []
-            yield rows(v, probe, own)
+_OPEN = "sig_key long, id long, place long, allowed int, x string, y string"
+
+
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The open parts of lines: rows sig_key, id, place, line."""
+    for b in batches:
+        allowed, xs, ys = [], [], []
+        for place, line in zip(b.column(2).to_pylist(), b.column(3)):
+            line = line.as_py()
+            x, y = _open_parts(line, place)
+            allowed.append(int(edits_allowed(len(line) - _place(place)[2])))
+            xs.append(x)
+            ys.append(y)
+        yield pa.RecordBatch.from_arrays(
+            [b.column(0), b.column(1), b.column(2), pa.array(allowed, pa.int32()), pa.array(xs, pa.string()),
+             pa.array(ys, pa.string())], names=["sig_key", "id", "place", "allowed", "x", "y"])
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How much of its open parts a signature's lines share in front and behind; none where another signature has them."""
+    for b in batches:
+        out = []
+        for key, place, *v in zip(*(c.to_pylist() for c in b.columns)):
+            (h, t), (h2, t2) = _ends(*v[:5]), _ends(*v[6:11])
+            p, q, *_ = _place(place)
+            if v[5] > h + t and (p == q or v[11] > h2 + t2):
+                out.append((key, h, t, h2, t2))
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)] if out else
+                                         [pa.array([], pa.int64())] * 5, names=["cut_key", "h", "t", "h2", "t2"])
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Variants of short open parts as hashes."""
+    import xxhash
 
     def rows(v, probe, own):
         return pa.RecordBatch.from_arrays([pa.array(np.array(v, np.uint64).view(np.int64)), pa.array(probe, pa.int32()),
                                            pa.array(own, pa.int64())], names=["v", "probe", "id"])
 
-    def hung(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, centre = None, None  # the run that goes on: its variant and its first indexed line
-        for b in batches:
-            if not b.num_rows:
-                continue
-            v, probe, ids = (c.to_numpy(zero_copy_only=False) for c in b.columns)
-            new = np.r_[last is None or v[0] != last, v[1:] != v[:-1]]
-            starts = np.flatnonzero(new)
-            run = np.cumsum(new)  # 0: still the run before
-            to = np.r_[0 if centre is None else centre, ids[starts]]
-            has = np.r_[centre is not None, probe[starts] == 0]
-            ok = has[run] & (to[run] != ids)
-            last, centre = v[-1], (to[-1] if has[-1] else None)
-            yield pa.RecordBatch.from_arrays([pa.array(to[run][ok]), pa.array(ids[ok])], names=["i", "j"])
-
-    cut = ends.mapInArrow(cuts, "cut_key long, h long, t long, h2 long, t2 long")
-    dealt = (parts.join(cut, F.col("sig_key") == F.col("cut_key"))
-             .select("sig_key", "id", "place", "allowed", "x", "y", "h", "t", "h2", "t2")
-             .mapInArrow(keyed, "v long, probe int, id long").repartition("v").sortWithinPartitions("v", "probe", "id"))
-    pairs = (dealt.mapInArrow(hung, "i long, j long").select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
-             .distinct())
-    left, right = (texts.select(F.col("lid").alias(f"lid_{c}"), F.col("key").alias(c), F.col("line").alias(f"line_{c}"))
-                   for c in "ab")
-    found = (pairs.join(left, F.col("i") == F.col("lid_a")).join(right, F.col("j") == F.col("lid_b"))
-             .select("a", "b", "line_a", "line_b"))
+    for b in batches:
+        v, probe, own = [], [], []
+        for key, i, place, allowed, x, y in zip(*(c.to_pylist() for c in b.columns[:6])):
+            for u in variants(x, y, place, allowed):
+                v.append(xxhash.xxh64_intdigest(f"{key}|{u}"))
+                probe.append(place & 1)
+                own.append(i)
+            if len(v) >= 200_000:
+                yield rows(v, probe, own)
+                v, probe, own = [], [], []
+        yield rows(v, probe, own)
+
+
+def _hang(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each line of a variant on its first indexed line; rows arrive sorted."""
+    last, centre = None, None  # the run that goes on: its variant and its first indexed line
+    for b in batches:
+        if not b.num_rows:
+            continue
+        v, probe, ids = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+        new = np.r_[last is None or v[0] != last, v[1:] != v[:-1]]
+        starts = np.flatnonzero(new)
+        run = np.cumsum(new)  # 0: still the run before
+        to = np.r_[0 if centre is None else centre, ids[starts]]
+        has = np.r_[centre is not None, probe[starts] == 0]
+        ok = has[run] & (to[run] != ids)
+        last, centre = v[-1], (to[-1] if has[-1] else None)
+        yield pa.RecordBatch.from_arrays([pa.array(to[run][ok]), pa.array(ids[ok])], names=["i", "j"])
+
+
+def _split_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The finer signatures of long open parts, some HELD code points at a time."""
+    def out(rows):
+        key, ids, place, allowed, xs, ys = (list(c) for c in zip(*rows))
+        to, who, new, side = _finer(xs, ys, place, allowed, np.array(key, np.int64).view(np.uint64))
+        columns = [np.array(key, np.int64)[who], np.array(ids, np.int64)[who], np.array(place, np.int64)[who], to, new, side]
+        for s in range(0, len(to), 500_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c[s:s + 500_000]) for c in columns],
+                                             names=["own_key", "own_id", "own_place", "sig_key", "new", "side"])
+
+    rows, held = [], 0
+    for b in batches:
+        for row in zip(*b.columns[:6]):
+            rows.append(tuple(c.as_py() for c in row))
+            held += len(rows[-1][4]) + len(rows[-1][5]) + 100
+            if held >= HELD:
+                yield from out(rows)
+                rows, held = [], 0
+    if rows:
+        yield from out(rows)
+
+
+def _reopened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The open parts of a finer round: rows sig_key, id, place, new, side, allowed, x, y."""
+    for b in batches:
+        parts = [_finer_parts(x.as_py(), y.as_py(), *n) for *n, x, y in zip(
+            *(b.column(i).to_pylist() for i in (2, 3, 4)), b.column(6), b.column(7))]
+        yield pa.RecordBatch.from_arrays(
+            [b.column(0), b.column(1), b.column(3), b.column(5), pa.array([x for x, _ in parts], pa.string()),
+             pa.array([y for _, y in parts], pa.string())], names=["sig_key", "id", "place", "allowed", "x", "y"])
+
+
+def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b, line_a, line_b) within the allowed edits, some HELD code points at a time."""
+    for b in batches:
+        ok, todo, held = [], [], 0
+        for x, y in zip(b.column(2), b.column(3)):
+            x, y = _codes(x.as_py()), _codes(y.as_py())
+            todo.append((x, y, int(edits_allowed(min(len(x), len(y))))))
+            held += len(x) + len(y)
+            if held >= HELD:
+                ok += within_edits(todo).tolist()
+                todo, held = [], 0
+        ok += within_edits(todo).tolist()
+        yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in b.columns[:2]], names=["a", "b"])
 
-    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = within_edits([(_codes(x), _codes(y), int(edits_allowed(min(len(x), len(y)))))
-                               for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())])
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok)) for c in b.columns[:2]], names=["a", "b"])
 
-    return found.mapInArrow(checked, "a string, b string")
+def _hung_links(places: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) of line keys under signatures with many lines, without pairs of all of them.
+
+    A round cuts off what all lines of a signature share at the ends of their
+    open parts (minima and maxima, combined map-side).  Short parts give
+    variants, dealt out by signature and variant.  Long parts give finer
+    signatures; those that few lines share end as candidate sets, the others
+    make the next round, on parts of a third at most.  Texts move only for
+    signatures that many lines share.
+    """
+    open_ = written(places.join(texts, F.col("id") == F.col("lid")).select("sig_key", "id", "place", "line")
+                    .mapInArrow(_opened, _OPEN), "line-parts")
+    hung, small = [], []
+    while True:
+        ends = open_.groupBy("sig_key").agg(F.first("place").alias("place"), *[
+            f(e).alias(f"{c}{i}") for c in "xy" for i, (f, e) in enumerate([
+                (F.min, F.col(c)), (F.max, F.col(c)), (F.min, F.reverse(c)), (F.max, F.reverse(c)),
+                (F.min, F.length(c)), (F.max, F.length(c))])])
+        cut = ends.mapInArrow(_cut, "cut_key long, h long, t long, h2 long, t2 long")
+        long = F.expr(
+            f"length(x) - if(place div {32 * FINE} = place div 32 % {FINE}, place % 32 div 8, place % 8 div 2 - 1) > {SHORT}"
+            f" or place div {32 * FINE} <> place div 32 % {FINE}"
+            f" and length(y) - (place % 32 div 8 - (place % 8 div 2 - 1)) > {SHORT}")
+        parts = written(open_.join(cut, F.col("sig_key") == F.col("cut_key")).select(
+            "sig_key", "id", "place", "allowed", F.expr("substring(x, cast(h + 1 as int), cast(length(x) - h - t as int))").alias("x"),
+            F.expr("substring(y, cast(h2 + 1 as int), cast(length(y) - h2 - t2 as int))").alias("y")).withColumn("long", long),
+            "line-parts")
+        hung.append(parts.where("not long").mapInArrow(_keyed, "v long, probe int, id long")
+                    .repartition("v").sortWithinPartitions("v", "probe", "id").mapInArrow(_hang, "i long, j long"))
+        more = parts.where("long")
+        if more.isEmpty():
+            break
+        finer = written(more.mapInArrow(
+            _split_again, "own_key long, own_id long, own_place long, sig_key long, new long, side long"), "line-finer")
+        groups = (finer.groupBy(F.col("sig_key").alias("to")).agg(F.count(F.lit(1)).alias("rows"), F.min(F.col("new") % 2).alias("p"))
+                  .where("rows > 1 and p = 0").select("to", _crowded(key="to").alias("crowded")))
+        kept = written(finer.join(groups, F.col("sig_key") == F.col("to")), "line-finer")
+        small.append(kept.where("not crowded").select(
+            F.expr("shiftleft(sig_key, 1) | (new & 1)").alias("sig"), F.col("own_id").alias("id")))
+        open_ = written(kept.where("crowded").join(more, (F.col("own_key") == more["sig_key"]) & (F.col("own_id") == more["id"])
+                                                   & (F.col("own_place") == more["place"]))
+                        .select(kept["sig_key"], "id", "place", "new", "side", "allowed", "x", "y")
+                        .mapInArrow(_reopened, _OPEN), "line-parts")
+    pairs = hung[0]
+    for more in hung[1:]:
+        pairs = pairs.union(more)
+    pairs = pairs.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct()
+    left, right = (texts.select(F.col("lid").alias(f"lid_{c}"), F.col("key").alias(c), F.col("line").alias(f"line_{c}"))
+                   for c in "ab")
+    links = (pairs.join(left, F.col("i") == F.col("lid_a")).join(right, F.col("j") == F.col("lid_b"))
+             .select("a", "b", "line_a", "line_b").mapInArrow(_checked, "a string, b string"))
+    for sigs in small:
+        sets = cut_lineage(candidate_sets(sigs))
+        links = links.union(_verified(sets.join(texts, F.col("id") == F.col("lid")), True))
+    return links
 
 
 def similar_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -715,7 +922,7 @@ def similar_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
         lines = cut_lineage(_with_text(giant, docs, text_col).dropDuplicates(["key"]))
         places = cut_lineage(signatures(lines.select("line"), "fine", False).withColumn(
             "sig_key", F.shiftrightunsigned("sig", 1)))
-        hot = cut_lineage(places.groupBy("sig_key").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > 2 * RUN)
+        hot = cut_lineage(places.groupBy("sig_key").agg(F.count(F.lit(1)).alias("rows")).where(_crowded())
                           .select("sig_key"))
         texts = lines.select(F.col("id").alias("lid"), "key", "line")
         again = cut_lineage(candidate_sets(places.join(hot, "sig_key", "left_anti").select("sig", "id")))

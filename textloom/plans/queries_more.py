@@ -14,6 +14,7 @@ from ..operators import sample as smp
 from ..operators import stats as st
 from ..operators import unigram as ug
 from ..operators.udf import generate_greedy
+from ..operators.table_functions import register_table_functions
 from ..sources.tables import table
 from .corpus import byte_chunks
 from .queries_text import A03_SQL
@@ -204,3 +205,42 @@ def e11(spark, sf):
     g = generate_greedy(prompts, counts, 16)
     return g.select("conv_id", "turn", F.size("generated").alias("n_generated"),
                     F.aggregate("generated", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("gen_sum"))
+
+
+# ------------------------------------------------- D06: table functions called from SQL
+
+D06_LINES_SQL = """
+SELECT doc_id, CAST(i - 1 AS BIGINT) AS line_no, p[i] AS line
+FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents WHERE text IS NOT NULL), unnest(range(1, len(p) + 1)) AS r(i)
+"""
+
+D06_CHUNKS_SQL = """
+SELECT doc_id, CAST(i AS BIGINT) AS chunk_no, substr(text, CAST(i AS BIGINT) * 500 + 1, 500) AS chunk
+FROM documents, unnest(range(0, (length(text) + 499) // 500)) AS r(i)
+"""
+
+D06_WINDOWS_SQL = """
+SELECT doc_id, CAST(greatest(i + 256 - 1024, 0) AS BIGINT) AS start, CAST(least(i + 256, n) AS BIGINT) AS stop,
+       CAST(least(i + 256, n) - i AS BIGINT) AS n_target
+FROM (SELECT doc_id, octet_length(encode(text)) AS n FROM documents), unnest(range(0, n, 256)) AS r(i)
+"""
+
+
+def _called(spark, sf_dir, columns, call):
+    register_table_functions(spark)
+    return spark.sql(f"SELECT d.doc_id, {columns} FROM {{docs}} d, LATERAL {call} f", docs=table(spark, sf_dir, "documents"))
+
+
+@query("d06_sql_text_lines", D06_LINES_SQL)
+def d06_sql_text_lines(spark, sf_dir):
+    return _called(spark, sf_dir, "f.line_no, f.line", "text_lines(d.text)")
+
+
+@query("d06_sql_text_chunks", D06_CHUNKS_SQL)
+def d06_sql_text_chunks(spark, sf_dir):
+    return _called(spark, sf_dir, "f.chunk_no, f.chunk", "text_chunks(d.text, 500)")
+
+
+@query("d06_sql_score_windows", D06_WINDOWS_SQL)
+def d06_sql_score_windows(spark, sf_dir):
+    return _called(spark, sf_dir, "f.start, f.stop, f.n_target", "score_windows(octet_length(d.text), 1024, 256)")

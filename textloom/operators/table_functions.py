@@ -14,10 +14,10 @@ _FUNCTIONS = {
     # null gives no line, an empty text one empty line
     "text_lines(t STRING) RETURNS TABLE (line_no BIGINT, line STRING)":
         r"transform(split(t, '\n'), (x, i) -> named_struct('line_no', cast(i AS BIGINT), 'line', x))",
-    # pieces of size code points, the last one may be shorter; null and empty texts give none
+    # pieces of size code points, the last one may be shorter; null and empty texts give none (one pass over a text)
     "text_chunks(t STRING, size INT) RETURNS TABLE (chunk_no BIGINT, chunk STRING)":
-        "transform(if(length(t) > 0, sequence(0, cast((length(t) - 1) div size AS INT)), cast(array() AS ARRAY<INT>)), "
-        "i -> named_struct('chunk_no', cast(i AS BIGINT), 'chunk', substring(t, i * size + 1, size)))",
+        "transform(regexp_extract_all(t, concat('(?s).{1,', size, '}'), 0), "
+        "(x, i) -> named_struct('chunk_no', cast(i AS BIGINT), 'chunk', x))",
     # windows of strided scoring: tokens start to stop are read, the last n_target of them are scored
     "score_windows(n BIGINT, max_length BIGINT, stride BIGINT) RETURNS TABLE (start BIGINT, stop BIGINT, n_target BIGINT)":
         "transform(if(n > 0, sequence(0L, n - 1, stride), cast(array() AS ARRAY<BIGINT>)), "

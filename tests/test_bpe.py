@@ -205,3 +205,53 @@ def test_presets_and_long_lines(spark):
     kept = {x.word: x.cnt for x in bpe.sp_words_table(d)[0].collect()}
     assert kept["▁word"] == 5000 and kept["▁x"] == 1
     assert "▁word" not in {x.word for x in bpe.sp_words_table(d, long_lines="skip")[0].collect()}
+
+
+def test_driver_gets_no_more_than_it_keeps(spark):
+    from pyspark.sql import functions as F
+
+    from textloom.operators import speculate as sp
+
+    rows = [(f"w{i}", [f"s{i}", f"s{i % 7}"], i % 97 + 1) for i in range(4000)]
+    words = spark.createDataFrame(rows, "word string, symbols array<string>, cnt long").repartition(40)
+    got = sp.frequent(words, 200)
+    assert 0 < len(got) <= 200 + 40 and min(c for _, c in got) > 80
+    pairs = spark.createDataFrame([(a, b, c) for _, (a, b), c in rows], "l string, r string, cnt long")
+    counts, floor = sp.leading(pairs, 300)
+    assert len(counts) <= 600 + sp.BUCKETS
+    assert {p: c for p, c in counts.items() if c > floor} == {(a, b): c for _, (a, b), c in rows if c > floor}
+    assert max(counts.items(), key=lambda x: x[1])[1] == 97
+    assert sp.leading(pairs.where(F.lit(False)), 300) == ({}, 0) and sp.leading(pairs, 10_000)[1] == 0
+
+
+def test_merges_of_a_batch_equal_word_by_word():
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    from textloom.operators import speculate as sp
+
+    for seed in range(200):
+        rng = random.Random(seed)
+        words = [([rng.choice("abc") for _ in range(rng.randint(0, 9))], rng.randint(1, 9)) for _ in range(rng.randint(0, 20))]
+        names: dict = {}
+        w = sp._Words(pa.array([s for s, _ in words], pa.list_(pa.string())), np.array([c for _, c in words], np.int64), names)
+        for pair in [("a", "a"), ("a", "b"), ("aa", "aa"), ("ab", "c"), ("c", "c"), ("aa", "a")]:
+            before, got = collections.Counter(), collections.Counter()
+            for s, c in words:
+                for p in zip(s, s[1:]):
+                    before[p] -= c
+            words = [(sp.merge_once(s, pair), c) for s, c in words]
+            for s, c in words:
+                for p in zip(s, s[1:]):
+                    before[p] += c
+            text = list(names)
+            for x, y, d in w.merge(pair, True):
+                text = list(names)
+                for i, j, n in zip(x.tolist(), y.tolist(), d.tolist()):
+                    got[text[i], text[j]] += n
+            assert {p: n for p, n in got.items() if n} == {p: n for p, n in before.items() if n}
+            text = list(names)
+            flat = [text[i] if i >= 0 else None for i in w.of.tolist()]
+            assert flat == [None] + [x for s, _ in words for x in [*s, None]]

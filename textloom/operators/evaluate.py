@@ -26,6 +26,10 @@ from ..session import cut_lineage
 MAX_TABLE_PAIRS = 1 << 22
 #: Tokens of a block of sequences; a block and its distinct pairs (24 bytes a token at most) are one task's group.
 BLOCK_TOKENS = 1 << 20
+#: Tokens that a task counts at a time, and distinct pairs that it holds at most.
+COUNTED_TOKENS = 1 << 20
+#: Sequences whose windows a task holds at a time.
+SCORED_ROWS = 256
 
 
 def _c(col) -> Column:
@@ -41,32 +45,47 @@ def stride_windows(n, max_length: int = 2048, stride: int = 512) -> Column:
     return F.transform(starts, lambda b: F.struct(b.alias("begin"), F.least(b + max_length, nn).alias("end")))
 
 
-def _count_pairs(ids: str):
-    import numpy as np
-    import pandas as pd
+def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of a task's sequences, counted ``COUNTED_TOKENS`` tokens at a time whatever the batches hold."""
+    codes, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def run(it):
-        for pdf in it:
-            arrs = [np.asarray(a, dtype=np.int64) for a in pdf[ids] if a is not None and len(a) > 1]
-            if not arrs:
-                continue
-            prev = np.concatenate([a[:-1] for a in arrs])
-            tok = np.concatenate([a[1:] for a in arrs])
-            codes, cnt = np.unique((prev << 32) | tok, return_counts=True)
-            yield pd.DataFrame({"prev": (codes >> 32).astype(np.int32),
-                                "tok": (codes & 0xFFFFFFFF).astype(np.int32), "cnt": cnt.astype(np.int64)})
-    return run
+    def rows():
+        return pa.RecordBatch.from_arrays([pa.array((codes >> 32).astype(np.int32)), pa.array((codes & 0xFFFFFFFF).astype(np.int32)),
+                                           pa.array(counts)], names=["prev", "tok", "cnt"])
+
+    for b in batches:
+        tokens, ends = _flat(b.column(0))
+        begins = np.zeros(len(tokens) + 1, bool)
+        begins[ends] = True
+        for at in range(0, len(tokens) - 1, COUNTED_TOKENS):
+            part = tokens[at:at + COUNTED_TOKENS + 1]
+            new, n = np.unique(_codes(part)[~begins[at + 1:at + len(part)]], return_counts=True)
+            both, where = np.unique(np.concatenate([codes, new]), return_inverse=True)
+            sums = np.zeros(len(both), np.int64)
+            sums[where[:len(codes)]] = counts
+            sums[where[len(codes):]] += n
+            codes, counts = both, sums
+            if len(codes) > COUNTED_TOKENS:
+                yield rows()
+                codes, counts = codes[:0], counts[:0]
+    if len(codes):
+        yield rows()
+
+
+def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of all sequences as one array, and where each ends; a null is empty."""
+    return lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(lists.value_lengths().fill_null(0).to_numpy(), dtype=np.int64)
 
 
 def ngram_counts(seqs: DataFrame, ids: str = "input_ids", vectorized: bool = True) -> DataFrame:
     """Bigram counts ``(prev, tok, cnt)``.
 
-    ``vectorized``: each Arrow batch of sequences is reduced to its distinct
-    pairs with numpy inside the task (no row per token), then Spark sums the
-    partial counts (one shuffle bounded by the number of distinct pairs).
+    ``vectorized``: a task's sequences are reduced to their distinct pairs with
+    numpy (no row per token), then Spark sums the partial counts (one shuffle
+    bounded by the number of distinct pairs).
     Otherwise pairs are exploded and counted with a plain aggregate."""
     if vectorized:
-        part = seqs.select(ids).mapInPandas(_count_pairs(ids), "prev int, tok int, cnt long")
+        part = seqs.select(ids).mapInArrow(_count_pairs, "prev int, tok int, cnt long")
         return part.groupBy("prev", "tok").agg(F.sum("cnt").alias("cnt"))
     s = F.col(ids)
     n1 = F.greatest(F.size(s) - 1, F.lit(0))
@@ -183,13 +202,14 @@ def score_windows(seqs: DataFrame, scorer, key: list[str], max_length: int = 204
     schema = ", ".join(f"`{c}` {t}" for c, t in types.items()) + ", n long, begin long, end long, loss double, trg_len long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x.slice(i, SCORED_ROWS) for x in batches for i in range(0, x.num_rows, SCORED_ROWS)):
             rows, cols = [], [[] for _ in extra]
-            for r, seq in enumerate(b.column(len(key)).to_pylist()):
-                n = len(seq or ())
+            tokens, ends = _flat(b.column(len(key)))
+            for r, seq in enumerate(np.split(tokens, ends[:-1])):
+                n = len(seq)
                 if n < 2:
                     continue
-                begin, end, total, count = _windows(scorer(np.asarray(seq)), n, max_length, stride, mode)
+                begin, end, total, count = _windows(scorer(seq), n, max_length, stride, mode)
                 rows += [r] * len(begin)
                 for c, v in zip(cols, (np.full(len(begin), n), begin, end, total / count, end - begin)):
                     c.extend(v.tolist())

@@ -10,6 +10,7 @@ the seed's size), prunes the least used and normalises.
 from __future__ import annotations
 
 import math
+import sys
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,6 +26,9 @@ from .bpe import PRESETS, dealt_out, sp_words_table
 # The four control entries, in id order.
 CONTROL = ["<pad>", "<s>", "</s>", "<unk>"]
 
+#: Words whose best path a task remembers; texts that are Python lists at a time.
+WORDS_HELD, TEXTS_HELD = 100_000, 64
+
 
 @dataclass
 class UnigramModel:
@@ -183,14 +187,14 @@ def encode(docs: DataFrame, model: UnigramModel, key: list[str], text: str = "te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         class Known(dict):
             def __missing__(self, word):
-                if len(self) >= 500_000:
+                if len(self) >= WORDS_HELD:
                     self.clear()
                 sym = [s for ch in word for s in ([ch] if ch in scores else [f"<0x{x:02X}>" for x in ch.encode()])]
-                v = self[word] = best_path(sym, scores, longest, unknown)
+                v = self[word] = [sys.intern(p) for p in best_path(sym, scores, longest, unknown)]
                 return v
 
         known = Known()
-        for b in batches:
+        for b in (x.slice(i, TEXTS_HELD) for x in batches for i in range(0, x.num_rows, TEXTS_HELD)):
             pieces = [[p for w in words or () for p in known[w]] for words in b.column(len(key)).to_pylist()]
             out = [[ids.get(p, UNK_ID) for p in ps] for ps in pieces]
             if specials:

@@ -255,3 +255,47 @@ def test_merges_of_a_batch_equal_word_by_word():
             text = list(names)
             flat = [text[i] if i >= 0 else None for i in w.of.tolist()]
             assert flat == [None] + [x for s, _ in words for x in [*s, None]]
+
+
+def test_words_keep_their_symbols_through_many_merges():
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    from textloom.operators import speculate as sp
+
+    for seed in range(100):
+        rng = random.Random(seed)
+        words = [[rng.choice(["a", "b", "ab", "c"]) for _ in range(rng.randint(0, 12))] for _ in range(rng.randint(0, 20))]
+        merges = [("a", "a"), ("a", "b"), ("b", "ab"), ("ab", "ab"), ("aa", "b"), ("bab", "c"), ("abab", "abab"), ("c", "ab"), ("ab", "c")]
+        rng.shuffle(merges)
+        w = sp.merged(pa.array(words, pa.list_(pa.string())), pa.array([1] * len(words), pa.int64()), {}, merges)
+        apart = w.copy()
+        assert apart.merge(("c", "c"), False) == [] and len(apart.of) <= len(w.of)
+        for m in merges:
+            words = [sp.merge_once(s, m) for s in words]
+        assert w.symbols().to_pylist() == words
+
+
+def test_changes_told_by_tasks_order_the_next_round(spark):
+    """Trial words that know nothing of the others: what all words told in one round leads the next."""
+    import random
+
+    rng = random.Random(7)
+    syllables = [a + b for a in "bcdfghklmnprst" for b in "aeiou"]
+    rows = [("".join(rng.choices(syllables, weights=range(1, 71), k=rng.randint(1, 5))),) for _ in range(4000)]
+    docs = spark.createDataFrame(rows, "text string").repartition(3)
+    want = _brute_force([(r.symbols, r.cnt) for r in bpe.words_table(docs).collect()], 360 - 263)
+    m = bpe.train_bpe(docs, vocab_size=360, tried=30)
+    assert [(r.l, r.r) for r in m.merges.orderBy("rank").collect()] == want and m.rounds <= 15, m.rounds
+
+
+def test_followed_pairs_keep_to_their_bound():
+    from textloom.operators import speculate as sp
+
+    counts = {("a", str(i)): i for i in range(1, 101)}
+    kept, floor = sp.followed_only(counts, 0, 10)
+    assert kept == {p: c for p, c in counts.items() if c > floor} and 0 < len(kept) <= 10
+    assert sp.followed_only(dict.fromkeys(counts, 5), 2, 10) == (dict.fromkeys(counts, 5), 2)
+    assert sp.followed_only(counts, 3, 100) == (counts, 3)

@@ -28,6 +28,8 @@ CONTROL = ["<pad>", "<s>", "</s>", "<unk>"]
 
 #: Words whose best path a task remembers; texts that are Python lists at a time.
 WORDS_HELD, TEXTS_HELD = 100_000, 64
+#: Words in a task of a round.
+WORDS_PER_TASK = 10_000
 
 
 @dataclass
@@ -150,7 +152,7 @@ def train_unigram(corpus: DataFrame, vocab_size: int, text: str = "text", covera
     if preset is not None and PRESETS[preset]["model"] != "unigram":
         raise ValueError(f"preset {preset!r} trains a {PRESETS[preset]['model']} model")
     words, alphabet = sp_words_table(corpus, text, coverage)
-    words = dealt_out(words.select("word", "cnt", "symbols"))
+    words = dealt_out(words.select("word", "cnt", "symbols"), WORDS_PER_TASK)
     if len(CONTROL) + len(alphabet) >= vocab_size:
         raise ValueError(f"the alphabet alone has {len(alphabet)} entries; ask for a larger vocabulary than {vocab_size}")
     room = vocab_size - len(CONTROL) - len(alphabet)

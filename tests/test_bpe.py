@@ -299,3 +299,13 @@ def test_followed_pairs_keep_to_their_bound():
     assert kept == {p: c for p, c in counts.items() if c > floor} and 0 < len(kept) <= 10
     assert sp.followed_only(dict.fromkeys(counts, 5), 2, 10) == (dict.fromkeys(counts, 5), 2)
     assert sp.followed_only(counts, 3, 100) == (counts, 3)
+
+
+def test_told_changes_order_proposals():
+    from textloom.operators import speculate as sp
+
+    counts = {("a", "b"): 10, ("c", "d"): 9, ("e", "f"): 8}
+    trial = sp.Trial([(["a", "b"], 1), (["c", "d"], 1)])
+    told = {("a", "b"): [(("a", "b"), -10), (("c", "d"), -5), (("ab", "e"), 6)]}
+    assert trial.propose(counts, set("abcdef"), 9, 0, told)[:4] == [("a", "b"), ("e", "f"), ("ab", "e"), ("c", "d")]
+    assert trial.propose(counts, set("abcdef"), 9, 0)[:2] == [("a", "b"), ("c", "d")]

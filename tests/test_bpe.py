@@ -2,6 +2,7 @@
 
 import collections
 import os
+import random
 import tempfile
 
 import pytest
@@ -309,3 +310,30 @@ def test_told_changes_order_proposals():
     told = {("a", "b"): [(("a", "b"), -10), (("c", "d"), -5), (("ab", "e"), 6)]}
     assert trial.propose(counts, set("abcdef"), 9, 0, told)[:4] == [("a", "b"), ("e", "f"), ("ab", "e"), ("c", "d")]
     assert trial.propose(counts, set("abcdef"), 9, 0)[:2] == [("a", "b"), ("c", "d")]
+
+
+def test_sequences_of_ids_equal_lists_and_take_little_more_than_themselves():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    plain = {f"w{i}": [rng.randrange(7, 300) for _ in range(rng.randint(0, 5))] for i in range(50)}
+    known = {w: np.array(x, np.int32) for w, x in plain.items()}
+    texts = [None, []] + [[rng.choice(list(plain)) for _ in range(rng.randint(0, 30))] for _ in range(40)] + [None]
+    held = pa.array(texts, pa.list_(pa.string()))
+    for room in (None, 0, 1, 7, 1000):
+        for specials in (True, False):
+            want = [[i for w in t or () for i in plain[w]][:room] for t in texts]
+            want = [[1, *x, 2] if specials else x for x in want]
+            assert bpe._sequences(held, known, room, specials).to_pylist() == want
+            assert bpe._sequences(held.slice(3, 9), known, room, specials).to_pylist() == want[3:12]
+    assert bpe._sequences(held.slice(0, 1), known, None, True).to_pylist() == [[1, 2]]
+    assert bpe._sequences(held.slice(0, 0), known, None, True).to_pylist() == []
+    many = pa.array([[rng.choice(list(plain)) for _ in range(400)] for _ in range(bpe.TEXTS_HELD)], pa.list_(pa.string()))
+    tracemalloc.start()
+    out = bpe._sequences(many, known, None, True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 * out.nbytes and peak < 16 << 20  # for a batch of 10,000 texts it was some hundred MB

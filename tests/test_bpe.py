@@ -337,3 +337,37 @@ def test_sequences_of_ids_equal_lists_and_take_little_more_than_themselves():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 12 * out.nbytes and peak < 16 << 20  # for a batch of 10,000 texts it was some hundred MB
+
+
+def test_words_merged_together_equal_one_at_a_time():
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdé \0") for _ in range(rng.randint(0, 14))) for _ in range(500)]
+    for _ in range(30):
+        symbols = [bpe.BYTE_DST[x] for x in "abcdé \0".encode()]
+        ranks = {}
+        for i in range(25):
+            pair = rng.choice(symbols), rng.choice(symbols)
+            if pair[0] + pair[1] not in symbols:
+                ranks[pair] = i
+                symbols.append(pair[0] + pair[1])
+        assert bpe.in_rank_order(ranks)
+        ids = {t: i for i, t in enumerate(symbols[2:], 10)}  # some are unknown
+        want = [[ids.get(t, bpe.UNK_ID) for t in bpe._bpe_word([bpe.BYTE_DST[x] for x in w.encode()], ranks)] for w in words]
+        assert [x.tolist() for x in bpe._merged_ids(words, sorted(ranks, key=ranks.get), ids)] == want
+    assert not bpe.in_rank_order({("a", "b"): 0, ("ab", "c"): 1, ("b", "c"): 2, ("a", "bc"): 3})  # abc twice
+    assert not bpe.in_rank_order({("ab", "c"): 0, ("a", "b"): 1})
+    assert bpe.in_rank_order({})
+
+
+def test_encoding_is_the_same_however_few_words_are_remembered(spark, monkeypatch):
+    d = spark.createDataFrame([(i, f"the thing {i % 7} is {'the' * (i % 5)} other thistle {i}") for i in range(60)] + [(99, None), (100, "")],
+                              "doc_id int, text string").coalesce(2)
+    m = bpe.train_bpe(d, vocab_size=290)
+    want = {r.doc_id: r.input_ids for r in bpe.encode(d, m, ["doc_id"]).collect()}
+    monkeypatch.setattr(bpe, "WORDS_HELD", 5)
+    monkeypatch.setattr(bpe, "TEXTS_MET", 7)
+    monkeypatch.setattr(bpe, "TEXTS_HELD", 3)
+    assert {r.doc_id: r.input_ids for r in bpe.encode(d, m, ["doc_id"]).collect()} == want
+    ranks, ids = bpe._tables(m).value
+    for r in bpe.words_table(d).collect():
+        assert bpe._merged_ids([r.word], sorted(ranks, key=ranks.get), ids)[0].tolist() == [ids[t] for t in bpe._bpe_word(r.symbols, ranks)]

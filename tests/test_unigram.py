@@ -55,3 +55,29 @@ def test_training_and_round_trip(spark):
         ug.train_unigram(d, 200)
     with pytest.raises(ValueError):
         ug.train_unigram(d, 320, preset="turbo")
+
+
+def test_expected_counts_of_many_words_together_equal_enumeration():
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    pool = [*"abc<0x41>", "<0x41>", "<0x42>"]
+    for _ in range(8):
+        pieces = {*rng.sample(pool, 8), *("".join(rng.choice(pool) for _ in range(rng.randint(2, 3))) for _ in range(12))}
+        scores = {p: math.log(rng.random() + 1e-6) for p in pieces}
+        words = [[], ["?", "a"], *([rng.choice(pool) for _ in range(rng.randint(1, 9))] for _ in range(40))]
+        counts = np.array([rng.randint(1, 9) for _ in words])
+        want: dict = {}
+        for sym, c in zip(words, counts):
+            all_ = list(paths(sym, scores)) if sym else []
+            w = [math.exp(sum(scores[p] for p in ps)) for ps in all_]
+            for ps, x in zip(all_, w):
+                for p in ps:
+                    want[p] = want.get(p, 0) + c * x / sum(w)
+        trie = ug._Trie(scores)
+        x, has = ug._expected(trie, pa.array(words, pa.list_(pa.string())), counts, 9)
+        got = {p: v for p, v, h in zip(trie.pieces, x, has) if h and v}
+        assert set(got) == set(want) and all(abs(got[p] - want[p]) < 1e-8 for p in want)

@@ -15,6 +15,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +30,7 @@ CONTROL = ["<pad>", "<s>", "</s>", "<unk>"]
 #: Words whose best path a task remembers; texts that are Python lists at a time.
 WORDS_HELD, TEXTS_HELD = 100_000, 64
 #: Words in a task of a round.
-WORDS_PER_TASK = 10_000
+WORDS_PER_TASK = 40_000
 
 
 @dataclass
@@ -48,25 +49,104 @@ def _lattice(sym: list[str], scores: dict, longest: int):
                 yield start, end, piece
 
 
-def _log_add(a: float, b: float) -> float:
-    if a < b:
-        a, b = b, a
-    return a if b == -math.inf else a + math.log1p(math.exp(b - a))
+class _Trie:
+    """The pieces by their characters: edges sorted by (node, symbol), and the piece that ends at a node.
+
+    A byte symbol is one edge for its six characters, as pieces are told apart by their spelling alone.
+    """
+
+    def __init__(self, scores: dict[str, float]):
+        self.pieces = list(scores)
+        self.scores = np.array([scores[p] for p in self.pieces])
+        nodes, edges = {"": 0}, {}
+        self.symbols: dict[str, int] = {}
+
+        def edge(a: str, symbol: str) -> None:
+            n = self.symbols.setdefault(symbol, len(self.symbols))
+            edges[nodes[a] << 32 | n] = nodes.setdefault(a + symbol, len(nodes))
+
+        for p in self.pieces:
+            for i, ch in enumerate(p):
+                edge(p[:i], ch)
+            for i in range(len(p) - 5):
+                if p[i:i + 3] == "<0x":
+                    edge(p[:i], p[i:i + 6])
+        self.keys = np.array(sorted(edges), np.int64)
+        self.to = np.array([edges[k] for k in self.keys.tolist()], np.int64)
+        self.ends = np.full(len(nodes), -1, np.int64)
+        for i, p in enumerate(self.pieces):
+            if p:
+                self.ends[nodes[p]] = i
+
+    def arcs(self, symbols: pa.ListArray, longest: int) -> tuple[np.ndarray, ...]:
+        """(start, end, piece) of every piece in the words, and the places where words begin and end.
+
+        A word of n symbols has n + 1 places; they are numbered through all words.
+        """
+        sizes = symbols.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+        codes = symbols.flatten().dictionary_encode()
+        known = np.array([self.symbols.get(x, -1) for x in codes.dictionary.to_pylist()], np.int64)
+        last = np.cumsum(sizes + 1) - 1
+        at = np.full(int(last[-1]) + 1 if len(last) else 0, -1, np.int64)
+        inside = np.ones(len(at), bool)
+        inside[last] = False
+        if len(known):
+            at[inside] = known[codes.indices.to_numpy()]
+        start, found = np.flatnonzero(at >= 0), []
+        node = np.zeros(len(start), np.int64)
+        for k in range(min(longest, int(sizes.max()) if len(sizes) else 0)):
+            key = node << 32 | at[start + k]  # at a word's end or an unknown symbol -1, which no edge has
+            place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            go = (self.keys[place] == key) if len(self.keys) else np.zeros(len(key), bool)
+            start, node = start[go], self.to[place[go]]
+            if not len(start):
+                break
+            piece = self.ends[node]
+            is_piece = piece >= 0
+            found.append((start[is_piece], start[is_piece] + k + 1, piece[is_piece]))
+        arcs = tuple(np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+        return *arcs, last - sizes, last
+
+
+def _sums_by_place(places: np.ndarray, step: np.ndarray, others: np.ndarray, weights: np.ndarray, logs: np.ndarray) -> None:
+    """``logs`` at ``places`` = log of the sums of exp(logs at ``others`` + weight), the arcs taken by ``step``, in place."""
+    order = np.argsort(step * len(logs) + places)
+    places, others, weights, step = places[order], others[order], weights[order], step[order]
+    cuts = np.flatnonzero(np.r_[True, step[1:] != step[:-1]]).tolist() + [len(step)] if len(step) else [0]
+    group = np.flatnonzero(np.r_[True, (places[1:] != places[:-1]) | (step[1:] != step[:-1])]) if len(step) else places
+    bounds = np.searchsorted(group, cuts)
+    for (a, b), (g, h) in zip(zip(cuts, cuts[1:]), zip(bounds, bounds[1:])):
+        x = logs[others[a:b]] + weights[a:b]
+        first = group[g:h] - a
+        most = np.maximum.reduceat(x, first)
+        most[np.isneginf(most)] = 0.0
+        sums = np.add.reduceat(np.exp(x - np.repeat(most, np.diff(np.r_[first, b - a]))), first)
+        logs[places[a + first]] = most + np.log(sums)
+
+
+def _expected(trie: _Trie, symbols: pa.ListArray, counts: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """By piece: posterior counts over all words (forward-backward, in step over the words), and whether a word has it."""
+    start, end, piece, begin, last = trie.arcs(symbols, longest)
+    n, size = len(trie.pieces), int(last[-1]) + 1 if len(last) else 0
+    fwd, bwd = np.full(size, -np.inf), np.full(size, -np.inf)
+    fwd[begin], bwd[last] = 0.0, 0.0
+    word = np.repeat(np.arange(len(last)), last - begin + 1)
+    of, weights = word[start], trie.scores[piece]
+    with np.errstate(divide="ignore"):
+        _sums_by_place(end, end - begin[of], start, weights, fwd)
+        _sums_by_place(start, last[of] - start, end, weights, bwd)
+    whole = fwd[last]
+    can = np.isfinite(whole)[of]
+    start, end, piece, of, weights = start[can], end[can], piece[can], of[can], weights[can]
+    x = counts[of] * np.exp(fwd[start] + weights + bwd[end] - whole[of])
+    return np.bincount(piece, x, n), np.bincount(piece, minlength=n) > 0
 
 
 def expected_counts(sym: list[str], scores: dict, longest: int) -> dict[str, float]:
     """Posterior counts of the pieces of one word (forward-backward)."""
-    n, arcs = len(sym), list(_lattice(sym, scores, longest))
-    fwd, bwd = [0.0] + [-math.inf] * n, [-math.inf] * n + [0.0]
-    for s, e, p in arcs:
-        fwd[e] = _log_add(fwd[e], fwd[s] + scores[p])
-    for s, e, p in sorted(arcs, key=lambda a: -a[1]):
-        bwd[s] = _log_add(bwd[s], bwd[e] + scores[p])
-    out: dict[str, float] = defaultdict(float)
-    if fwd[n] > -math.inf:
-        for s, e, p in arcs:
-            out[p] += math.exp(fwd[s] + scores[p] + bwd[e] - fwd[n])
-    return out
+    trie = _Trie(scores)
+    x, has = _expected(trie, pa.array([sym], pa.list_(pa.string())), np.ones(1), longest)
+    return {p: float(v) for p, v, h in zip(trie.pieces, x, has) if h}
 
 
 def best_path(sym: list[str], scores: dict, longest: int, unknown: float) -> list[str]:
@@ -119,14 +199,16 @@ def _seed(words: DataFrame, size: int, longest: int) -> dict[str, float]:
 
 
 def _expect(words: DataFrame, scores: dict, longest: int) -> dict[str, float]:
+    trie = _Trie(scores)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict = defaultdict(float)
+        sums, has = np.zeros(len(trie.pieces)), np.zeros(len(trie.pieces), bool)
         for b in batches:
-            for sym, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for p, x in expected_counts(sym, scores, longest).items():
-                    sums[p] += c * x
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array(list(sums.values()))], names=["piece", "x"])
+            x, some = _expected(trie, b.column(0), b.column(1).to_numpy(), longest)
+            sums, has = sums + x, has | some
+        found = np.flatnonzero(has)
+        if len(found):
+            yield pa.RecordBatch.from_arrays([pa.array([trie.pieces[i] for i in found]), pa.array(sums[found])], names=["piece", "x"])
 
     rows = (words.select("symbols", "cnt").mapInArrow(run, "piece string, x double")
             .groupBy("piece").agg(F.sum("x").alias("x")).collect())

@@ -371,3 +371,28 @@ def test_encoding_is_the_same_however_few_words_are_remembered(spark, monkeypatc
     ranks, ids = bpe._tables(m).value
     for r in bpe.words_table(d).collect():
         assert bpe._merged_ids([r.word], sorted(ranks, key=ranks.get), ids)[0].tolist() == [ids[t] for t in bpe._bpe_word(r.symbols, ranks)]
+
+
+def test_sp_words_are_read_once_by_stretch_and_stay_those_of_the_lines(spark, monkeypatch):
+    from textloom.functions.text import sp_normalize, sp_pretokens
+    rng = random.Random(20)
+    odd = "ab Z  1\t\u00a0\u3000\u2003\u0085\u00a8\u0301\u0300\u0327e\ufb01\u00b4▁ .!\u1100\u1161\u11a8한かｶﾞЯßς\U0001f600\u200d\r\x0b\n"
+    texts = ["".join(rng.choice(odd) for _ in range(rng.randint(0, 30))) for _ in range(400)] + ["", " ", None, "\u0301a \u0301b", " \u00a8 "]
+    d = spark.createDataFrame([(t,) for t in texts], "text string")
+    lines = bpe.sentences(d).select(F.explode(sp_pretokens(sp_normalize(F.col("line")))).alias("word"))
+    expected = {r.word: r["count"] for r in lines.groupBy("word").count().collect()}
+    assert {r.word: r.cnt for r in bpe.sp_words_table(d)[0].collect()} == expected
+
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(col):
+        @F.udf("string")
+        def seen(t):
+            calls.add(1)
+            return t
+        return sp_normalize(seen(col))
+
+    monkeypatch.setattr(bpe, "sp_normalize", counted)
+    words, _ = bpe.sp_words_table(spark.createDataFrame([("the cat the mat",)] * 200, "text string"))
+    assert {r.word: r.cnt for r in words.collect()} == {"▁the": 400, "▁cat": 200, "▁mat": 200}
+    assert calls.value <= 3  # distinct stretches, not 200 lines

@@ -1,9 +1,14 @@
 """Invariants and hand fixtures."""
 
+import itertools
+import os
+import tempfile
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from textloom.operators.pack import balanced_pack, collate, concat_and_chunk, next_fit_pack
+from textloom.plans import queries_io as qi
 
 
 def _seqs(spark, lens, src="a", start=100):
@@ -83,3 +88,29 @@ def test_collate(spark):
     assert r[(8, 0, 0)].labels == [8, -100, -100] and r[(8, 0, 0)].attention_mask == [1, 0, 0]
     assert r[(9, 0)].labels == [9, -100]  # a real 0 is a pad to the collator too
     assert np.array_equal(r[(5, 6, 7)].attention_mask, [1, 1, 1])
+
+
+def test_stream_shards_hold_the_packed_tokens(spark):
+    texts = {i: f"{i:04d} é한 " + chr(97 + i % 26) * (200 + 37 * i % 900) for i in range(60)} | {60: "too short", 61: None}
+    sf = tempfile.mkdtemp()
+    rows = [(i, None if i % 7 == 0 else "ab"[i % 2], t) for i, t in texts.items()]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").coalesce(1).write.parquet(os.path.join(sf, "documents.parquet"))
+    packed = qi.r04(spark, sf).collect()
+    assert all(r.n_tokens == len(r.input_ids) == len(r.attention_mask) <= 2048 and set(r.attention_mask) == {1} for r in packed)
+    assert len({r.batch_id for r in packed}) == 4
+    of, found = {i: src for i, src, _ in rows}, []
+    packed.sort(key=lambda r: (r.batch_id, r.src or "", r.segment, r.chunk_id))
+    for (_, src), chunks in itertools.groupby(packed, lambda r: (r.batch_id, r.src)):
+        chunks = list(chunks)
+        assert [r.chunk_id for r in chunks] == list(range(len(chunks)))
+        assert all(r.n_tokens == 2048 for r in chunks[:-1])
+        ids = [x for r in chunks for x in r.input_ids]
+        seqs = [[*y] for end, y in itertools.groupby(ids, lambda x: x == 2) if not end]
+        docs = [int(bytes(x - 7 for x in s[1:5])) for s in seqs]
+        assert docs == sorted(docs) and all(of[i] == src for i in docs)
+        for s, i in zip(seqs, docs):
+            want = [1] + [7 + x for x in texts[i].encode()]
+            # whole, but for the last one, whose short tail isn't kept
+            assert s == want or (i == docs[-1] and s == want[:len(s)] and len(want) - len(s) < 128)
+        found += docs
+    assert sorted(found) == list(range(60))

@@ -101,6 +101,32 @@ def test_extension_keeps_base(spark, model):
         bpe.extend_vocabulary(model, more, 300)
 
 
+def test_extension_adds_as_many_tokens_as_asked_for(spark, model):
+    more = spark.createDataFrame([(t.upper() + " extra words here, " + t,) for t in TEXTS] * 4, "text string")
+    base = {r.token for r in model.vocab.collect()}
+    seeds = [(t,) for t in base if not t.startswith("<") and len(t) > 1]
+    corpus = more.union(spark.createDataFrame(seeds, "text string"))
+    brute = _brute_force([(r.symbols, r.cnt) for r in bpe.words_table(corpus).collect()], 1000)
+    want = [t for t in dict.fromkeys(a + b for a, b in brute) if t not in base]
+    assert 40 < len(want) < 600 and len({a + b for a, b in brute} & base) > 20
+    base_merges = {(r.l, r.r) for r in model.merges.collect()}
+    for size, kw in ((340, {}), (301, {}), (340, {"batch": False}), (340, {"proposed": 7}), (2000, {})):
+        ext = bpe.extend_vocabulary(model, more, size, **kw)
+        new = {r.token: r.id for r in ext.vocab.collect()}
+        assert sorted(new.keys() - base, key=new.get) == want[:size - 300] and len(new) == min(size, 300 + len(want))
+        vocab = set(new)
+        admitted = [m for m in brute if m not in base_merges and {*m, m[0] + m[1]} <= vocab]
+        got = [(r.l, r.r) for r in ext.merges.orderBy("rank").collect()][len(base_merges):]
+        assert got == admitted[:len(got)] and {a + b for a, b in got} >= set(want[:size - 300])
+
+
+def test_training_is_as_before_where_enough_is_new(spark, model):
+    base = {r.token for r in model.vocab.collect()}
+    plain = bpe.train_bpe(_corpus(spark), vocab_size=320)
+    both = bpe.train_bpe(_corpus(spark), vocab_size=320, known=base, new=5)
+    assert sorted(map(tuple, plain.merges.collect())) == sorted(map(tuple, both.merges.collect()))
+
+
 def test_tokenizer_json_roundtrip(spark, model):
     path = os.path.join(tempfile.mkdtemp(), "tok.json")
     write_tokenizer_json(model.vocab, model.merges, path)
